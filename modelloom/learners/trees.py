@@ -6,6 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
@@ -128,7 +129,7 @@ class GradientBoosting(Learner):
             return GBTClassifier(**(shared | {"labelCol": "__own"})).fit(data.df.select(TREE, own.alias("__own")))
 
         with ThreadPoolExecutor(self.parallelism) as pool:
-            models = list(pool.map(fit_one, range(len(data.classes))))
+            models = list(pool.map(inheritable_thread_target(fit_one), range(len(data.classes))))
 
         def score(df, name):
             raw = [f"__raw{k}" for k in range(len(models))]

@@ -7,6 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from modelloom import learners as L
@@ -128,7 +129,7 @@ def compare(
 
     if parallelism > 1:
         with ThreadPoolExecutor(parallelism) as pool:
-            outcomes = list(pool.map(run, chosen))
+            outcomes = list(pool.map(inheritable_thread_target(run), chosen))
     else:
         outcomes = [run(c) for c in chosen]
     models = [o for o in outcomes if isinstance(o, Fitted)]

@@ -1,0 +1,3 @@
+from modelloom.streaming.score import score_stream
+
+__all__ = ["score_stream"]
