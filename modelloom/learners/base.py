@@ -116,6 +116,13 @@ class Learner:
             if low is not None and not low <= value <= high:
                 raise ValueError(f"{f.name} must lie in [{low}, {high}], not {value!r}")
 
+    def fit_once(self, data: TrainingData) -> Fitted:
+        """Fit and let go of the cached training rows; predictions do not need them."""
+        try:
+            return self.fit(data)
+        finally:
+            data.release()
+
     def fit(self, data: TrainingData) -> Fitted:
         if data.task not in self.tasks:
             raise ValueError(f"{self.label} does not serve {data.task}")

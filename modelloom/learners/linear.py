@@ -21,8 +21,8 @@ _SCALED = "__scaled"
 class GeneralizedLinear(Learner):
     """Gaussian, Poisson, Gamma or Tweedie regression with identity or log link.
 
-    ``lambda_`` is the penalty's strength, ``alpha`` its L1 share. Penalties apply
-    to standardised predictors.
+    Minimised is mean deviance / 2 + lambda_ * (alpha * L1 + (1 - alpha) / 2 * L2^2)
+    of the coefficients of standardised predictors.
     """
 
     label = "Generalized linear regression"
@@ -40,11 +40,13 @@ class GeneralizedLinear(Learner):
 
     def _fit(self, data: TrainingData):
         if self.family == "gaussian" and self.link == "identity":
+            spread = data.df.agg(F.stddev_pop(LABEL)).first()[0] if self.lambda_ > 0 else 1.0
+            strength, share = self._mllib_penalty(1.0, spread)
             model = LinearRegression(
                 featuresCol=LINEAR,
                 labelCol=LABEL,
-                regParam=self.lambda_,
-                elasticNetParam=self.alpha,
+                regParam=strength,
+                elasticNetParam=share,
                 fitIntercept=self.intercept,
                 maxIter=self.max_iterations,
                 tol=self.tolerance,
@@ -70,13 +72,19 @@ class GeneralizedLinear(Learner):
     def _power(self) -> float:
         return {"gaussian": 0.0, "poisson": 1.0, "gamma": 2.0}.get(self.family, self.variance_power)
 
+    def _mllib_penalty(self, factor: float, spread: float) -> tuple[float, float]:
+        """Penalty parameters for MLlib's least squares, which weighs L2 by 1 / sd(target)."""
+        lasso = factor * self.lambda_ * self.alpha
+        ridge = factor * self.lambda_ * (1 - self.alpha) * spread
+        total = lasso + ridge
+        return total, (lasso / total if total > 0 else 0.0)
+
     def _fit_penalised(self, data: TrainingData):
         """Iteratively reweighted elastic net.
 
         Each round is one weighted least-squares fit of MLlib on the working
-        response, that is one pass that adds up a features-by-features matrix. The
-        objective is mean deviance / 2 plus the penalty, so the penalty is rescaled
-        by rows / sum of weights in each round.
+        response, that is one pass that adds up a features-by-features matrix. MLlib
+        divides by the sum of weights, so the penalty is rescaled by rows / that sum.
         """
         scaler = StandardScaler(inputCol=LINEAR, outputCol=_SCALED, withMean=False, withStd=True).fit(data.df)
         rows = scaler.transform(data.df).select(LABEL, _SCALED)
@@ -87,6 +95,8 @@ class GeneralizedLinear(Learner):
         mu = (y + F.lit(mean)) / 2 if self.family != "gaussian" else y
         mu = F.greatest(mu, F.lit(floor)) if self.link == "log" or self.family != "gaussian" else mu
         model, last = None, None
+        # Only keeps the sum of squares below from cancelling.
+        centre = float(np.log(max(mean, floor))) if self.link == "log" else mean
         for _ in range(self.max_iterations):
             if model is None:
                 eta = F.log(mu) if self.link == "log" else mu
@@ -102,14 +112,17 @@ class GeneralizedLinear(Learner):
             work = work.select(
                 _SCALED, (eta + (y - mu) / slope).alias("__z"), weight.cast("double").alias("__w")
             )
-            total = work.agg(F.sum("__w")).first()[0]
+            z = F.col("__z") - F.lit(centre)
+            total, first, second = work.agg(F.sum("__w"), F.sum(z * F.col("__w")), F.sum(z * z * F.col("__w"))).first()
+            spread = float(np.sqrt(max(second / total - (first / total) ** 2, 0.0)))
+            strength, share = self._mllib_penalty(n / total, spread)
             model = LinearRegression(
                 featuresCol=_SCALED,
                 labelCol="__z",
                 weightCol="__w",
                 predictionCol="__eta",
-                regParam=self.lambda_ * n / total,
-                elasticNetParam=self.alpha,
+                regParam=strength,
+                elasticNetParam=share,
                 fitIntercept=self.intercept,
                 standardization=False,
                 solver="normal",

@@ -129,7 +129,7 @@ class GradientBoosting(Learner):
             return GBTClassifier(**(shared | {"labelCol": "__own"})).fit(data.df.select(TREE, own.alias("__own")))
 
         with ThreadPoolExecutor(self.parallelism) as pool:
-            models = list(pool.map(inheritable_thread_target(fit_one), range(len(data.classes))))
+            models = list(pool.map(inheritable_thread_target(data.df.sparkSession)(fit_one), range(len(data.classes))))
 
         def score(df, name):
             raw = [f"__raw{k}" for k in range(len(models))]

@@ -88,7 +88,8 @@ class Encoder:
             out = VectorSizeHint(inputCol=f"__a{i}", size=size, handleInvalid="optimistic").transform(out)
             inputs.append(f"__a{i}")
         index = [f"__i{i}" for i in range(len(self.categories))]
-        hot = [f"__h{i}" for i in range(len(self.categories))]
+        # A category with a single level has no 0/1 column beside its base.
+        hot = [f"__h{i}" for i, values in enumerate(self.levels) if len(values) > 1]
         if self.categories:
             for i, name in enumerate(self.categories):
                 out = out.withColumn(f"__s{i}", col(name).cast("string"))
@@ -98,7 +99,8 @@ class Encoder:
                 for i, values in enumerate(self.levels):
                     out = out.withColumn(OK, F.col(OK) & (F.col(f"__i{i}") < F.lit(len(values))))
                     out = out.withColumn(f"__i{i}", F.when(F.col(f"__i{i}") < F.lit(len(values)), F.col(f"__i{i}")).otherwise(F.lit(0.0)))
-            out = self.one_hot.transform(out)
+            if hot:
+                out = self.one_hot.transform(out)
             out = VectorAssembler(inputCols=[*inputs, *hot], outputCol=LINEAR, handleInvalid="keep").transform(out)
         out = VectorAssembler(inputCols=[*inputs, *index], outputCol=TREE, handleInvalid="keep").transform(out)
         if not self.categories:
@@ -150,8 +152,13 @@ def fit_encoder(df: DataFrame, features: Sequence[str], max_levels: int = MAX_LE
         stringOrderType="alphabetDesc",
         handleInvalid="error",
     ).fit(rows)
-    one_hot = OneHotEncoder(inputCols=index, outputCols=[f"__h{i}" for i in range(len(categories))], dropLast=True).fit(
-        indexer.transform(rows)
-    )
     levels = tuple(tuple(reversed(v)) for v in indexer.labelsArray)
+    varied = [i for i, values in enumerate(levels) if len(values) > 1]
+    if not (numbers or arrays or varied):
+        raise ValueError("every predictor has a single level")
+    one_hot = None
+    if varied:
+        one_hot = OneHotEncoder(
+            inputCols=[f"__i{i}" for i in varied], outputCols=[f"__h{i}" for i in varied], dropLast=True
+        ).fit(indexer.transform(rows))
     return Encoder(tuple(features), tuple(numbers), sizes, tuple(categories), levels, indexer, one_hot)

@@ -23,7 +23,6 @@ from modelloom.operators.schema import numeric_columns, require_numeric
 KDE_NODES = 4096
 DISTINCT_AT_MOST = 100_000
 BRACKET_ACCURACY = 10_000
-SQL_CORRELATION_COLUMNS = 12
 BLOCK_ROWS = 65_536
 
 
@@ -314,28 +313,14 @@ def autocorrelation(df: DataFrame, name: str, order_by: Sequence[str], max_lag:
 def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
     """Pearson correlations of all numeric pairs as (var_x, var_y, corr), both orders.
 
-    Each pair uses the rows where both values are present; a constant column
-    gives NULL. One pass in either case: SQL aggregates for few columns, per-task
-    moment matrices for many.
+    Each pair uses the rows where both values are present; a constant column gives
+    NULL. One pass takes the means, a second adds up centred products: each task
+    returns one columns-by-columns matrix. (SQL's ``corr`` per pair outgrows the
+    code generator beyond five columns and fails on constant ones.)
     """
     names = numeric_columns(df) if names is None else list(names)
     for name in names:
         require_numeric(df, name)
-    if len(names) > SQL_CORRELATION_COLUMNS:
-        return _wide_correlations(df, names)
-    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
-    number = [F.nanvl(col(n).cast("double"), F.lit(None).cast("double")) for n in names]
-    row = df.agg(*[F.corr(number[i], number[j]).alias(f"r{i}_{j}") for i, j in pairs])
-    cells = []
-    for i, j in pairs:
-        value = F.col(f"r{i}_{j}")
-        value = F.when(~F.isnan(value), value)
-        for a, b in {(i, j), (j, i)}:
-            cells.append(F.struct(F.lit(names[a]).alias("var_x"), F.lit(names[b]).alias("var_y"), value.alias("corr")))
-    return row.select(F.inline(F.array(*cells)))
-
-
-def _wide_correlations(df: DataFrame, names: list[str]) -> DataFrame:
     k = len(names)
     table = df.select(*[col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
     means = table.agg(*[F.avg(F.when(~F.isnan(f"c{i}"), F.col(f"c{i}"))).alias(f"c{i}") for i in range(k)]).first()

@@ -7,11 +7,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark import inheritable_thread_target
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
 
 from modelloom import learners as L
-from modelloom.learners.base import Fitted, Learner, TrainingData, encode_training, predict_all
+from modelloom.learners.base import Fitted, Learner, encode_training, predict_all
 from modelloom.operators.metrics import (
     METRIC_COLUMN,
     classification_metrics,
@@ -41,7 +41,6 @@ class Comparison:
     test: DataFrame
     models: list[Fitted]
     failures: list[tuple[str, str]] = field(default_factory=list)
-    data: TrainingData | None = None
 
     @property
     def _spark(self):
@@ -84,9 +83,13 @@ class Comparison:
         rows += [(label, "failed", why) for label, why in self.failures]
         return self._spark.createDataFrame(rows, STATUS_SCHEMA)
 
+    def cache(self) -> "Comparison":
+        """Keep the predictions for several reports; ``close`` lets them go."""
+        self.predictions.persist(StorageLevel.MEMORY_AND_DISK)
+        return self
+
     def close(self) -> None:
-        if self.data is not None:
-            self.data.release()
+        self.predictions.unpersist()
 
 
 def compare(
@@ -127,16 +130,19 @@ def compare(
                 raise
             return learner.label, f"{type(error).__name__}: {error}"
 
-    if parallelism > 1:
-        with ThreadPoolExecutor(parallelism) as pool:
-            outcomes = list(pool.map(inheritable_thread_target(run), chosen))
-    else:
-        outcomes = [run(c) for c in chosen]
+    try:
+        if parallelism > 1:
+            with ThreadPoolExecutor(parallelism) as pool:
+                outcomes = list(pool.map(inheritable_thread_target(train.sparkSession)(run), chosen))
+        else:
+            outcomes = [run(c) for c in chosen]
+    finally:
+        data.release()
     models = [o for o in outcomes if isinstance(o, Fitted)]
     failures = [o for o in outcomes if not isinstance(o, Fitted)]
     if not models:
         raise RuntimeError(f"no learner could be trained: {failures}")
-    return Comparison(task, y, train, test, models, failures, data)
+    return Comparison(task, y, train, test, models, failures)
 
 
 def _run(data, y, task, features, learners, share, seed, key_cols, time_col, cut, start, end, parallelism, on_error):

@@ -118,7 +118,7 @@ def kde_value(t):
     WITH x AS (SELECT row_number() OVER (ORDER BY ts, event_id) AS i, value - (SELECT avg(value) FROM events) AS v FROM events),
     lags AS (SELECT CAST(range AS INTEGER) AS lag FROM range(101))
     SELECT lag AS "Lag", round(sum(a.v * b.v) / (SELECT sum(v * v) FROM x), 6) AS "ACF"
-    FROM lags, x a JOIN x b ON b.i = a.i + lag GROUP BY lag"""
+    FROM (SELECT lag, i + lag AS j, v FROM x, lags) a JOIN x b ON b.i = a.j GROUP BY lag"""
 )
 def acf_events_value(t):
     return rounded(profile.autocorrelation(t.events, "value", ["ts", "event_id"]))
