@@ -2,7 +2,6 @@ from modelloom.functions.columns import (
     absolute_percentage_error,
     col,
     content_hash,
-    distinct_levels,
     epoch_micros,
     error_label,
     field,
@@ -18,7 +17,6 @@ __all__ = [
     "absolute_percentage_error",
     "col",
     "content_hash",
-    "distinct_levels",
     "epoch_micros",
     "error_label",
     "field",

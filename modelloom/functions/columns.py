@@ -82,14 +82,6 @@ def content_hash(seed: int, names: Sequence[str]) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
-def distinct_levels(df: DataFrame, names: Sequence[str]) -> dict[str, int]:
-    """Approximate level counts of several columns in one pass."""
-    if not names:
-        return {}
-    row = df.agg(*[F.approx_count_distinct(col(n)).alias(f"c{i}") for i, n in enumerate(names)]).first()
-    return {n: row[f"c{i}"] for i, n in enumerate(names)}
-
-
 def absolute_percentage_error(pred: Column, actual: Column, zero_policy: str = "inf") -> Column:
     """|pred - actual| / |actual|.
 

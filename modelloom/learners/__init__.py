@@ -1,4 +1,4 @@
-from modelloom.learners.base import Fitted, Learner, predict_all
+from modelloom.learners.base import Fitted, Learner, predict_all, train_model
 from modelloom.learners.bayes import MLlibNaiveBayes, NaiveBayes
 from modelloom.learners.linear import GeneralizedLinear, Logistic
 from modelloom.learners.neural import NeuralNetwork
@@ -21,4 +21,5 @@ __all__ = [
     "REGRESSION",
     "RandomForest",
     "predict_all",
+    "train_model",
 ]

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, fields, replace
 
 from pyspark import StorageLevel
-from pyspark.ml.feature import StringIndexer
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +15,8 @@ from modelloom.functions import col
 from modelloom.operators.encode import LABEL, LINEAR, OK, TREE, Encoder, fit_encoder
 
 RAW = "__raw"
+UNEVEN = 4  # times the fair size at which a partition counts as overfull
+SMALL_PARTITION = 20_000  # rows that no pass minds
 
 
 def param(default, low=None, high=None, choices=None):
@@ -42,33 +44,56 @@ def encode_training(
     features: Sequence[str],
     key_cols: Sequence[str] | None = None,
     partitions: int | None = None,
-    keep: Sequence[str] = (),
+    learners: Sequence["Learner"] = (),
 ) -> TrainingData:
     """Encode the complete training rows and cache them.
 
     With ``key_cols`` (unique per row) the rows are laid out by key first, so that
     seeded learners, whose draws follow row positions, give the same model for the
-    same rows however the input was partitioned.
+    same rows however the input was partitioned. Otherwise rows stay where they
+    are, unless a few partitions hold most of them. ``learners`` limits the cached
+    vectors to the layouts those need.
     """
     train = train.filter(col(y).isNotNull())
     if task == "regression":
         train = train.filter(~F.isnan(col(y).cast("double")))
-    encoder = fit_encoder(train, features)
-    classes: tuple[str, ...] = ()
+    encoder, classes = fit_encoder(train, features, target=y if task == "classification" else None)
     if task == "regression":
         train = train.withColumn(LABEL, col(y).cast("double"))
     else:
-        labels = train.select(col(y).cast("string").alias("__y"))
-        indexer = StringIndexer(inputCol="__y", outputCol=LABEL, stringOrderType="alphabetAsc").fit(labels)
-        classes = tuple(indexer.labels)
+        # Classes seen in incomplete rows only are skipped along with those rows.
+        indexer = StringIndexerModel.from_labels(list(classes), inputCol="__y", outputCol=LABEL, handleInvalid="skip")
         train = indexer.transform(train.withColumn("__y", col(y).cast("string"))).drop("__y")
     if key_cols:
         keys = [col(c) for c in key_cols]
         if partitions is None:
             partitions = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         train = train.repartition(partitions, *keys).sortWithinPartitions(*keys)
-    encoded = encoder.transform(train, fitting=True).select(LABEL, LINEAR, TREE, *[col(c) for c in keep])
-    return TrainingData(encoded.persist(StorageLevel.MEMORY_AND_DISK), encoder, task, classes)
+    names = {"linear": encoder.linear, "tree": TREE}
+    layouts = {v for learner in learners for v in learner.layouts} or set(names)
+    vectors = sorted({names[v] for v in layouts})
+    encoded = encoder.transform(train, fitting=True).select(LABEL, *vectors).persist(StorageLevel.MEMORY_AND_DISK)
+    if not key_cols:
+        encoded = _spread(encoded)
+    return TrainingData(encoded, encoder, task, classes)
+
+
+def _spread(encoded: DataFrame) -> DataFrame:
+    """Deal the cached rows out evenly if some partition holds far more than its part.
+
+    Learners pass over these rows dozens of times and each pass waits for the
+    largest partition. The sizes come from the pass that fills the cache.
+    """
+    sizes = encoded.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    row = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("rows"), F.count("p").alias("parts")).first()
+    slots = encoded.sparkSession.sparkContext.defaultParallelism
+    fair = (row["rows"] or 0) / max(row["parts"], slots)
+    if (row["largest"] or 0) <= max(UNEVEN * fair, SMALL_PARTITION):
+        return encoded
+    even = encoded.repartition(max(row["parts"], slots)).persist(StorageLevel.MEMORY_AND_DISK)
+    even.count()
+    encoded.unpersist()
+    return even
 
 
 @dataclass(frozen=True)
@@ -105,7 +130,7 @@ class Learner:
 
     label = ""
     tasks = ()
-    explains = False
+    layouts = ("linear", "tree")
 
     def __post_init__(self):
         for f in fields(self):
@@ -116,13 +141,6 @@ class Learner:
             if low is not None and not low <= value <= high:
                 raise ValueError(f"{f.name} must lie in [{low}, {high}], not {value!r}")
 
-    def fit_once(self, data: TrainingData) -> Fitted:
-        """Fit and let go of the cached training rows; predictions do not need them."""
-        try:
-            return self.fit(data)
-        finally:
-            data.release()
-
     def fit(self, data: TrainingData) -> Fitted:
         if data.task not in self.tasks:
             raise ValueError(f"{self.label} does not serve {data.task}")
@@ -137,6 +155,22 @@ class Learner:
         return replace(self, **changes)
 
 
+def train_model(
+    train: DataFrame,
+    y: str,
+    task: str,
+    features: Sequence[str],
+    learner: Learner,
+    key_cols: Sequence[str] | None = None,
+) -> Fitted:
+    """Train one learner and let go of the cached rows; predictions do not need them."""
+    data = encode_training(train, y, task, features, key_cols, learners=[learner])
+    try:
+        return learner.fit(data)
+    finally:
+        data.release()
+
+
 def mllib_score(model) -> Callable[[DataFrame, str], DataFrame]:
     """Scoring by a fitted MLlib model, without its helper columns."""
 

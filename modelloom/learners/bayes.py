@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelloom.learners.base import Learner, TrainingData, mllib_score, param
-from modelloom.operators.encode import LABEL, LINEAR, TREE
+from modelloom.operators.encode import LABEL, TREE
 
 INLINE_TERMS = 200
 
@@ -40,6 +40,7 @@ class NaiveBayes(Learner):
 
     label = "Naive Bayes"
     tasks = ("classification",)
+    layouts = ("tree",)
 
     laplace: float = param(0.0, 0, 10)
     min_sdev: float = param(0.01, 1e-10, 1e6)
@@ -133,18 +134,19 @@ class MLlibNaiveBayes(Learner):
 
     label = "Naive Bayes"
     tasks = ("classification",)
+    layouts = ("linear",)
 
     smoothing: float = param(1.0, 0, 10)
     model_type: str = param("multinomial", choices=("multinomial", "complement", "bernoulli", "gaussian"))
 
     def _fit(self, data: TrainingData):
         if self.model_type in ("multinomial", "complement"):
-            low = data.df.agg(Summarizer.min(F.col(LINEAR)).alias("m")).first()["m"].toArray()
+            low = data.df.agg(Summarizer.min(F.col(data.encoder.linear)).alias("m")).first()["m"].toArray()
             if (low < 0).any():
                 raise ValueError(
                     f"{self.model_type} naive Bayes needs values >= 0; use model_type='gaussian' or the NaiveBayes learner"
                 )
         model = SparkNaiveBayes(
-            featuresCol=LINEAR, labelCol=LABEL, smoothing=self.smoothing, modelType=self.model_type
+            featuresCol=data.encoder.linear, labelCol=LABEL, smoothing=self.smoothing, modelType=self.model_type
         ).fit(data.df)
         return mllib_score(model), (), model

@@ -12,7 +12,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from modelloom.learners.base import Learner, TrainingData, mllib_score, param
-from modelloom.operators.encode import LABEL, LINEAR
+from modelloom.operators.encode import LABEL
 
 _SCALED = "__scaled"
 
@@ -27,6 +27,7 @@ class GeneralizedLinear(Learner):
 
     label = "Generalized linear regression"
     tasks = ("regression",)
+    layouts = ("linear",)
 
     family: str = param("gaussian", choices=("gaussian", "poisson", "gamma", "tweedie"))
     link: str = param("identity", choices=("identity", "log"))
@@ -43,7 +44,7 @@ class GeneralizedLinear(Learner):
             spread = data.df.agg(F.stddev_pop(LABEL)).first()[0] if self.lambda_ > 0 else 1.0
             strength, share = self._mllib_penalty(1.0, spread)
             model = LinearRegression(
-                featuresCol=LINEAR,
+                featuresCol=data.encoder.linear,
                 labelCol=LABEL,
                 regParam=strength,
                 elasticNetParam=share,
@@ -55,7 +56,7 @@ class GeneralizedLinear(Learner):
         if self.lambda_ > 0:
             return self._fit_penalised(data)
         glr = GeneralizedLinearRegression(
-            featuresCol=LINEAR,
+            featuresCol=data.encoder.linear,
             labelCol=LABEL,
             family=self.family,
             fitIntercept=self.intercept,
@@ -86,7 +87,7 @@ class GeneralizedLinear(Learner):
         response, that is one pass that adds up a features-by-features matrix. MLlib
         divides by the sum of weights, so the penalty is rescaled by rows / that sum.
         """
-        scaler = StandardScaler(inputCol=LINEAR, outputCol=_SCALED, withMean=False, withStd=True).fit(data.df)
+        scaler = StandardScaler(inputCol=data.encoder.linear, outputCol=_SCALED, withMean=False, withStd=True).fit(data.df)
         rows = scaler.transform(data.df).select(LABEL, _SCALED)
         n, mean = rows.agg(F.count(F.lit(1)), F.avg(LABEL)).first()
         y = F.col(LABEL)
@@ -148,6 +149,7 @@ class Logistic(Learner):
 
     label = "Logistic regression"
     tasks = ("classification",)
+    layouts = ("linear",)
 
     elastic_net: float = param(0.0, 0, 1)
     intercept: bool = True
@@ -156,7 +158,7 @@ class Logistic(Learner):
 
     def _fit(self, data: TrainingData):
         model = LogisticRegression(
-            featuresCol=LINEAR,
+            featuresCol=data.encoder.linear,
             labelCol=LABEL,
             family="auto",
             elasticNetParam=self.elastic_net,
@@ -169,7 +171,7 @@ class Logistic(Learner):
 
 def standardised_coefficients(data: TrainingData, model) -> list[tuple[str, float]]:
     """|coefficient| * standard deviation per predictor, summed over classes and levels."""
-    sd = data.df.agg(Summarizer.std(F.col(LINEAR)).alias("sd")).first()["sd"].toArray()
+    sd = data.df.agg(Summarizer.std(F.col(data.encoder.linear)).alias("sd")).first()["sd"].toArray()
     if hasattr(model, "coefficientMatrix"):
         size = np.abs(model.coefficientMatrix.toArray()).sum(axis=0)
     else:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelloom.learners.base import Learner, TrainingData, param
-from modelloom.operators.encode import LABEL, LINEAR
+from modelloom.operators.encode import LABEL
 
 ACTIVATIONS = (
     "Rectifier",
@@ -135,7 +135,7 @@ def output_slope(out: np.ndarray, y: np.ndarray, loss: str, quantile: float) ->
 class NeuralNetwork(Learner):
     label = "Neural network"
     tasks = ("regression", "classification")
-    explains = True
+    layouts = ("linear",)
 
     activation: str = param("Rectifier", choices=ACTIVATIONS)
     loss: str = param("Automatic", choices=LOSSES)
@@ -156,7 +156,7 @@ class NeuralNetwork(Learner):
         classify = data.task == "classification"
         loss = "CrossEntropy" if classify else ("Quadratic" if self.loss == "Automatic" else self.loss)
         row = df.agg(
-            Summarizer.metrics("mean", "std").summary(F.col(LINEAR)).alias("x"),
+            Summarizer.metrics("mean", "std").summary(F.col(data.encoder.linear)).alias("x"),
             F.avg(LABEL).alias("y"),
             F.stddev_samp(LABEL).alias("s"),
         ).first()
@@ -166,7 +166,7 @@ class NeuralNetwork(Learner):
         outputs = len(data.classes) if classify else 1
         net = Network([len(centre), *self.hidden, outputs], self.activation)
         weights = net.initial(self.seed)
-        rows = df.select(vector_to_array(LINEAR).alias("x"), F.col(LABEL).alias("y"))
+        rows = df.select(vector_to_array(data.encoder.linear).alias("x"), F.col(LABEL).alias("y"))
         history = []
         for epoch in range(self.epochs):
             weights, value = self._epoch(rows, net, weights, epoch, loss, centre, scale, y_centre, y_scale)
@@ -184,7 +184,7 @@ class NeuralNetwork(Learner):
                 best = z.argmax(axis=1) if classify else z[:, 0] * y_scale + y_centre
                 return pd.Series(best.astype(float))
 
-            return out.withColumn(name, predict(vector_to_array(LINEAR)))
+            return out.withColumn(name, predict(vector_to_array(data.encoder.linear)))
 
         return score, self._importance(data, net, weights), {"weights": weights, "history": history}
 

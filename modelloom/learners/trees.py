@@ -48,7 +48,7 @@ def _common(data: TrainingData, depth: int, bins: int, seed: int) -> dict:
 class DecisionTree(Learner):
     label = "Decision tree"
     tasks = ("regression", "classification")
-    explains = True
+    layouts = ("tree",)
 
     max_depth: int = param(20, 1, 30)
     bins: int = param(32, 2, 10_000)
@@ -67,7 +67,7 @@ class DecisionTree(Learner):
 class RandomForest(Learner):
     label = "Random forest"
     tasks = ("regression", "classification")
-    explains = True
+    layouts = ("tree",)
 
     trees: int = param(50, 1, 100)
     sample_rate: float = param(0.6, 0.1, 1)
@@ -96,7 +96,7 @@ class GradientBoosting(Learner):
 
     label = "Gradient boosted trees"
     tasks = ("regression", "classification")
-    explains = True
+    layouts = ("tree",)
 
     trees: int = param(50, 1, 100)
     max_depth: int = param(5, 1, 30)

@@ -2,7 +2,7 @@
 
 One encoder serves all models of a comparison. It offers two layouts: ``linear``
 (categories as 0/1 columns, first level as base) and ``tree`` (categories as
-level numbers). They are the same column when there are no categories.
+level numbers). Without categories one column serves as both.
 """
 
 from __future__ import annotations
@@ -11,16 +11,17 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSizeHint
+from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from modelloom.functions import col, distinct_levels, epoch_micros, field, is_numeric, is_time
+from modelloom.functions import col, epoch_micros, field, is_numeric, is_time
 
 LINEAR, TREE, LABEL, OK = "__linear", "__tree", "__label", "__ok"
 MAX_LEVELS = 10_000
+MAX_CLASSES = 1_000
 
 
 @dataclass(frozen=True)
@@ -30,7 +31,7 @@ class Encoder:
     arrays: dict[str, int]
     categories: tuple[str, ...]
     levels: tuple[tuple[str, ...], ...]
-    indexer: object | None
+    indexers: tuple
     one_hot: object | None
 
     @property
@@ -45,6 +46,11 @@ class Encoder:
         wide = [f"{a}_{i}" for a, size in self.arrays.items() for i in range(size)]
         return [*self.numbers, *wide, *slots]
 
+    @property
+    def linear(self) -> str:
+        """The column of the linear layout: without categories both layouts are one."""
+        return LINEAR if self.categories else TREE
+
     @property
     def n_tree_numbers(self) -> int:
         return len(self.tree_names) - len(self.categories)
@@ -93,8 +99,8 @@ class Encoder:
         if self.categories:
             for i, name in enumerate(self.categories):
                 out = out.withColumn(f"__s{i}", col(name).cast("string"))
-            indexer = self.indexer.copy().setHandleInvalid("error" if fitting else "keep")
-            out = indexer.transform(out)
+            for indexer in self.indexers:
+                out = indexer.copy().setHandleInvalid("error" if fitting else "keep").transform(out)
             if not fitting:
                 for i, values in enumerate(self.levels):
                     out = out.withColumn(OK, F.col(OK) & (F.col(f"__i{i}") < F.lit(len(values))))
@@ -103,8 +109,6 @@ class Encoder:
                 out = self.one_hot.transform(out)
             out = VectorAssembler(inputCols=[*inputs, *hot], outputCol=LINEAR, handleInvalid="keep").transform(out)
         out = VectorAssembler(inputCols=[*inputs, *index], outputCol=TREE, handleInvalid="keep").transform(out)
-        if not self.categories:
-            out = out.withColumn(LINEAR, F.col(TREE))
         helpers = [f"__s{i}" for i in range(len(self.categories))]
         return out.drop(*inputs, *index, *hot, *helpers)
 
@@ -116,11 +120,31 @@ def _as_number(df: DataFrame, name: str):
     return col(name).cast("double")
 
 
-def fit_encoder(df: DataFrame, features: Sequence[str], max_levels: int = MAX_LEVELS) -> Encoder:
-    """Learn category levels and array lengths from the training rows.
+def column_levels(df: DataFrame, names: Sequence[str], limits: Sequence[int]) -> list[tuple[str, ...]]:
+    """The sorted levels of several columns from one pass.
 
-    Levels are held on the driver, so a column with more than ``max_levels`` of
-    them (an identifier, most likely) is refused instead of collected.
+    Repeats fold away before the shuffle. Levels are held on the driver, so a
+    column with more than its limit (an identifier, most likely) is refused; at
+    most one row per allowed level and column is collected to find that out.
+    """
+    cells = [F.struct(F.lit(i).alias("i"), col(n).cast("string").alias("v")) for i, n in enumerate(names)]
+    levels = df.select(F.inline(F.array(*cells))).filter("v IS NOT NULL").distinct()
+    found: list[list[str]] = [[] for _ in names]
+    for row in levels.limit(sum(limits) + len(names)).collect():
+        found[row["i"]].append(row["v"])
+    for name, values, limit in zip(names, found, limits):
+        if len(values) > limit:
+            raise ValueError(f"column {name!r} has more than {limit} levels; drop it or group its levels")
+    return [tuple(sorted(v)) for v in found]
+
+
+def fit_encoder(
+    df: DataFrame, features: Sequence[str], max_levels: int = MAX_LEVELS, target: str | None = None
+) -> tuple[Encoder, tuple[str, ...]]:
+    """Learn category levels and array lengths from the complete training rows.
+
+    With ``target`` its classes are learnt in the same pass and returned beside
+    the encoder.
     """
     numbers, arrays, categories = [], [], []
     for name in features:
@@ -133,32 +157,33 @@ def fit_encoder(df: DataFrame, features: Sequence[str], max_levels: int = MAX_LE
             categories.append(name)
         else:
             raise TypeError(f"column {name!r} of type {dtype.simpleString()} cannot be a predictor")
-    for name, n in distinct_levels(df, categories).items():
-        if n > max_levels:
-            raise ValueError(f"column {name!r} has about {n} levels (limit {max_levels}); drop it or group its levels")
     sizes = {}
     if arrays:
         row = df.agg(*[F.max(F.size(col(a))).alias(f"s{i}") for i, a in enumerate(arrays)]).first()
         sizes = {a: row[f"s{i}"] for i, a in enumerate(arrays)}
-    base = Encoder(tuple(features), tuple(numbers), sizes, tuple(categories), (), None, None)
+    base = Encoder(tuple(features), tuple(numbers), sizes, tuple(categories), (), (), None)
+    names = [*categories, *([] if target is None else [target])]
+    if not names:
+        return base, ()
+    limits = [max_levels] * len(categories) + [MAX_CLASSES] * (target is not None)
+    levels = column_levels(df.filter(base.complete(df)), names, limits)
+    classes = levels.pop() if target is not None else ()
     if not categories:
-        return base
-    rows = df.filter(base.complete(df)).select(*[col(c).cast("string").alias(f"__s{i}") for i, c in enumerate(categories)])
-    index = [f"__i{i}" for i in range(len(categories))]
-    # Falling order puts the first level last, where one-hot encoding drops it.
-    indexer = StringIndexer(
-        inputCols=[f"__s{i}" for i in range(len(categories))],
-        outputCols=index,
-        stringOrderType="alphabetDesc",
-        handleInvalid="error",
-    ).fit(rows)
-    levels = tuple(tuple(reversed(v)) for v in indexer.labelsArray)
+        return base, classes
     varied = [i for i, values in enumerate(levels) if len(values) > 1]
     if not (numbers or arrays or varied):
         raise ValueError("every predictor has a single level")
+    # Falling order puts the first level last, where one-hot encoding drops it.
+    indexers = tuple(
+        StringIndexerModel.from_labels(list(reversed(values)), f"__s{i}", f"__i{i}") for i, values in enumerate(levels)
+    )
     one_hot = None
     if varied:
+        # The level counts are in the index columns' metadata, so no row is read.
+        indexed = df.limit(0).select(*[col(c).cast("string").alias(f"__s{i}") for i, c in enumerate(categories)])
+        for indexer in indexers:
+            indexed = indexer.transform(indexed)
         one_hot = OneHotEncoder(
             inputCols=[f"__i{i}" for i in varied], outputCols=[f"__h{i}" for i in varied], dropLast=True
-        ).fit(indexer.transform(rows))
-    return Encoder(tuple(features), tuple(numbers), sizes, tuple(categories), levels, indexer, one_hot)
+        ).fit(indexed)
+    return Encoder(tuple(features), tuple(numbers), sizes, tuple(categories), tuple(levels), indexers, one_hot), classes

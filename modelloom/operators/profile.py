@@ -305,9 +305,9 @@ def autocorrelation(df: DataFrame, name: str, order_by: Sequence[str], max_lag:
         return pa.table({"Lag": pa.array(range(lags + 1), pa.int32()), "s": pa.array(sums, pa.float64())})
 
     sums = blocks.groupBy("block").applyInArrow(products, "Lag int, s double").groupBy("Lag").agg(F.sum("s").alias("s"))
-    whole = numbered.agg(F.sum(F.col("x") * F.col("x"))).first()[0]
-    ratio = F.col("s") / F.lit(whole) if whole else F.lit(None).cast("double")
-    return sums.select("Lag", ratio.alias("ACF"))
+    found = {r["Lag"]: r["s"] for r in sums.collect()}
+    rows = [(k, found[k] / found[0] if found[0] else None) for k in range(lags + 1)]
+    return df.sparkSession.createDataFrame(rows, "Lag int, ACF double")
 
 
 def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:

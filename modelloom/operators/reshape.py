@@ -85,13 +85,16 @@ def prediction_curve(
     time_col: str | None = None,
     order_by: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Actual and predicted values along time, or along a row counter."""
+    """Actual and predicted values along time, or along a row counter.
+
+    Counted rows come out of the counter's own sort, so they are not sorted again.
+    """
     lines = [y, *model_cols]
     if time_col is not None:
         return predictions.select(col(time_col), *[col(c) for c in lines]).orderBy(col(time_col))
     if not order_by:
         raise ValueError("give time_col, or order_by for the row counter")
-    return with_counter(predictions, order_by).select("Counter", *[col(c) for c in lines]).orderBy("Counter")
+    return with_counter(predictions, order_by).select("Counter", *[col(c) for c in lines])
 
 
 def axis_bound(predictions: DataFrame, y: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelloom.functions import col, content_hash, epoch_micros, field, is_time, like_column
+from modelloom.session import ensure_checkpoint_dir
 
 HASH_DIGITS = 32
 STEP_DIGITS = 4
 COLLECT_AT_MOST = 50_000
 COPIES_PER_CHUNK = 65_536
 
-_HASH, _COPIES, _COPY, _SAMPLED, _CHUNK = "__hash", "__copies", "__copy", "__sampled", "__chunk"
+_HASH, _TEXT, _CHUNK = "__hash", "__text", "__chunk"
+_COPIES, _COPY, _SAMPLED = "__copies", "__copy", "__sampled"
 
 
 class Split(NamedTuple):
@@ -54,30 +56,59 @@ def split_random(
     """``round(n * share)`` rows drawn without replacement, and the rest.
 
     With ``key_cols`` (unique per row) both sides are plain filters on a hash of
-    the key: no shuffle, no join. Without them equal rows are numbered first and
-    the test side holds the rows whose content was not drawn, so all columns are
-    shuffled; pass a key wherever the table has one. ``exact=False`` draws about
-    ``share`` of the rows and needs no counting pass.
+    the key: no shuffle, no join. Without them equal rows are counted and numbered,
+    and the test side holds the rows whose content was not drawn at all; that costs
+    one shuffle and one checkpoint of the table, so pass a key wherever there is
+    one. ``exact=False`` draws about ``share`` of the rows without counting them.
     """
     share = parse_share(share)
     if key_cols:
         for name in key_cols:
             field(df, name)
-        drawn = _drawn(df, content_hash(seed, key_cols), share, exact)
+        rank = content_hash(seed, key_cols)
+        drawn = _rule(df.select(rank.alias(_HASH)), share, exact)(rank)
         return Split(df.filter(drawn), df.filter(~drawn))
-    numbered = number_copies(df)
-    row_text = F.to_json(F.struct(*[col(c) for c in df.columns]))
-    rank = F.md5(F.concat_ws("|", F.lit(str(seed)), row_text, F.col(_COPY).cast("string")))
-    drawn = _drawn(numbered, rank, share, exact)
-    train = numbered.filter(drawn).drop(_COPY)
-    return Split(train, complement(df, train))
+    return _split_equal_rows(df, share, seed, exact)
 
 
-def _drawn(df: DataFrame, rank: Column, share: float, exact: bool) -> Column:
+def _split_equal_rows(df: DataFrame, share: float, seed: int, exact: bool) -> Split:
+    names = [col(c) for c in df.columns]
+    ensure_checkpoint_dir(df.sparkSession)
+    # Read by every pass below, so the one shuffle is kept as files.
+    counted = (
+        df.groupBy(*names)
+        .agg(F.count(F.lit(1)).alias(_COPIES))
+        .withColumn(_TEXT, F.to_json(F.struct(*names)))
+        .checkpoint()
+    )
+
+    def rank(copy: Column) -> Column:
+        return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(_TEXT), copy.cast("string")))
+
+    few, many = _number_few(counted), _number_many(counted)
+    numbered = few.unionByName(many)
+    rule = _rule(numbered.select(rank(F.col(_COPY)).alias(_HASH)), share, exact)
+    train = numbered.filter(rule(rank(F.col(_COPY)))).select(*names)
+    # A content with few copies is judged in its own row; one with many copies by
+    # its spread-out chunks, folded per task before they meet.
+    copies = F.sequence(F.lit(0).cast("long"), F.col(_COPIES) - 1)
+    small = counted.filter((F.col(_COPIES) <= COPIES_PER_CHUNK) & ~F.exists(copies, lambda c: rule(rank(c))))
+    large = (
+        many.groupBy(*names, _TEXT)
+        .agg(F.count(F.lit(1)).alias(_COPIES), F.max(rule(rank(F.col(_COPY)))).alias(_SAMPLED))
+        .filter(~F.col(_SAMPLED))
+        .drop(_SAMPLED)
+    )
+    test = _number_few(small).unionByName(_number_many(large)).select(*names)
+    return Split(train, test)
+
+
+def _rule(hashes: DataFrame, share: float, exact: bool) -> Callable[[Column], Column]:
+    """The test a rank hash must pass for its row to be drawn."""
     if not exact:
-        return F.substring(rank, 1, 8) < F.lit(f"{int(share * 2**32):08x}")
-    hashes = df.select(rank.alias(_HASH))
-    return rank <= F.lit(_boundary(hashes, share))
+        return lambda rank: F.substring(rank, 1, 8) < F.lit(f"{int(share * 2**32):08x}")
+    last = _boundary(hashes, share)
+    return lambda rank: rank <= F.lit(last)
 
 
 def _boundary(hashes: DataFrame, share: float) -> str:
@@ -114,29 +145,29 @@ def _boundary(hashes: DataFrame, share: float) -> str:
     raise ValueError("key_cols do not tell all rows apart, so no exact share can be drawn; leave them out")
 
 
-def number_copies(df: DataFrame) -> DataFrame:
-    """All rows with equal rows numbered 0, 1, 2, ... in ``__copy``."""
-    counted = df.groupBy(*[col(c) for c in df.columns]).agg(F.count(F.lit(1)).alias(_COPIES))
-    return _repeat(counted)
+def _number_few(counted: DataFrame) -> DataFrame:
+    """Rows with up to a chunk of copies, each as often as ``__copies`` says, numbered from 0."""
+    n = F.col(_COPIES)
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    return counted.filter((n > 0) & (n <= COPIES_PER_CHUNK)).withColumn(_COPY, numbers).drop(_COPIES)
 
 
-def _repeat(counted: DataFrame) -> DataFrame:
-    """Each row as often as ``__copies`` says.
+def _number_many(counted: DataFrame) -> DataFrame:
+    """The same for rows with more copies.
 
-    Rows with many copies are cut into chunks that are spread over the cluster
-    before they are repeated, so no task writes out one hot row alone.
+    They are cut into chunks that are spread over the cluster before they are
+    repeated, so no task writes out one hot row alone.
     """
     n = F.col(_COPIES)
+    starts = F.sequence(F.lit(0).cast("long"), n - 1, F.lit(COPIES_PER_CHUNK).cast("long"))
     last = F.least(n, F.col(_CHUNK) + F.lit(COPIES_PER_CHUNK)) - 1
-    few = counted.filter((n > 0) & (n <= COPIES_PER_CHUNK)).withColumn(_COPY, F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
-    many = (
+    return (
         counted.filter(n > COPIES_PER_CHUNK)
-        .withColumn(_CHUNK, F.explode(F.sequence(F.lit(0).cast("long"), n - 1, F.lit(COPIES_PER_CHUNK).cast("long"))))
+        .withColumn(_CHUNK, F.explode(starts))
         .repartition(_CHUNK, *[col(c) for c in counted.columns if c != _COPIES])
         .withColumn(_COPY, F.explode(F.sequence(F.col(_CHUNK), last)))
-        .drop(_CHUNK)
+        .drop(_CHUNK, _COPIES)
     )
-    return few.unionByName(many).drop(_COPIES)
 
 
 def complement(df: DataFrame, sample: DataFrame) -> DataFrame:
@@ -158,7 +189,7 @@ def complement(df: DataFrame, sample: DataFrame) -> DataFrame:
         .filter(F.col(_SAMPLED) == 0)
         .drop(_SAMPLED)
     )
-    return _repeat(counted).drop(_COPY)
+    return _number_few(counted).unionByName(_number_many(counted)).drop(_COPY)
 
 
 def time_bounds(df: DataFrame, time_col: str, by_day: bool = False) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from modelloom import learners as L
 from modelloom.learners.base import RAW, Learner, TrainingData, mllib_score, param
 from modelloom.learners.linear import standardised_coefficients
-from modelloom.operators.encode import LABEL, LINEAR, TREE
+from modelloom.operators.encode import LABEL, TREE
 
 # The family names of the search.
 FAMILIES = ("DRF", "GLM", "XGBoost", "GBM", "DeepLearning")
@@ -30,7 +30,6 @@ class XGBoost(Learner):
 
     label = "XGBoost"
     tasks = ("regression", "classification")
-    explains = True
 
     trees: int = param(50, 1, 1000)
     max_depth: int = param(6, 1, 30)
@@ -109,7 +108,6 @@ class AutoML(Learner):
 
     label = "Auto ML"
     tasks = ("regression", "classification")
-    explains = True
 
     families: tuple[str, ...] = FAMILIES
     max_seconds: float | None = 15.0
@@ -201,7 +199,7 @@ class AutoML(Learner):
             for k in range(self.folds):
                 if hit.is_set():
                     raise TimeoutError
-                part = TrainingData(folded.filter(F.col(FOLD) != k).select(LABEL, LINEAR, TREE), data.encoder, data.task, data.classes)
+                part = TrainingData(folded.filter(F.col(FOLD) != k).drop(FOLD), data.encoder, data.task, data.classes)
                 fitted = candidate.learner.fit(part)
                 scored = fitted.score(folded.filter(F.col(FOLD) == k), RAW)
                 if data.task == "regression":

@@ -120,7 +120,7 @@ def compare(
     for learner in chosen:
         if task not in learner.tasks:
             raise ValueError(f"{learner.label} does not serve {task}")
-    data = encode_training(train, y, task, features, key_cols)
+    data = encode_training(train, y, task, features, key_cols, learners=chosen)
 
     def run(learner: Learner):
         try:

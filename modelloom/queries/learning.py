@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modelloom import learners as L
-from modelloom.learners.base import encode_training, predict_all
+from modelloom.learners.base import predict_all, train_model
 from modelloom.operators.reshape import top_features
 from modelloom.operators.split import split_random
 from modelloom.plans.automl import AutoML, leader_summary, search_leaderboard
@@ -31,8 +31,8 @@ WORDS_SPLIT = split_sql("words", "doc_id")
 
 def _fit_words(t, **params):
     train, test = split_random(_words(t), 0.7, key_cols=["doc_id"])
-    data = encode_training(train, "n_chars", "regression", ["words"])
-    return predict_all(test, [L.GeneralizedLinear(**params).fit_once(data)]).withColumnRenamed(GLM, "prediction")
+    model = train_model(train, "n_chars", "regression", ["words"], L.GeneralizedLinear(**params))
+    return predict_all(test, [model]).withColumnRenamed(GLM, "prediction")
 
 
 @query(
@@ -73,8 +73,8 @@ def _fit_types(t, learner):
     """Part size from part type: with one category a saturated model gives group means."""
     rows = t.part.select("p_partkey", "p_type", "p_size")
     train, test = split_random(rows, 0.7, key_cols=["p_partkey"])
-    data = encode_training(train, "p_size", "regression", ["p_type"], key_cols=["p_partkey"])
-    return predict_all(test, [learner.fit_once(data)]).withColumnRenamed(learner.label, "prediction")
+    model = train_model(train, "p_size", "regression", ["p_type"], learner, ["p_partkey"])
+    return predict_all(test, [model]).withColumnRenamed(learner.label, "prediction")
 
 
 @query(TYPE_MEANS)
@@ -123,8 +123,9 @@ def glm_elastic_poisson_predict(t):
     """Poisson with L1 and L2 penalty, by reweighted least squares."""
     rows = t.part.select("p_partkey", "p_type", "p_brand", "p_size", "p_retailprice")
     train, test = split_random(rows, 0.7, key_cols=["p_partkey"])
-    data = encode_training(train, "p_size", "regression", ["p_type", "p_brand", "p_retailprice"])
-    return predict_all(test, [L.GeneralizedLinear(family="poisson", link="log", lambda_=0.1).fit_once(data)])
+    learner = L.GeneralizedLinear(family="poisson", link="log", lambda_=0.1)
+    model = train_model(train, "p_size", "regression", ["p_type", "p_brand", "p_retailprice"], learner)
+    return predict_all(test, [model])
 
 
 FLAG = """flagged AS (
@@ -159,8 +160,8 @@ def mode_sql(y: str) -> str:
 def _fit_segments(t, learner, y: str = "kind"):
     """Class from one category: a saturated classifier names the segment's most frequent class."""
     rows = _flagged(t).select(*IDS, "segment", y)
-    data = encode_training(rows, y, "classification", ["segment"])
-    return predict_all(rows, [learner.fit_once(data)]).withColumnRenamed(learner.label, "prediction")
+    model = train_model(rows, y, "classification", ["segment"], learner)
+    return predict_all(rows, [model]).withColumnRenamed(learner.label, "prediction")
 
 
 @query(mode_sql("kind"))
@@ -216,22 +217,22 @@ BAYES = f"""WITH {FLAG},
     UNION ALL SELECT kind, 'share', l_linestatus, round(p, 6) FROM share"""
 )
 def naive_bayes_model(t):
-    model, data = _bayes(t)
+    model = _bayes(t)
     tables, rows = model.model, []
-    for k, kind in enumerate(data.classes):
+    for k, kind in enumerate(model.data.classes):
         rows.append((kind, "prior", "", round(float(2.718281828459045 ** tables.log_prior[k]), 6)))
         for i, (name, digits) in enumerate((("l_quantity", 6), ("l_extendedprice", 4))):
             rows.append((kind, "mean", name, round(float(tables.mean[k, i]), digits)))
             rows.append((kind, "sd", name, round(float(tables.sd[k, i]), digits)))
-        for level, value in zip(reversed(data.encoder.levels[0]), tables.log_share[0][k]):
+        for level, value in zip(reversed(model.encoder.levels[0]), tables.log_share[0][k]):
             rows.append((kind, "share", level, round(float(2.718281828459045**value), 6)))
     return t.spark.createDataFrame(rows, "kind string, term string, level string, value double")
 
 
 def _bayes(t):
     rows = _flagged(t)
-    data = encode_training(rows, "kind", "classification", ["l_quantity", "l_extendedprice", "l_linestatus"])
-    return L.NaiveBayes(laplace=1.0).fit_once(data), data
+    predictors = ["l_quantity", "l_extendedprice", "l_linestatus"]
+    return train_model(rows, "kind", "classification", predictors, L.NaiveBayes(laplace=1.0))
 
 
 @query(
@@ -244,8 +245,7 @@ def _bayes(t):
       USING ({', '.join(IDS)}, l_quantity, l_extendedprice, kind)"""
 )
 def naive_bayes_predict(t):
-    model, _ = _bayes(t)
-    out = predict_all(_flagged(t), [model])
+    out = predict_all(_flagged(t), [_bayes(t)])
     return out.select(*IDS, "kind", F.col("Naive Bayes").alias("prediction"))
 
 
@@ -255,8 +255,8 @@ def _vectors(t):
 
 def _fit_vectors(t, learner):
     rows = _vectors(t)
-    data = encode_training(rows, "class", "classification", ["embedding"], key_cols=["vec_id"])
-    return predict_all(rows, [learner.fit_once(data)]).select("vec_id", "class", F.col(learner.label).alias("prediction"))
+    model = train_model(rows, "class", "classification", ["embedding"], learner, ["vec_id"])
+    return predict_all(rows, [model]).select("vec_id", "class", F.col(learner.label).alias("prediction"))
 
 
 VECTORS = """v AS (SELECT vec_id, 'c' || label AS class, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings)"""
@@ -299,8 +299,8 @@ def nb_mllib_gaussian_predict(t):
 )
 def nb_mllib_predict(t):
     rows = _flagged(t)
-    data = encode_training(rows, "kind", "classification", ["l_quantity", "l_linenumber"])
-    out = predict_all(rows, [L.MLlibNaiveBayes().fit_once(data)])
+    model = train_model(rows, "kind", "classification", ["l_quantity", "l_linenumber"], L.MLlibNaiveBayes())
+    out = predict_all(rows, [model])
     return out.select(*IDS, "kind", F.col("Naive Bayes").alias("prediction"))
 
 
@@ -322,8 +322,8 @@ def mlp_classify(t):
 @query()
 def mlp_predict(t):
     train, test = split_random(_words(t), 0.7, key_cols=["doc_id"])
-    data = encode_training(train, "n_chars", "regression", ["words"], key_cols=["doc_id"])
-    return predict_all(test, [L.NeuralNetwork(hidden=(20, 20), epochs=3).fit_once(data)])
+    model = train_model(train, "n_chars", "regression", ["words"], L.NeuralNetwork(hidden=(20, 20), epochs=3), ["doc_id"])
+    return predict_all(test, [model])
 
 
 def _prices(t):
@@ -404,8 +404,7 @@ def _search(t):
     search = AutoML(families=("GLM", "DRF", "XGBoost"), max_seconds=None, max_models=3, folds=2,
                     defaults=(("DRF", L.RandomForest(trees=5, max_depth=5)),))
     rows = _prices(t)
-    data = encode_training(rows, "p_retailprice", "regression", ["step", "p_size", "p_type"], key_cols=["p_partkey"])
-    return search.fit_once(data)
+    return train_model(rows, "p_retailprice", "regression", ["step", "p_size", "p_type"], search, ["p_partkey"])
 
 
 @query()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modelloom.functions import to_category, to_number, without_percent
-from modelloom.operators.encode import LINEAR, fit_encoder
+from modelloom.operators.encode import fit_encoder
 from modelloom.operators.reshape import unique, with_counter
 from modelloom.operators.schema import (
     clean_names,
@@ -213,6 +213,6 @@ def export_parquet(t):
 def encoded_features(t):
     from pyspark.ml.functions import vector_to_array
 
-    encoder = fit_encoder(t.customer, ["c_acctbal", "c_mktsegment"])
-    rows = encoder.transform(t.customer).withColumn("v", vector_to_array(LINEAR))
+    encoder, _ = fit_encoder(t.customer, ["c_acctbal", "c_mktsegment"])
+    rows = encoder.transform(t.customer).withColumn("v", vector_to_array(encoder.linear))
     return rows.select("c_custkey", *[F.col("v")[i].alias(f"slot_{i}") for i in range(len(encoder.linear_names))])

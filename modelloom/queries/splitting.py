@@ -49,15 +49,18 @@ def split_random_without_key(t):
 
 @query(
     """
-    WITH t AS (SELECT l_returnflag, l_linenumber, nullif(l_quantity, 10) AS quantity, l_shipdate FROM lineitem),
-    s AS (SELECT DISTINCT l_returnflag, l_linenumber, quantity FROM t WHERE l_shipdate < TIMESTAMP '1995-06-01')
-    SELECT l_returnflag, l_linenumber, quantity FROM t WHERE NOT EXISTS (SELECT 1 FROM s
+    WITH t AS (SELECT l_returnflag, l_linenumber, l_tax, l_discount, nullif(l_quantity, 10) AS quantity, l_shipdate FROM lineitem),
+    s AS (SELECT DISTINCT l_returnflag, l_linenumber, l_tax, l_discount, quantity FROM t WHERE l_shipdate < TIMESTAMP '1995-06-01')
+    SELECT l_returnflag, l_linenumber, l_tax, l_discount, quantity FROM t WHERE NOT EXISTS (SELECT 1 FROM s
       WHERE s.l_returnflag IS NOT DISTINCT FROM t.l_returnflag
         AND s.l_linenumber IS NOT DISTINCT FROM t.l_linenumber
+        AND s.l_tax IS NOT DISTINCT FROM t.l_tax
+        AND s.l_discount IS NOT DISTINCT FROM t.l_discount
         AND s.quantity IS NOT DISTINCT FROM t.quantity)"""
 )
 def split_duplicates_anti(t):
-    rows = t.lineitem.select("l_returnflag", "l_linenumber", F.nullif("l_quantity", F.lit(10)).alias("quantity"), "l_shipdate")
+    quantity = F.nullif("l_quantity", F.lit(10)).alias("quantity")
+    rows = t.lineitem.select("l_returnflag", "l_linenumber", "l_tax", "l_discount", quantity, "l_shipdate")
     early = rows.filter(F.col("l_shipdate") < F.lit("1995-06-01").cast("timestamp_ntz")).drop("l_shipdate")
     return complement(rows.drop("l_shipdate"), early)
 

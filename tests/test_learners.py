@@ -131,7 +131,7 @@ def test_missing_and_unseen_values_get_no_prediction(spark):
 
 def test_encoder_kinds(spark):
     df = spark.sql("SELECT 1 AS i, true AS f, DATE '2020-01-02' AS d, array(1.0F, 2.0F) AS v, 'only' AS c")
-    e = fit_encoder(df, ["i", "f", "d", "v", "c"])
+    e, _ = fit_encoder(df, ["i", "f", "d", "v", "c"])
     assert e.tree_names == ["i", "d", "v_0", "v_1", "f", "c"]
     vector = e.transform(df).first()["__tree"].toArray()
     assert list(vector) == [1.0, 1577923200.0, 1.0, 2.0, 0.0, 0.0]
