@@ -1,9 +1,8 @@
 """Feed-forward network trained data-parallel.
 
 Each epoch is one Spark job: every partition starts from the shared weights, runs
-mini-batch steps over its own rows batch by batch, and returns its weights; a
-two-step weighted mean on the executors joins them. The driver sees one weight
-vector per epoch.
+mini-batch steps over its own rows batch by batch, and returns its weights times
+its rows; the executors add these up. The driver sees one weight vector per epoch.
 """
 
 from __future__ import annotations
@@ -15,11 +14,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelloom.functions.vectors import few_partitions, sum_vectors
 from modelloom.learners.base import Learner, TrainingData, param
 from modelloom.operators.encode import LABEL
 
@@ -32,7 +32,6 @@ ACTIVATIONS = (
     "MaxoutWithDropout",
 )
 LOSSES = ("Automatic", "Quadratic", "Huber", "Absolute", "Quantile")
-MERGE_GROUPS = 64
 
 
 class Network:
@@ -220,27 +219,16 @@ class NeuralNetwork(Learner):
                     lost += float(value) * len(pick)
                 seen += n
             if seen:
+                own = np.append(flat.astype(float) * seen, [seen, lost])
                 yield pa.RecordBatch.from_pydict(
-                    {
-                        "part": pa.array([part], pa.int32()),
-                        "w": pa.array([flat.astype(float)], pa.list_(pa.float64())),
-                        "n": pa.array([float(seen)]),
-                        "loss": pa.array([lost]),
-                    }
+                    {"part": pa.array([part], pa.int32()), "own": pa.array([own], pa.list_(pa.float64()))}
                 )
 
-        workers = rows.mapInArrow(local, "part int, w array<double>, n double, loss double")
-        vector = workers.select("part", "n", "loss", array_to_vector("w").alias("w"))
-        # Sixty-four partial means first, so that no single task receives the
-        # weights of every partition.
-        partial = vector.groupBy((F.col("part") % MERGE_GROUPS).alias("g")).agg(
-            Summarizer.mean(F.col("w"), F.col("n")).alias("w"), F.sum("n").alias("n"), F.sum("loss").alias("loss")
-        )
-        row = partial.agg(
-            Summarizer.mean(F.col("w"), F.col("n")).alias("w"), F.sum("n").alias("n"), F.sum("loss").alias("loss")
-        ).first()
+        merged = sum_vectors(few_partitions(rows).mapInArrow(local, "part int, own array<double>"), "part", "own")
         shared.unpersist()
-        return row["w"].toArray(), row["loss"] / row["n"]
+        if merged is None:
+            raise ValueError("there is no complete training row")
+        return merged[:-2] / merged[-2], merged[-1] / merged[-2]
 
     def _importance(self, data: TrainingData, net: Network, weights: np.ndarray):
         """Share of each input in the absolute weights of the first two layers."""

@@ -13,10 +13,12 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelloom.functions import col
+from modelloom.functions.vectors import few_partitions, sum_vectors
 from modelloom.operators.reshape import with_counter
 from modelloom.operators.schema import numeric_columns, require_numeric
 
@@ -334,19 +336,12 @@ def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None) -> Dat
             x = np.where(seen, x, 0.0)
             m = seen.astype(float)
             total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
-        i, j = np.divmod(np.arange(k * k), k)
-        yield pa.RecordBatch.from_pydict(
-            {"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32())}
-            | {c: pa.array(total[t].ravel()) for t, c in enumerate(("n", "s", "q", "p"))}
-        )
-
-    sums = (
-        table.mapInArrow(moments, "i int, j int, n double, s double, q double, p double")
-        .groupBy("i", "j")
-        .agg(*[F.sum(c).alias(c) for c in ("n", "s", "q", "p")])
-        .toPandas()
-    )
-    n, s, q, p = (sums.pivot(index="i", columns="j", values=c).to_numpy() for c in ("n", "s", "q", "p"))
+        part = TaskContext.get().partitionId()
+        sums = pa.array([total.ravel()], pa.list_(pa.float64()))
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": sums})
+
+    merged = sum_vectors(few_partitions(table).mapInArrow(moments, "part int, sums array<double>"), "part", "sums")
+    n, s, q, p = np.zeros((4, k, k)) if merged is None else merged.reshape(4, k, k)
     with np.errstate(divide="ignore", invalid="ignore"):
         cov = p - s * s.T / n
         var = q - s * s / n

@@ -17,7 +17,7 @@ STEP_DIGITS = 4
 COLLECT_AT_MOST = 50_000
 COPIES_PER_CHUNK = 65_536
 
-_HASH, _TEXT, _CHUNK = "__hash", "__text", "__chunk"
+_HASH, _CONTENT, _CHUNK = "__hash", "__content", "__chunk"
 _COPIES, _COPY, _SAMPLED = "__copies", "__copy", "__sampled"
 
 
@@ -78,12 +78,12 @@ def _split_equal_rows(df: DataFrame, share: float, seed: int, exact: bool) -> Sp
     counted = (
         df.groupBy(*names)
         .agg(F.count(F.lit(1)).alias(_COPIES))
-        .withColumn(_TEXT, F.to_json(F.struct(*names)))
+        .withColumn(_CONTENT, F.md5(F.concat_ws("|", F.lit(str(seed)), F.to_json(F.struct(*names)))))
         .checkpoint()
     )
 
     def rank(copy: Column) -> Column:
-        return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(_TEXT), copy.cast("string")))
+        return F.md5(F.concat_ws("|", _CONTENT, copy.cast("string")))
 
     few, many = _number_few(counted), _number_many(counted)
     numbered = few.unionByName(many)
@@ -94,7 +94,7 @@ def _split_equal_rows(df: DataFrame, share: float, seed: int, exact: bool) -> Sp
     copies = F.sequence(F.lit(0).cast("long"), F.col(_COPIES) - 1)
     small = counted.filter((F.col(_COPIES) <= COPIES_PER_CHUNK) & ~F.exists(copies, lambda c: rule(rank(c))))
     large = (
-        many.groupBy(*names, _TEXT)
+        many.groupBy(*names, _CONTENT)
         .agg(F.count(F.lit(1)).alias(_COPIES), F.max(rule(rank(F.col(_COPY)))).alias(_SAMPLED))
         .filter(~F.col(_SAMPLED))
         .drop(_SAMPLED)

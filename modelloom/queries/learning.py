@@ -128,6 +128,23 @@ def glm_elastic_poisson_predict(t):
     return predict_all(test, [model])
 
 
+@query(
+    f"""WITH steps AS (SELECT p_partkey, p_retailprice - 900 AS y, CASE WHEN p_partkey % 1000 >= 500 THEN 1 ELSE 0 END AS x FROM part),
+    s AS (SELECT count(*) AS n, sum(x) AS n1, avg(y) FILTER (x = 1) AS m1, avg(y) FILTER (x = 0) AS m0, stddev_samp(x) AS sd FROM steps)
+    SELECT p_partkey, y, x, round(CASE WHEN x = 1 THEN m1 - 2.0 * sd * n / n1 ELSE m0 + 2.0 * sd * n / (n - n1) END, 3) AS prediction
+    FROM steps, s"""
+)
+def glm_lasso_poisson_predict(t):
+    """With one 0/1 predictor the lasso moves both group means together by a known step."""
+    rows = t.part.select(
+        "p_partkey",
+        (F.col("p_retailprice") - 900).alias("y"),
+        F.when(F.col("p_partkey") % 1000 >= 500, 1).otherwise(0).alias("x"),
+    )
+    learner = L.GeneralizedLinear(family="poisson", link="log", lambda_=2.0, alpha=1.0, tolerance=1e-10)
+    return predict_all(rows, [train_model(rows, "y", "regression", ["x"], learner)]).withColumnRenamed(GLM, "prediction")
+
+
 FLAG = """flagged AS (
       SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_linestatus,
         l_linestatus || '-' || l_returnflag AS segment,
@@ -361,8 +378,28 @@ def compare_regression(t):
     return result.leaderboard.drop("train_seconds")
 
 
-@query()
+@query(
+    f"""WITH {FLAG}, names AS (SELECT unnest(['Naive Bayes', 'Logistic regression', 'Decision tree', 'Random forest']) AS "Model"),
+    counts AS (SELECT segment, kind, count(*) AS c FROM flagged GROUP BY ALL),
+    score AS (SELECT sum(n) - sum(best) AS errors, sum(n) AS n FROM (SELECT max(c) AS best, sum(c) AS n FROM counts GROUP BY segment))
+    SELECT "Model", errors::BIGINT AS errors, n::BIGINT AS n, round(100.0 * errors / n, 1) AS error_pct,
+      round(100.0 * errors / n, 1) || ' % (' || errors || '/' || n || ')' AS "Error", row_number() OVER (ORDER BY "Model") AS rank
+    FROM score, names"""
+)
 def compare_classification(t):
+    """Four classifiers on one category all name its most frequent class, so their errors are known."""
+    rows = _flagged(t).select("segment", "kind")
+    chosen = [
+        L.NaiveBayes(),
+        L.Logistic(max_iterations=30),
+        L.DecisionTree(max_depth=8),
+        L.RandomForest(trees=3, sample_rate=1.0, bootstrap=False, max_depth=8),
+    ]
+    return compare(rows, rows, "kind", ["segment"], "classification", chosen).leaderboard.drop("train_seconds")
+
+
+@query()
+def compare_documents(t):
     """Five learners on the labelled documents; draws and iterations have no closed form."""
     rows = t.documents.join(t.labels, "doc_id").select("doc_id", "lang", "source", "n_chars", "quality")
     chosen = [
@@ -415,3 +452,13 @@ def auto_ml_leaderboard(t):
 @query()
 def auto_ml_leader(t):
     return leader_summary(t.spark, _search(t).model)
+
+
+@query(
+    f"""WITH {PRICE_SPLIT} SELECT p_partkey, p_partkey % 1000 AS step, p_size, p_retailprice, p_retailprice AS "Auto ML" FROM test"""
+)
+def auto_ml_predict(t):
+    """The search's leader predicts like any other model; here a line fits exactly."""
+    rows = _prices(t).select("p_partkey", "step", "p_size", "p_retailprice")
+    search = AutoML(families=("GLM",), max_seconds=None, max_models=2, folds=2)
+    return regression(rows, "p_retailprice", ["step", "p_size"], [search], key_cols=["p_partkey"]).predictions

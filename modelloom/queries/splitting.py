@@ -32,8 +32,8 @@ def split_random_hash(t):
       SELECT p_brand, p_size, p_type,
         row_number() OVER (PARTITION BY p_brand, p_size, p_type ORDER BY p_partkey) - 1 AS copy_no FROM part),
     ranked AS (
-      SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '123',
-        to_json({'p_brand': p_brand, 'p_size': p_size, 'p_type': p_type})::VARCHAR, copy_no::VARCHAR))) AS rank_no
+      SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|',
+        md5(concat_ws('|', '123', to_json({'p_brand': p_brand, 'p_size': p_size, 'p_type': p_type})::VARCHAR)), copy_no::VARCHAR))) AS rank_no
       FROM copies),
     train AS (SELECT p_brand, p_size, p_type FROM ranked
       WHERE rank_no <= (SELECT round_even(count(*) * CAST(0.3 AS DOUBLE), 0) FROM part))
