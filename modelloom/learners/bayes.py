@@ -50,7 +50,7 @@ class NaiveBayes(Learner):
     def _fit(self, data: TrainingData):
         tables = self._tables(data)
         numbers, classes = data.encoder.n_tree_numbers, len(data.classes)
-        terms = len(data.encoder.tree_names) * classes
+        terms = (numbers + sum(len(v) for v in data.encoder.levels)) * classes
 
         def score(df: DataFrame, name: str) -> DataFrame:
             x = vector_to_array(TREE)

@@ -15,6 +15,7 @@ from modelloom.learners.base import Learner, TrainingData, mllib_score, param
 from modelloom.operators.encode import LABEL
 
 _SCALED = "__scaled"
+MLLIB_GLM_COLUMNS = 4096  # what GeneralizedLinearRegression takes
 
 
 @dataclass(frozen=True)
@@ -53,7 +54,7 @@ class GeneralizedLinear(Learner):
                 tol=self.tolerance,
             ).fit(data.df)
             return mllib_score(model), (), model
-        if self.lambda_ > 0:
+        if self.lambda_ > 0 or len(data.encoder.linear_names) > MLLIB_GLM_COLUMNS:
             return self._fit_penalised(data)
         glr = GeneralizedLinearRegression(
             featuresCol=data.encoder.linear,
@@ -126,7 +127,6 @@ class GeneralizedLinear(Learner):
                 elasticNetParam=share,
                 fitIntercept=self.intercept,
                 standardization=False,
-                solver="normal",
                 maxIter=200,
                 tol=1e-9,
             ).fit(work)

@@ -106,6 +106,6 @@ def leaderboard(metrics: DataFrame, times: DataFrame | None, sort_by: str) -> Da
     has not been trained; ``times=None`` ranks the metrics alone.
     """
     field(metrics, sort_by)
-    board = metrics if times is None else metrics.join(F.broadcast(times), "Model", "inner")
+    board = metrics if times is None else metrics.join(times, "Model", "inner")
     order = Window.orderBy(F.asc_nulls_last(sort_by), "Model")
     return board.withColumn("rank", F.row_number().over(order)).orderBy("rank")

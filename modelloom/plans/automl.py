@@ -15,6 +15,7 @@ from modelloom import learners as L
 from modelloom.learners.base import RAW, Learner, TrainingData, mllib_score, param
 from modelloom.learners.linear import standardised_coefficients
 from modelloom.operators.encode import LABEL, TREE
+from modelloom.session import ensure_checkpoint_dir
 
 # The family names of the search.
 FAMILIES = ("DRF", "GLM", "XGBoost", "GBM", "DeepLearning")
@@ -152,7 +153,9 @@ class AutoML(Learner):
 
     def _search(self, data: TrainingData) -> list[Candidate]:
         sc = data.df.sparkSession.sparkContext
-        folded = data.df.withColumn(FOLD, F.floor(F.rand(self.seed) * self.folds).cast("int")).persist()
+        # Checkpointed, so that no row changes its fold when an executor is lost.
+        ensure_checkpoint_dir(data.df.sparkSession)
+        folded = data.df.withColumn(FOLD, F.floor(F.rand(self.seed) * self.folds).cast("int")).checkpoint().persist()
         deadline = None if self.max_seconds is None else time.monotonic() + self.max_seconds
         tried, seen, models, repeats = [], set(), 0, 0
         try:

@@ -98,16 +98,20 @@ def compare(
     y: str,
     features: Sequence[str],
     task: str,
-    learners: Sequence[Learner] | None = None,
+    learners: Sequence[Learner | str] | None = None,
     parallelism: int = 1,
     key_cols: Sequence[str] | None = None,
     on_error: str = "raise",
 ) -> Comparison:
     """Train any set of learners on one encoded, cached training table.
 
+    Learners are given as objects, or by name for their default parameters.
     ``on_error='keep'`` goes on when a learner fails and reports it in ``status``.
     """
+    if task not in DEFAULT_LEARNERS:
+        raise ValueError(f"task must be one of {tuple(DEFAULT_LEARNERS)}, not {task!r}")
     chosen = list(DEFAULT_LEARNERS[task] if learners is None else learners)
+    chosen = [L.learner(c) if isinstance(c, str) else c for c in chosen]
     if not chosen:
         raise ValueError("choose at least one learner")
     if not features:
@@ -158,7 +162,7 @@ def regression(
     data: DataFrame,
     y: str,
     features: Sequence[str] | None = None,
-    learners: Sequence[Learner] | None = None,
+    learners: Sequence[Learner | str] | None = None,
     share: str | float = "70%",
     seed: int = 123,
     key_cols: Sequence[str] | None = None,
@@ -180,7 +184,7 @@ def classification(
     data: DataFrame,
     y: str,
     features: Sequence[str] | None = None,
-    learners: Sequence[Learner] | None = None,
+    learners: Sequence[Learner | str] | None = None,
     share: str | float = "70%",
     seed: int = 123,
     key_cols: Sequence[str] | None = None,

@@ -174,7 +174,7 @@ def scatter_cells(t):
 def _curve(t):
     """Orders with the mean price of their status as the prediction."""
     means = t.orders.groupBy("o_orderstatus").agg(F.round(F.avg("o_totalprice"), 3).alias("Group mean"))
-    return t.orders.join(F.broadcast(means), "o_orderstatus")
+    return t.orders.join(means, "o_orderstatus")
 
 
 CURVE = "SELECT *, round((SELECT avg(o_totalprice) FROM orders g WHERE g.o_orderstatus = o.o_orderstatus), 3) AS \"Group mean\" FROM orders o"

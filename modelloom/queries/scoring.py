@@ -34,7 +34,7 @@ def _sizes(t):
     parts = t.part.withColumn("size", (F.col("p_size") - 1).cast("double"))
     means = parts.groupBy("p_type").agg(F.round(F.avg("size"), 3).alias("Type mean"))
     return (
-        parts.join(F.broadcast(means), "p_type")
+        parts.join(means, "p_type")
         .withColumn("Constant", F.lit(20.0))
         .withColumn("Gappy", F.when(F.col("p_type") != "PROMO", F.col("size") * 1.25))
     )

@@ -84,6 +84,17 @@ def test_bad_choices(flowers):
         compare(taken, taken, "w", ["l"], "regression", [L.DecisionTree()])
 
 
+def test_learners_by_name(flowers):
+    train = flowers.toDF("w", "l", "s", "k")
+    result = compare(train, train, "w", ["l"], "regression", ["DecisionTree", "Generalized linear regression"])
+    assert result.labels == ["Decision tree", "Generalized linear regression"]
+    assert isinstance(L.learner("Naive Bayes"), L.NaiveBayes)
+    with pytest.raises(ValueError, match="no learner"):
+        L.learner("SVM")
+    with pytest.raises(ValueError, match="task"):
+        compare(train, train, "w", ["l"], "clustering")
+
+
 def test_failures_are_reported(flowers):
     train = flowers.toDF("w", "l", "s", "k").withColumn("w", F.col("w") - 5)
     chosen = [L.GeneralizedLinear(family="gamma", link="log"), L.DecisionTree(max_depth=2)]
