@@ -16,6 +16,7 @@ from modelloom.operators.encode import LABEL, LINEAR, OK, TREE, Encoder, fit_enc
 
 RAW = "__raw"
 UNEVEN = 4  # times the fair size at which a partition counts as overfull
+ROWS_PER_PARTITION = 250_000
 SMALL_PARTITION = 20_000  # rows that no pass minds
 
 
@@ -45,6 +46,7 @@ def encode_training(
     key_cols: Sequence[str] | None = None,
     partitions: int | None = None,
     learners: Sequence["Learner"] = (),
+    missing: str = "skip",
 ) -> TrainingData:
     """Encode the complete training rows and cache them.
 
@@ -52,8 +54,13 @@ def encode_training(
     seeded learners, whose draws follow row positions, give the same model for the
     same rows however the input was partitioned. Otherwise rows stay where they
     are, unless a few partitions hold most of them. ``learners`` limits the cached
-    vectors to the layouts those need.
+    vectors to the layouts those need. ``missing='error'`` refuses incomplete rows
+    instead of leaving them out.
     """
+    if missing not in ("skip", "error"):
+        raise ValueError("missing must be 'skip' or 'error'")
+    if missing == "error":
+        _refuse_incomplete(train, [*features, y])
     train = train.filter(col(y).isNotNull())
     if task == "regression":
         train = train.filter(~F.isnan(col(y).cast("double")))
@@ -67,7 +74,7 @@ def encode_training(
     if key_cols:
         keys = [col(c) for c in key_cols]
         if partitions is None:
-            partitions = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            partitions = _layout_partitions(train)
         train = train.repartition(partitions, *keys).sortWithinPartitions(*keys)
     names = {"linear": encoder.linear, "tree": TREE}
     layouts = {v for learner in learners for v in learner.layouts} or set(names)
@@ -78,6 +85,23 @@ def encode_training(
     return TrainingData(encoded, encoder, task, classes)
 
 
+def _refuse_incomplete(train: DataFrame, names: Sequence[str]) -> None:
+    row = train.agg(F.count(F.lit(1)).alias("n"), *[F.count(col(c)).alias(f"n{i}") for i, c in enumerate(names)]).first()
+    gaps = {c: row["n"] - row[f"n{i}"] for i, c in enumerate(names) if row[f"n{i}"] < row["n"]}
+    if gaps:
+        raise ValueError(f"missing values per column: {gaps}")
+
+
+def _layout_partitions(train: DataFrame) -> int:
+    """Enough partitions for the rows, at least one per core, at most Spark's own number.
+
+    It follows from the row count, not from how the input happens to be laid out.
+    """
+    spark = train.sparkSession
+    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return min(most, max(spark.sparkContext.defaultParallelism, train.count() // ROWS_PER_PARTITION))
+
+
 def _spread(encoded: DataFrame) -> DataFrame:
     """Deal the cached rows out evenly if some partition holds far more than its part.
 

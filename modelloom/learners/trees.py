@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark import inheritable_thread_target
+from pyspark import SparkContext, StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from modelloom.learners.base import Learner, TrainingData, mllib_score, param
@@ -19,6 +20,8 @@ from modelloom.session import ensure_checkpoint_dir
 # Spark trains the nodes of a tree level in groups that fit this many megabytes;
 # more memory means fewer passes over the data.
 NODE_MEMORY_MB = 512
+RESPONSE_BOUND = 4.0
+LEAST_WEIGHT = 1e-6
 
 
 def _bins(data: TrainingData, wanted: int) -> int:
@@ -92,7 +95,7 @@ class RandomForest(Learner):
 
 @dataclass(frozen=True)
 class GradientBoosting(Learner):
-    """Boosted trees; more than two classes are boosted one against the rest."""
+    """Boosted trees; more than two classes are boosted jointly over a softmax."""
 
     label = "Gradient boosted trees"
     tasks = ("regression", "classification")
@@ -104,7 +107,7 @@ class GradientBoosting(Learner):
     learn_rate: float = param(0.1, 1e-6, 1)
     min_rows: int = param(2, 1, 1_000_000)
     bins: int = param(32, 2, 10_000)
-    parallelism: int = 2
+    parallelism: int = 4
     seed: int = 123
 
     def _fit(self, data: TrainingData):
@@ -121,23 +124,77 @@ class GradientBoosting(Learner):
         if len(data.classes) == 2:
             model = GBTClassifier(**shared).fit(data.df)
             return mllib_score(model), _importance(data, model.featureImportances), model
-        return self._one_against_rest(data, shared)
-
-    def _one_against_rest(self, data: TrainingData, shared: dict):
-        def fit_one(k: int):
-            own = F.when(F.col(LABEL) == k, 1.0).otherwise(0.0)
-            return GBTClassifier(**(shared | {"labelCol": "__own"})).fit(data.df.select(TREE, own.alias("__own")))
-
-        with ThreadPoolExecutor(self.parallelism) as pool:
-            models = list(pool.map(inheritable_thread_target(data.df.sparkSession)(fit_one), range(len(data.classes))))
+        return self._multinomial(data)
+
+    def _multinomial(self, data: TrainingData):
+        """One regression tree per class and round, on the slope of the softmax likelihood.
+
+        Trees are fitted to (y - p) / w with weights w = p (1 - p), so that a leaf's
+        weighted mean is its Newton step (Friedman, Hastie and Tibshirani 2000, whose
+        bound on the working response is used too). Scores are recomputed from the
+        trees so far instead of being carried along, so no lineage builds up over
+        the rounds; one cached frame serves the trees of a round.
+        """
+        count = len(data.classes)
+        rows = data.df.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).collect()
+        sizes = np.zeros(count)
+        for r in rows:
+            sizes[int(r[LABEL])] = r["n"]
+        prior = np.log(sizes / sizes.sum())
+        grown: list[list] = [[] for _ in range(count)]
+        rate = self.learn_rate * (count - 1) / count
+        settings = _common(data, self.max_depth, self.bins, self.seed) | {"labelCol": "__z"}
+
+        def scores(df):
+            for k, trees in enumerate(grown):
+                if trees:
+                    df = _ensemble(trees, rate, f"__f{k}").transform(df)
+            return df, [F.lit(float(prior[k])) + (F.col(f"__f{k}") if grown[k] else F.lit(0.0)) for k in range(count)]
+
+        def grow(frame, k: int):
+            p = F.col("__p")[k]
+            weight = F.greatest(p * (1 - p), F.lit(LEAST_WEIGHT))
+            step = (F.when(F.col(LABEL) == k, 1.0).otherwise(0.0) - p) / weight
+            work = frame.select(
+                TREE,
+                F.least(F.greatest(step, F.lit(-RESPONSE_BOUND)), F.lit(RESPONSE_BOUND)).alias("__z"),
+                weight.alias("__w"),
+            )
+            return DecisionTreeRegressor(weightCol="__w", minInstancesPerNode=self.min_rows, **settings).fit(work)
+
+        for t in range(self.trees):
+            df, f = scores(data.df)
+            top = F.greatest(*f)
+            e = [F.exp(v - top) for v in f]
+            total = reduce(lambda a, b: a + b, e)
+            frame = df.select(LABEL, TREE, F.array(*[v / total for v in e]).alias("__p"))
+            if self.sample_rate < 1:
+                frame = frame.sample(self.sample_rate, seed=self.seed + t)
+            frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                with ThreadPoolExecutor(self.parallelism) as pool:
+                    one = inheritable_thread_target(frame.sparkSession)(lambda k: grow(frame, k))
+                    for trees, tree in zip(grown, list(pool.map(one, range(count)))):
+                        trees.append(tree)
+            finally:
+                frame.unpersist()
 
         def score(df, name):
-            raw = [f"__raw{k}" for k in range(len(models))]
-            for m, r in zip(models, raw):
-                quiet = m.copy({m.rawPredictionCol: r, m.probabilityCol: "", m.predictionCol: ""})
-                df = quiet.transform(df)
-            margins = [F.struct(vector_to_array(r)[1].alias("m"), F.lit(-float(k)).alias("k")) for k, r in enumerate(raw)]
-            return df.withColumn(name, -F.array_max(F.array(*margins))["k"]).drop(*raw)
-
-        mean = np.mean([m.featureImportances.toArray() for m in models], axis=0)
-        return score, _importance(data, mean), models
+            out, f = scores(df)
+            best = F.array_max(F.array(*[F.struct(v.alias("f"), F.lit(-float(k)).alias("k")) for k, v in enumerate(f)]))
+            return out.withColumn(name, -best["k"]).drop(*[f"__f{k}" for k in range(count)])
+
+        shares = np.mean([tree.featureImportances.toArray() for trees in grown for tree in trees], axis=0)
+        return score, _importance(data, shares / (shares.sum() or 1.0)), grown
+
+
+def _ensemble(trees: list, rate: float, name: str) -> GBTRegressionModel:
+    """Fitted trees as one MLlib model: the sum of their values times ``rate``."""
+    sc = SparkContext._active_spark_context
+    kind = sc._jvm.org.apache.spark.ml.regression
+    members = sc._gateway.new_array(kind.DecisionTreeRegressionModel, len(trees))
+    weights = sc._gateway.new_array(sc._jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        members[i], weights[i] = tree._java_obj, rate
+    model = GBTRegressionModel(kind.GBTRegressionModel(f"rounds_{uuid.uuid4().hex[:12]}", members, weights))
+    return model.setFeaturesCol(TREE).setPredictionCol(name)

@@ -102,11 +102,13 @@ def compare(
     parallelism: int = 1,
     key_cols: Sequence[str] | None = None,
     on_error: str = "raise",
+    missing: str = "skip",
 ) -> Comparison:
     """Train any set of learners on one encoded, cached training table.
 
     Learners are given as objects, or by name for their default parameters.
-    ``on_error='keep'`` goes on when a learner fails and reports it in ``status``.
+    ``on_error='keep'`` goes on when a learner fails and reports it in ``status``;
+    ``missing='error'`` refuses training rows with missing values.
     """
     if task not in DEFAULT_LEARNERS:
         raise ValueError(f"task must be one of {tuple(DEFAULT_LEARNERS)}, not {task!r}")
@@ -124,7 +126,7 @@ def compare(
     for learner in chosen:
         if task not in learner.tasks:
             raise ValueError(f"{learner.label} does not serve {task}")
-    data = encode_training(train, y, task, features, key_cols, learners=chosen)
+    data = encode_training(train, y, task, features, key_cols, learners=chosen, missing=missing)
 
     def run(learner: Learner):
         try:

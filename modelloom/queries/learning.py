@@ -208,8 +208,8 @@ def gbt_classify(t):
 
 @query(mode_sql("kind"))
 def gbt_classify_many(t):
-    """More than two classes are boosted one against the rest."""
-    return _fit_segments(t, L.GradientBoosting(trees=3, max_depth=5))
+    """More than two classes are boosted jointly, one tree per class and round."""
+    return _fit_segments(t, L.GradientBoosting(trees=4, max_depth=4))
 
 
 # Two numbers and one category; class shares are smoothed by one.
@@ -331,6 +331,11 @@ def rf_vectors_predict(t):
     return _fit_vectors(t, L.RandomForest(trees=10, max_depth=5))
 
 
+@query()
+def gbt_vectors_predict(t):
+    return _fit_vectors(t, L.GradientBoosting(trees=2, max_depth=3))
+
+
 @query()
 def mlp_classify(t):
     return _fit_vectors(t, L.NeuralNetwork(hidden=(50,), epochs=3))
@@ -357,6 +362,19 @@ def importance_rf(t):
     return top_features(result.importance)
 
 
+@query(
+    """
+    SELECT 'Decision tree' AS model, feature, importance, importance AS scaled_importance, rank FROM (
+      SELECT * FROM (VALUES ('upper', 1.0::DOUBLE, 1), ('p_size', 0.0::DOUBLE, 2)) v(feature, importance, rank))
+    WHERE (SELECT count(*) FROM part) > 0"""
+)
+def importance_single_split(t):
+    """The one split of a stump goes to the half the price was made from."""
+    rows = t.part.select("p_size", "p_retailprice", F.when(F.col("p_retailprice") >= 950, 1).otherwise(0).alias("upper"))
+    result = compare(rows, rows, "p_retailprice", ["p_size", "upper"], "regression", [L.DecisionTree(max_depth=1)])
+    return top_features(result.importance)
+
+
 SATURATED = [
     L.GeneralizedLinear(),
     L.RandomForest(trees=3, sample_rate=1.0, bootstrap=False, max_depth=8),

@@ -95,6 +95,13 @@ def test_learners_by_name(flowers):
         compare(train, train, "w", ["l"], "clustering")
 
 
+def test_missing_values_can_be_refused(spark):
+    df = spark.createDataFrame([(1.0, 1.0), (2.0, None), (3.0, 3.0)], "y double, x double")
+    with pytest.raises(ValueError, match="'x': 1"):
+        compare(df, df, "y", ["x"], "regression", ["DecisionTree"], missing="error")
+    assert compare(df, df, "y", ["x"], "regression", ["DecisionTree"]).predictions.count() == 3
+
+
 def test_failures_are_reported(flowers):
     train = flowers.toDF("w", "l", "s", "k").withColumn("w", F.col("w") - 5)
     chosen = [L.GeneralizedLinear(family="gamma", link="log"), L.DecisionTree(max_depth=2)]

@@ -185,6 +185,17 @@ def test_task_mismatch(planted):
         L.Logistic().fit(encode_training(planted, "y", "regression", ["a"]))
 
 
+def test_joint_boosting_of_three_classes(planted):
+    """More rounds fit better; importances are shares."""
+    data = encode_training(planted, "side", "classification", ["a", "b", "kind"])
+    errors = [error(planted, L.GradientBoosting(trees=n, max_depth=2, learn_rate=0.3).fit(data), "side") for n in (1, 8)]
+    assert errors[1] < errors[0]
+    model = L.GradientBoosting(trees=3, max_depth=3, sample_rate=0.8).fit(data)
+    assert math.isclose(sum(v for _, v in model.importance), 1.0, rel_tol=1e-9)
+    assert dict(model.importance)["kind"] < dict(model.importance)["a"]
+    assert [len(trees) for trees in model.model] == [3, 3, 3]
+
+
 @pytest.mark.parametrize("activation", [a for a in ACTIVATIONS if not a.endswith("Dropout")])
 @pytest.mark.parametrize("loss", ["CrossEntropy", *[v for v in LOSSES if v != "Automatic"]])
 def test_network_gradient(activation, loss):
