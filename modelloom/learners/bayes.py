@@ -13,6 +13,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from modelloom.learners import names
 from modelloom.learners.base import Learner, TrainingData, mllib_score, param
 from modelloom.operators.encode import LABEL, TREE
 
@@ -38,7 +39,7 @@ class NaiveBayes(Learner):
     ``min_prob``.
     """
 
-    label = "Naive Bayes"
+    label = names.NAIVE_BAYES
     tasks = ("classification",)
     layouts = ("tree",)
 
@@ -132,7 +133,7 @@ def _score_batches(df: DataFrame, name: str, x, t: BayesTables, numbers: int) ->
 class MLlibNaiveBayes(Learner):
     """MLlib's naive Bayes; ``multinomial`` and ``complement`` need values >= 0."""
 
-    label = "Naive Bayes"
+    label = names.NAIVE_BAYES
     tasks = ("classification",)
     layouts = ("linear",)
 

@@ -11,6 +11,7 @@ from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
+from modelloom.learners import names
 from modelloom.learners.base import Learner, TrainingData, mllib_score, param
 from modelloom.operators.encode import LABEL
 
@@ -26,12 +27,12 @@ class GeneralizedLinear(Learner):
     of the coefficients of standardised predictors.
     """
 
-    label = "Generalized linear regression"
+    label = names.GENERALIZED_LINEAR
     tasks = ("regression",)
     layouts = ("linear",)
 
-    family: str = param("gaussian", choices=("gaussian", "poisson", "gamma", "tweedie"))
-    link: str = param("identity", choices=("identity", "log"))
+    family: str = param("gaussian", choices=names.GLM_FAMILIES)
+    link: str = param("identity", choices=names.GLM_LINKS)
     intercept: bool = True
     lambda_: float = param(0.0, 0, 10)
     alpha: float = param(0.5, 0, 1)
@@ -147,7 +148,7 @@ class GeneralizedLinear(Learner):
 class Logistic(Learner):
     """Binomial or multinomial logistic regression with elastic net."""
 
-    label = "Logistic regression"
+    label = names.LOGISTIC
     tasks = ("classification",)
     layouts = ("linear",)
 

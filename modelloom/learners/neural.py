@@ -20,19 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelloom.functions.vectors import few_partitions, sum_vectors
+from modelloom.learners import names
 from modelloom.learners.base import Learner, TrainingData, param
 from modelloom.operators.encode import LABEL
 
-ACTIVATIONS = (
-    "Rectifier",
-    "Tanh",
-    "Maxout",
-    "RectifierWithDropout",
-    "TanhWithDropout",
-    "MaxoutWithDropout",
-)
-LOSSES = ("Automatic", "Quadratic", "Huber", "Absolute", "Quantile")
-
 
 class Network:
     """Layer sizes, and forward and backward passes over a batch."""
@@ -132,12 +123,12 @@ def output_slope(out: np.ndarray, y: np.ndarray, loss: str, quantile: float) ->
 
 @dataclass(frozen=True)
 class NeuralNetwork(Learner):
-    label = "Neural network"
+    label = names.NEURAL_NETWORK
     tasks = ("regression", "classification")
     layouts = ("linear",)
 
-    activation: str = param("Rectifier", choices=ACTIVATIONS)
-    loss: str = param("Automatic", choices=LOSSES)
+    activation: str = param("Rectifier", choices=names.ACTIVATIONS)
+    loss: str = param("Automatic", choices=names.LOSSES)
     hidden: tuple[int, ...] = (200, 200)
     epochs: int = param(10, 1, 100)
     rate: float = param(0.005, 1e-6, 0.1)

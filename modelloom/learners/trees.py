@@ -13,6 +13,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, Ran
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
+from modelloom.learners import names
 from modelloom.learners.base import Learner, TrainingData, mllib_score, param
 from modelloom.operators.encode import LABEL, TREE
 from modelloom.session import ensure_checkpoint_dir
@@ -49,7 +50,7 @@ def _common(data: TrainingData, depth: int, bins: int, seed: int) -> dict:
 
 @dataclass(frozen=True)
 class DecisionTree(Learner):
-    label = "Decision tree"
+    label = names.DECISION_TREE
     tasks = ("regression", "classification")
     layouts = ("tree",)
 
@@ -68,7 +69,7 @@ class DecisionTree(Learner):
 
 @dataclass(frozen=True)
 class RandomForest(Learner):
-    label = "Random forest"
+    label = names.RANDOM_FOREST
     tasks = ("regression", "classification")
     layouts = ("tree",)
 
@@ -97,7 +98,7 @@ class RandomForest(Learner):
 class GradientBoosting(Learner):
     """Boosted trees; more than two classes are boosted jointly over a softmax."""
 
-    label = "Gradient boosted trees"
+    label = names.GRADIENT_BOOSTING
     tasks = ("regression", "classification")
     layouts = ("tree",)
 

@@ -12,13 +12,12 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from modelloom import learners as L
+from modelloom.learners import names
 from modelloom.learners.base import RAW, Learner, TrainingData, mllib_score, param
 from modelloom.learners.linear import standardised_coefficients
 from modelloom.operators.encode import LABEL, TREE
 from modelloom.session import ensure_checkpoint_dir
 
-# The family names of the search.
-FAMILIES = ("DRF", "GLM", "XGBoost", "GBM", "DeepLearning")
 # First round, one candidate per family, the cheap ones first.
 ORDER = ("GLM", "DRF", "GBM", "DeepLearning", "XGBoost")
 FOLD = "__fold"
@@ -107,10 +106,10 @@ class AutoML(Learner):
     leader. Results repeat exactly only with ``max_models`` and no time limit.
     """
 
-    label = "Auto ML"
+    label = names.AUTO_ML
     tasks = ("regression", "classification")
 
-    families: tuple[str, ...] = FAMILIES
+    families: tuple[str, ...] = names.SEARCH_FAMILIES
     max_seconds: float | None = 15.0
     max_models: int | None = None
     folds: int = param(3, 2, 20)
@@ -119,9 +118,9 @@ class AutoML(Learner):
 
     def __post_init__(self):
         super().__post_init__()
-        unknown = [f for f in self.families if f not in FAMILIES]
+        unknown = [f for f in self.families if f not in names.SEARCH_FAMILIES]
         if not self.families or unknown:
-            raise ValueError(f"choose families out of {FAMILIES}; unknown: {unknown}")
+            raise ValueError(f"choose families out of {names.SEARCH_FAMILIES}; unknown: {unknown}")
         if self.max_seconds is None and self.max_models is None:
             raise ValueError("set max_seconds or max_models")
 

@@ -388,7 +388,7 @@ NAMES = "(VALUES ('Generalized linear regression'), ('Random forest'), ('Decisio
     f"""WITH {PART_SPLIT}, means AS (SELECT p_type, round(avg(p_size), 3) AS p FROM train GROUP BY 1),
     scores AS (SELECT round(100 * avg(abs((p - p_size) / p_size)), 1) AS mape, round(sqrt(avg(pow(p - p_size, 2))), 2) AS rmse
       FROM test JOIN means USING (p_type))
-    SELECT "Model", mape, rmse, row_number() OVER (ORDER BY "Model") AS rank FROM scores, {NAMES}"""
+    SELECT "Model", mape, rmse, CAST(row_number() OVER (ORDER BY "Model") AS INTEGER) AS rank FROM scores, {NAMES}"""
 )
 def compare_regression(t):
     """Four learners on one category agree on the group means, so their errors are known."""
@@ -401,7 +401,7 @@ def compare_regression(t):
     counts AS (SELECT segment, kind, count(*) AS c FROM flagged GROUP BY ALL),
     score AS (SELECT sum(n) - sum(best) AS errors, sum(n) AS n FROM (SELECT max(c) AS best, sum(c) AS n FROM counts GROUP BY segment))
     SELECT "Model", errors::BIGINT AS errors, n::BIGINT AS n, round(100.0 * errors / n, 1) AS error_pct,
-      round(100.0 * errors / n, 1) || ' % (' || errors || '/' || n || ')' AS "Error", row_number() OVER (ORDER BY "Model") AS rank
+      round(100.0 * errors / n, 1) || ' % (' || errors || '/' || n || ')' AS "Error", CAST(row_number() OVER (ORDER BY "Model") AS INTEGER) AS rank
     FROM score, names"""
 )
 def compare_classification(t):

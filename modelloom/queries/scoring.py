@@ -52,7 +52,7 @@ def regression_metrics_skip(t):
 
 @query(
     SIZE_SQL
-    + 'SELECT "Model", mape_skip AS mape, rmse_skip AS rmse, row_number() OVER (ORDER BY mape_skip, "Model") AS rank FROM scores'
+    + 'SELECT "Model", mape_skip AS mape, rmse_skip AS rmse, CAST(row_number() OVER (ORDER BY mape_skip, "Model") AS INTEGER) AS rank FROM scores'
 )
 def regression_leaderboard(t):
     scores = metrics.regression_metrics(_sizes(t), "size", SIZES, zero_policy="skip", null_policy="skip")
@@ -113,7 +113,7 @@ def confusion_matrix_dense(t):
 @query(
     FLAG_SQL
     + """SELECT "Model", errors, n, error_pct, error_pct || ' % (' || errors || '/' || n || ')' AS "Error", train_seconds,
-      row_number() OVER (ORDER BY error_pct, "Model") AS rank FROM scores JOIN times USING ("Model")"""
+      CAST(row_number() OVER (ORDER BY error_pct, "Model") AS INTEGER) AS rank FROM scores JOIN times USING ("Model")"""
 )
 def metrics_join_times(t):
     """A model without a training time drops out of the board."""
@@ -126,7 +126,7 @@ def metrics_join_times(t):
 
 @query(
     """
-    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY importance DESC, feature) AS rank FROM (
+    SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY model ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM (
       SELECT p_type AS model, p_brand AS feature, round(avg(p_size), 6) AS importance FROM part GROUP BY ALL)) WHERE rank <= 5"""
 )
 def top_features_by_model(t):

@@ -8,7 +8,8 @@ from modelloom import learners as L
 from modelloom.learners import bayes
 from modelloom.learners.base import encode_training, predict_all
 from modelloom.learners.linear import standardised_coefficients
-from modelloom.learners.neural import ACTIVATIONS, LOSSES, Network, output_slope
+from modelloom.learners.names import ACTIVATIONS, LOSSES
+from modelloom.learners.neural import Network, output_slope
 from modelloom.operators.encode import fit_encoder
 from modelloom.operators.metrics import classification_metrics, regression_metrics
 
