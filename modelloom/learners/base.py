@@ -65,23 +65,17 @@ def encode_training(
     if task == "regression":
         train = train.filter(~F.isnan(col(y).cast("double")))
     encoder, classes = fit_encoder(train, features, target=y if task == "classification" else None)
+    train = _lay_out(train, key_cols, partitions)
     if task == "regression":
         train = train.withColumn(LABEL, col(y).cast("double"))
     else:
         # Classes seen in incomplete rows only are skipped along with those rows.
         indexer = StringIndexerModel.from_labels(list(classes), inputCol="__y", outputCol=LABEL, handleInvalid="skip")
         train = indexer.transform(train.withColumn("__y", col(y).cast("string"))).drop("__y")
-    if key_cols:
-        keys = [col(c) for c in key_cols]
-        if partitions is None:
-            partitions = _layout_partitions(train)
-        train = train.repartition(partitions, *keys).sortWithinPartitions(*keys)
     names = {"linear": encoder.linear, "tree": TREE}
     layouts = {v for learner in learners for v in learner.layouts} or set(names)
     vectors = sorted({names[v] for v in layouts})
     encoded = encoder.transform(train, fitting=True).select(LABEL, *vectors).persist(StorageLevel.MEMORY_AND_DISK)
-    if not key_cols:
-        encoded = _spread(encoded)
     return TrainingData(encoded, encoder, task, classes)
 
 
@@ -92,32 +86,27 @@ def _refuse_incomplete(train: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"missing values per column: {gaps}")
 
 
-def _layout_partitions(train: DataFrame) -> int:
-    """Enough partitions for the rows, at least one per core, at most Spark's own number.
-
-    It follows from the row count, not from how the input happens to be laid out.
-    """
-    spark = train.sparkSession
-    most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return min(most, max(spark.sparkContext.defaultParallelism, train.count() // ROWS_PER_PARTITION))
-
-
-def _spread(encoded: DataFrame) -> DataFrame:
-    """Deal the cached rows out evenly if some partition holds far more than its part.
+def _lay_out(train: DataFrame, key_cols: Sequence[str] | None, partitions: int | None) -> DataFrame:
+    """Training rows by key, or dealt out evenly if some partition holds far more than its part.
 
     Learners pass over these rows dozens of times and each pass waits for the
-    largest partition. The sizes come from the pass that fills the cache.
+    largest partition. Sizes come from one counting pass that reads no predictor.
+    The number of partitions for a key follows from the row count (at least one
+    per core, at most Spark's own number), not from how the input is laid out.
     """
-    sizes = encoded.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    spark = train.sparkSession
+    slots = spark.sparkContext.defaultParallelism
+    sizes = train.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
     row = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("rows"), F.count("p").alias("parts")).first()
-    slots = encoded.sparkSession.sparkContext.defaultParallelism
-    fair = (row["rows"] or 0) / max(row["parts"], slots)
-    if (row["largest"] or 0) <= max(UNEVEN * fair, SMALL_PARTITION):
-        return encoded
-    even = encoded.repartition(max(row["parts"], slots)).persist(StorageLevel.MEMORY_AND_DISK)
-    even.count()
-    encoded.unpersist()
-    return even
+    rows, largest = row["rows"] or 0, row["largest"] or 0
+    if key_cols:
+        keys = [col(c) for c in key_cols]
+        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        wanted = partitions or min(most, max(slots, rows // ROWS_PER_PARTITION))
+        return train.repartition(wanted, *keys).sortWithinPartitions(*keys)
+    if largest > max(UNEVEN * rows / max(row["parts"], slots), SMALL_PARTITION):
+        return train.repartition(max(row["parts"], slots))
+    return train
 
 
 @dataclass(frozen=True)

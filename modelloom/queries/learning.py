@@ -369,8 +369,10 @@ def importance_rf(t):
     WHERE (SELECT count(*) FROM part) > 0"""
 )
 def importance_single_split(t):
-    """The one split of a stump goes to the half the price was made from."""
-    rows = t.part.select("p_size", "p_retailprice", F.when(F.col("p_retailprice") >= 950, 1).otherwise(0).alias("upper"))
+    """The one split of a stump goes to the half of the price range, not to the size."""
+    middle = t.part.agg(F.avg("p_retailprice")).first()[0]
+    upper = F.when(F.col("p_retailprice") >= F.lit(middle), 1).otherwise(0)
+    rows = t.part.select("p_size", "p_retailprice", upper.alias("upper"))
     result = compare(rows, rows, "p_retailprice", ["p_size", "upper"], "regression", [L.DecisionTree(max_depth=1)])
     return top_features(result.importance)
 
