@@ -8,8 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelloom.llm.common import held_out
+from modelloom.llm.fingerprints import fingerprint_with_next
 from modelloom.llm.jaccard import Likeness, similar_documents
 from modelloom.llm.language import fit_language, predict_language
+from modelloom.llm.mixing import mix_sources
+from modelloom.llm.packing import pack_documents
+from modelloom.llm.quality import BASE, judge_quality
+from modelloom.llm.token_counts import count_tokens
 from modelloom.llm.toxicity import fit_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +30,32 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query
+def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return count_tokens(table(spark, folder, "documents"), keep=["doc_id"])
+
+
+@query
+def op2_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_with_next(table(spark, folder, "documents"))
+
+
+@query
+def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    found = judge_quality(table(spark, folder, "documents"), keep=["doc_id"])
+    return found.select("doc_id", *BASE, "base_failed", "kept", "quality")
+
+
+@query
+def op4_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(table(spark, folder, "documents"))
+
+
 @query
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     found = similar_documents(table(spark, folder, "documents"), like=Likeness(words=3, percent=90))
