@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from modelloom.llm import chat
 from modelloom.llm.common import held_out
 from modelloom.llm.fingerprints import fingerprint_with_next
 from modelloom.llm.jaccard import Likeness, similar_documents
 from modelloom.llm.language import fit_language, predict_language
+from modelloom.llm.licenses import scan_licenses
 from modelloom.llm.mixing import mix_sources
 from modelloom.llm.packing import pack_documents
 from modelloom.llm.quality import BASE, judge_quality
@@ -70,6 +72,19 @@ def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+@query
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_chats(table(spark, folder, "conversations"))
+
+
+SQL["op8_chat_formatting"] = chat.SQL
+
+
+@query
+def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(table(spark, folder, "documents"))
+
+
 @query
 def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
