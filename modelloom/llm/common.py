@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from modelloom.session import ensure_checkpoint_dir
 #: Odd 64-bit constants: a multiplier for rolling hashes and two for the final mixing.
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Bytes of text that a worker takes up at a time.
+PART_BYTES = 4_000_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -59,15 +62,25 @@ def with_text_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         function = compute()
-        for batch in batches:
-            if batch.num_rows:
-                values = function(batch.column(n).to_pylist())
-                arrays = [as_arrow(v, t) for v, t in zip(values, new_types, strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=out.names)
+        for batch in in_parts(batches, n):
+            values = function(batch.column(n).to_pylist())
+            arrays = [as_arrow(v, t) for v, t in zip(values, new_types, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *arrays], names=out.names)
 
     return source.mapInArrow(run, out)
 
 
+def in_parts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``PART_BYTES`` in column ``text``, so that memory stays bounded."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+        ends, a = np.cumsum(sizes.astype(np.int64) + 100), 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PART_BYTES)))
+            yield batch.slice(a, b - a)
+            a = b
+
+
 def as_arrow(values, kind: pa.DataType) -> pa.Array:
     return values if isinstance(values, pa.Array) else pa.array(values, type=kind)
 

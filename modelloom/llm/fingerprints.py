@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelloom.functions import col
-from modelloom.llm.common import ROLL, mixed, shingles, with_text_columns, word_hashes, words_of
+from modelloom.llm.common import ROLL, in_parts, mixed, shingles, with_text_columns, word_hashes, words_of
 
 
 @dataclass(frozen=True)
@@ -135,7 +135,7 @@ def fingerprint_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def compare(batches):
         earlier = None
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             out = []
             columns = [batch.column(i).to_pylist() for i in range(4)]
             for key, text, place, added in zip(*columns, strict=True):

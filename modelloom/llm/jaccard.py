@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from modelloom.functions import col
 from modelloom.llm.common import (
     checkpointed,
+    in_parts,
     key_groups,
     list_array,
     list_parts,
@@ -42,7 +43,7 @@ from modelloom.llm.components import connected_components
 
 #: Counters of the shingle order, shingles and nodes in a block, bits of the filter of needed
 #: rows, columns of one dense product, shingles for a byte of a sketch and its least length.
-COUNTERS, BLOCK, BLOCK_NODES, FILTER_BITS, COLUMNS, PER_BIN, LEAST_BINS = 1 << 18, 500_000, 2000, 1 << 22, 2048, 8, 16
+COUNTERS, BLOCK, BLOCK_NODES, FILTER_BITS, COLUMNS, PER_BIN, LEAST_BINS = 1 << 18, 500_000, 1500, 1 << 22, 2048, 8, 16
 KEYS = ["region", "low", "high"]
 
 
@@ -77,7 +78,7 @@ def shingle_order(docs: DataFrame, text_col: str, like: Likeness) -> np.ndarray:
 
     def count(batches):
         total = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
+        for batch in in_parts(batches, 0):
             for text in batch.column(0).to_pylist():
                 found = (like.shingle_set(text) & np.uint64(COUNTERS - 1)).astype(np.int64)
                 np.add.at(total, found, 1)
@@ -116,7 +117,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def sets(batches):
         order, seen = counters.value, set()
-        for batch in batches:
+        for batch in in_parts(batches, 2):
             found = [like.shingle_set(t) for t in batch.column(2).to_pylist()]
             keys = [set_key(f) for f in found]
             # A task gives the prefix of each set once, so that copies are no hot key below.
@@ -272,7 +273,7 @@ def block_links(rows: DataFrame, nodes: DataFrame, regions: DataFrame, counters,
     shared_table = spark.sparkContext.broadcast(np.unpackbits(table.view(np.uint8), bitorder="little").astype(bool))
 
     def sets(batches):
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             hashes = batch.column(0).to_numpy()
             batch = batch.filter(pa.array(shared_table.value[hashes % FILTER_BITS]))
             found = [like.shingle_set(t) for t in batch.column(1).to_pylist()]
@@ -299,7 +300,7 @@ def links_within(group: pa.Table, counters: np.ndarray, like: Likeness) -> tuple
     """A star for each component of the links within a block or between two blocks."""
     node, own = group["node"].to_numpy(), group["own"].to_numpy()
     flat, offsets = list_parts(group["tokens"].combine_chunks())
-    n, m = np.diff(offsets).astype(np.int64), len(node)
+    n, m = np.diff(offsets).astype(np.int32), len(node)
     doc = np.repeat(np.arange(m), n)
     distinct, token = np.unique(flat.view(np.uint64), return_inverse=True)
     rank = np.empty(len(distinct), dtype=np.int64)
@@ -318,7 +319,7 @@ def links_within(group: pa.Table, counters: np.ndarray, like: Likeness) -> tuple
     if low == high:
         candidate = np.triu(candidate, 1)
     # Positional: after the earlier of the two last prefix shingles only one set's rest can still match.
-    last, rest = token[offsets[:-1] + prefix - 1], n - prefix
+    last, rest = token[offsets[:-1] + prefix - 1].astype(np.int32), n - prefix
     still = np.where(last[left][:, None] <= last[right][None, :], rest[left][:, None], rest[right][None, :])
     candidate &= common + still >= need
     i, j = np.nonzero(candidate)

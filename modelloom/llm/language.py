@@ -139,51 +139,83 @@ def count_grams(batches):
                 )
 
 
-class Reader(dict):
-    """From a run of text between blanks to its row in ``matrix``: scores by language, then its number of words."""
+class Reader:
+    """Predicts texts. A task remembers the runs of text between blanks that it has seen.
+
+    ``rows`` gives a run's row in ``matrix``: the sum of its words' scores by language, and
+    how many words it has.
+    """
 
     def __init__(self, model: LanguageModel):
-        super().__init__()
-        self.model, self.used = model, 0
-        self.matrix = np.zeros((1024, len(model.languages) + 1), dtype=np.float32)
-
-    def __missing__(self, run: str) -> int:
-        total = np.zeros(self.matrix.shape[1])
-        for word in WORD.findall(run.lower()):
-            total[:-1] += self.word(word)
-            total[-1] += 1
-        if self.used == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros_like(self.matrix)])
-        self.matrix[self.used] = total
-        self.used += 1
-        if len(run) <= CACHED_CHARS:
-            self[run] = self.used - 1
-        return self.used - 1
-
-    def word(self, word: str) -> np.ndarray | float:
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.matrix = np.zeros((0, len(self.model.languages) + 1), dtype=np.float32)
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """Scores of each word: known ones first, then by shorter and shorter n-grams."""
         tables, scores = self.model.tables, self.model.scores
-        if (row := tables[0].get(word)) is not None:
-            return scores[0][row]
+        out = np.zeros((len(words), len(self.model.languages)), dtype=np.float32)
+        known = [(i, r) for i, w in enumerate(words) if (r := tables[0].get(w)) is not None]
+        if known:
+            at, rows = map(list, zip(*known, strict=True))
+            out[at] = scores[0][rows]
+        left = [i for i, w in enumerate(words) if w not in tables[0]]
         for size in range(MAX_GRAM, 0, -1):
-            rows = [r for g in grams(word, size) if (r := tables[size].get(g)) is not None]
-            if rows:
-                return scores[size][rows].mean(axis=0)
-        return 0.0
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not self.model.languages:
-            return UNDETERMINED, 0.0
-        runs = text.replace("\n", " ").replace("\t", " ").split(" ")
-        rows = np.fromiter(map(self.__getitem__, runs), dtype=np.int64, count=len(runs))
-        total = self.matrix[rows].sum(axis=0, dtype=np.float64)
-        if self.used > CACHED:
-            self.clear()
-            self.used = 0
-        if not total[-1]:
-            return UNDETERMINED, 0.0
-        z = total[:-1] + self.model.prior
-        best = int(z.argmax())
-        return self.model.languages[best], float(1 / np.exp(z - z[best]).sum())
+            get, at, rows, counts, rest = tables[size].get, [], [], [], []
+            for i in left:
+                found = [r for g in grams(words[i], size) if (r := get(g)) is not None]
+                if found:
+                    at.append(i)
+                    rows += found
+                    counts.append(len(found))
+                else:
+                    rest.append(i)
+            if at:
+                starts = np.cumsum([0, *counts[:-1]])
+                out[at] = np.add.reduceat(scores[size][rows], starts, axis=0) / np.array(counts, dtype=np.float32)[:, None]
+            left = rest
+        return out
+
+    def learn(self, runs: list[str]) -> None:
+        parts = [WORD.findall(r.lower()) for r in runs]
+        place = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
+        counts = np.array([len(p) for p in parts], dtype=np.int64)
+        new = np.zeros((len(runs), self.matrix.shape[1]), dtype=np.float32)
+        if place:
+            flat = self.words(list(place))[[place[w] for p in parts for w in p]]
+            (full,) = np.nonzero(counts)
+            new[full, :-1] = np.add.reduceat(flat, (np.cumsum(counts) - counts)[full], axis=0)
+            new[:, -1] = counts
+        self.rows.update(zip(runs, range(len(self.matrix), len(self.matrix) + len(runs)), strict=True))
+        self.matrix = np.concatenate([self.matrix, new])
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        languages = self.model.languages
+        if not languages:
+            return [(UNDETERMINED, 0.0)] * len(texts)
+        runs = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
+        distinct = set().union(*runs)
+        new = distinct.difference(self.rows)
+        if len(self.rows) + len(new) > CACHED:
+            self.forget()
+            new = distinct
+        self.learn(list(new))
+        answers = []
+        for own in runs:
+            at = np.fromiter(map(self.rows.__getitem__, own), dtype=np.int64, count=len(own))
+            total = self.matrix[at].sum(axis=0, dtype=np.float64)
+            if not total[-1]:
+                answers.append((UNDETERMINED, 0.0))
+                continue
+            z = total[:-1] + self.model.prior
+            best = int(z.argmax())
+            answers.append((languages[best], float(1 / np.exp(z - z[best]).sum())))
+        for run in [r for r in new if len(r) > CACHED_CHARS]:
+            del self.rows[run]
+        return answers
 
 
 def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -197,6 +229,6 @@ def predict_language(docs: DataFrame, model: LanguageModel, text_col: str = "tex
 
     def compute():
         reader = Reader(shared.value)
-        return lambda texts: list(zip(*map(reader.predict, texts), strict=True))
+        return lambda texts: list(zip(*reader.predict(texts), strict=True))
 
     return with_text_columns(docs, text_col, compute, "lang_pred string, score double", keep)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelloom.functions import col
-from modelloom.llm.common import ROLL, mixed, shingles, word_hashes
+from modelloom.llm.common import ROLL, in_parts, mixed, shingles, word_hashes
 
 WORD = re.compile(r"[^\W_]+")
 SHINGLE, BANDS, CONTAINED = 5, 64, 0.8
@@ -170,7 +170,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     kind = source.schema["doc_id"].dataType.simpleString()
 
     def scan(batches):
-        for batch in batches:
+        for batch in in_parts(batches, 1):
             rows, found = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
                 for m in known.matches(text):

@@ -10,6 +10,7 @@ traced back, and the same window is repeated as often as they last.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from functools import lru_cache
 
@@ -20,49 +21,61 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from modelloom.functions import col
-from modelloom.llm.common import checkpointed, list_array, partitions_for
+from modelloom.llm.common import checkpointed, in_parts, list_array, partitions_for
 
 TOKENIZER = "word_bpe_49k.json"
-#: Remainders of a group, runs of text remembered by a worker, length of a remembered run,
-#: and characters tokenised at a time.
-GROUP, CACHED, CACHED_CHARS, CHARS_AT_ONCE = 20_000, 300_000, 40, 4_000_000
+#: Remainders of a group, runs of text remembered by a worker, length of a remembered run.
+GROUP, CACHED, CACHED_CHARS = 20_000, 400_000, 40
 
 
 @lru_cache(maxsize=2)
-def token_bytes(path: str) -> TokenBytes:
-    return TokenBytes(path)
+def tokenizer_of(path: str):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    return tokenizer
 
 
 class TokenBytes(dict):
     """From a run of text between blanks to its token ids, as little-endian 32-bit integers.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of
-    its runs, one after another.
+    its runs, one after another; nor does one span the end of a word and the commas or
+    full stops after it. A task remembers the runs that it has seen.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
         super().__init__({"": b""})
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        self.tokenizer = tokenizer_of(path)
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         runs = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        new = list(set().union(*runs).difference(self))
+        distinct = set().union(*runs)
+        new = distinct.difference(self)
         if len(self) + len(new) > CACHED:
             self.clear()
             self[""] = b""
-            new = list(set().union(*runs).difference(self))
-        encoded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
-        self.update(zip(new, (np.array(e.ids, dtype="<u4").tobytes() for e in encoded), strict=True))
+            new = distinct.difference(self)
+        stems = {r: s for r in new if (s := r.rstrip(".,")) != r and s and s[-1].isalnum()}
+        self.learn({stems.get(r, r) for r in new}.union(r[len(s) :] for r, s in stems.items()).difference(self))
+        for run, stem in stems.items():
+            self[run] = self[stem] + self[run[len(stem) :]]
         found = [b"".join(map(self.__getitem__, r)) for r in runs]
-        for run in new:
-            if len(run) > CACHED_CHARS:
-                del self[run]
+        for run in [r for r in new if len(r) > CACHED_CHARS]:
+            del self[run]
         return found
 
+    def learn(self, runs) -> None:
+        """Words of ASCII letters are one pre-token, which goes to the tokenizer's model at once."""
+        words = [r for r in runs if r.isascii() and r.isalpha()]
+        split = self.tokenizer.model.tokenize
+        self.update((w, array("I", [t.id for t in split(w.lower())]).tobytes()) for w in words)
+        rest = [r for r in runs if r not in self]
+        encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+        self.update(zip(rest, (array("I", e.ids).tobytes() for e in encoded), strict=True))
+
 
 def minimum_slack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
     """For each length the number of its window and its offset there."""
@@ -137,14 +150,9 @@ def pack_documents(
             import public_tokenizers
 
             path = public_tokenizers.path(TOKENIZER)
-        tokens, end = token_bytes(path), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
-            a = 0
-            sizes = np.cumsum([len(t or "") for t in batch.column(1).to_pylist()])
-            while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(sizes, (sizes[a - 1] if a else 0) + CHARS_AT_ONCE)))
-                yield cut(batch.column(0).slice(a, b - a), tokens.of(batch.column(1).slice(a, b - a).to_pylist()), end)
-                a = b
+        tokens, end = TokenBytes(path), np.array([end_id], dtype="<u4").tobytes()
+        for batch in in_parts(batches, 1):
+            yield cut(batch.column(0), tokens.of(batch.column(1).to_pylist()), end)
 
     def cut(ids, documents, end):
         rows, starts, lengths, sums, totals, content = [], [], [], [], [], []

@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame
 from modelloom.llm.common import with_text_columns
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Runs remembered by a worker, length of a remembered run, characters counted at a time.
-CACHED, CACHED_CHARS, CHARS_AT_ONCE = 300_000, 40, 4_000_000
+#: Runs remembered by a worker, length of a remembered run.
+CACHED, CACHED_CHARS = 250_000, 40
 NEVER = np.int64(1 << 60)
 
 # The public pattern of this vocabulary's pre-tokens: a fixed value.
@@ -73,8 +73,6 @@ class MergeTable:
         self.single = earliest[made] < np.arange(len(merges))
         specials = sorted((t["content"] for t in data["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.plain: dict[str, int] = {"": 0}
-        self.spaced: dict[str, int] = {}
 
     def pair_ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         key = left * self.size + right
@@ -127,36 +125,47 @@ class MergeTable:
             rank[at] = self.pair_ranks(symbol[at], symbol[at + 1])
         return result
 
+    def sums(self, runs: list[str]) -> list[int]:
+        """Tokens of each run; equal pre-tokens are merged once."""
+        parts = [self.pre_tokens(r) for r in runs]
+        distinct = {t: i for i, t in enumerate(dict.fromkeys(t for p in parts for t in p))}
+        counts = self.surviving(list(distinct)) if distinct else None
+        return [sum(int(counts[distinct[t]]) for t in p) for p in parts]
+
+
+class TokenCounter:
+    """Token counts of texts. A task remembers the runs that it has seen, at a text's start and after a blank."""
+
+    def __init__(self, table: MergeTable):
+        self.table, self.plain, self.spaced = table, {"": 0}, {}
+
     def runs(self, text: str) -> list[str]:
         """Parts of ``text`` to be tokenised alone; all but the first had a blank before them."""
         return WORD_START.split(text) if SPACE_RUN.search(text) else text.split(" ")
 
-    def learn(self, table: dict[str, int], runs: set[str], before: str) -> None:
-        new = [r for r in runs if r not in table]
-        parts = [self.pre_tokens(before + r) for r in new]
-        distinct = {t: i for i, t in enumerate(dict.fromkeys(t for p in parts for t in p))}
-        counts = self.surviving(list(distinct)) if distinct else None
-        for run, part in zip(new, parts, strict=True):
-            table[run] = sum(int(counts[distinct[t]]) for t in part)
+    def learn(self, known: dict[str, int], runs: set[str], before: str) -> list[str]:
+        new = list(runs.difference(known))
+        known.update(zip(new, self.table.sums([before + r for r in new]), strict=True))
+        return [r for r in new if len(r) > CACHED_CHARS]
 
     def count(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text, special strings in it being one each."""
-        segments = [(self.special.split(t) if self.special else [t]) if t else [] for t in texts]
+        special = self.table.special
+        segments = [(special.split(t) if special else [t]) if t else [] for t in texts]
         runs = [[self.runs(s) for s in parts] for parts in segments]
         if len(self.plain) + len(self.spaced) > CACHED:
             self.plain, self.spaced = {"": 0}, {}
-        self.learn(self.plain, {r[0] for parts in runs for r in parts}, "")
-        later = set().union(*(r[1:] for parts in runs for r in parts))
-        self.learn(self.spaced, later, " ")
+        long = self.learn(self.plain, {r[0] for parts in runs for r in parts}, "")
+        long_spaced = self.learn(self.spaced, set().union(*(r[1:] for parts in runs for r in parts)), " ")
         totals = []
         for parts in runs:
             total = max(0, len(parts) - 1)
             for r in parts:
                 total += self.plain[r[0]] + sum(map(self.spaced.__getitem__, r[1:]))
             totals.append(total)
-        for table in (self.plain, self.spaced):
-            for run in [r for r in table if len(r) > CACHED_CHARS]:
-                del table[run]
+        for known, over in ((self.plain, long), (self.spaced, long_spaced)):
+            for run in over:
+                del known[run]
         return totals
 
 
@@ -175,17 +184,10 @@ def count_tokens(docs: DataFrame, text_col: str = "text", path: str | None = Non
             import public_tokenizers
 
             place = public_tokenizers.path(VOCABULARY)
-        table = merge_table(place)
+        counter = TokenCounter(merge_table(place))
 
         def count(texts):
-            tokens, part, size = [], [], 0
-            for t in texts:
-                part.append(t)
-                size += len(t or "")
-                if size > CHARS_AT_ONCE:
-                    tokens += table.count(part)
-                    part, size = [], 0
-            tokens += table.count(part)
+            tokens = counter.count(texts)
             return [len((t or "").encode()) for t in texts], tokens, [n > limit for n in tokens]
 
         return count

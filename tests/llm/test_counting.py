@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from modelloom.llm.fingerprints import Fingerprints, edited, fingerprint_documents, fingerprint_with_next
 from modelloom.llm.quality import RULES, fit_votes, judge_quality, repeated_words, text_counts
-from modelloom.llm.token_counts import MergeTable, count_tokens
+from modelloom.llm.token_counts import MergeTable, TokenCounter, count_tokens
 from tests.llm.conftest import edge_rows
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,7 +31,7 @@ def test_tokens_of_odd_texts(library):
     texts = ["".join(random.choices(letters, k=random.randint(0, 40))) for _ in range(5000)]
     texts += ["a" * 4001, "ab" * 900, "".join(random.choices("abcdefgh", k=3000)), None, ""]
     expected = [len(e.ids) for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
-    assert MergeTable(PATH).count(texts) == expected
+    assert TokenCounter(MergeTable(PATH)).count(texts) == expected
 
 
 def test_count_tokens(edge, no_docs, library):

@@ -34,10 +34,9 @@ def test_language_of_edge_rows(documents, edge, no_docs):
 def test_known_words_come_first():
     model = fit_small()
     reader = Reader(model)
-    assert (reader.word("the") == model.scores[0][model.tables[0]["the"]]).all()
+    assert (reader.words(["the"])[0] == model.scores[0][model.tables[0]["the"]]).all()
     # An unseen word falls back to n-grams that are known, the longest first.
-    assert reader.predict("thex")[0] == "en"
-    assert reader.predict("12 34 !?") == ("und", 0.0)
+    assert [a[0] for a in reader.predict(["thex", "12 34 !?", None, "xyz dex"])] == ["en", "und", "und", "de"]
 
 
 def fit_small() -> LanguageModel:
