@@ -20,7 +20,7 @@ from modelloom.session import ensure_checkpoint_dir
 ROLL = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 #: Bytes of text that a worker takes up at a time.
-PART_BYTES = 4_000_000
+PART_BYTES = 1_000_000
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ MAX_GRAM = 5
 WORD = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Counts that are added to every frequency, and bounds of a worker's memory for words seen before.
-SMOOTHING, CACHED, CACHED_CHARS = 0.5, 200_000, 40
+SMOOTHING, CACHED, CACHED_CHARS = 0.5, 100_000, 40
 
 
 @dataclass(frozen=True)
@@ -49,8 +49,8 @@ def fit_language(
     lang_col: str = "lang",
     seed_cols: tuple[str, ...] = ("doc_id",),
     sample: int = 3000,
-    max_words: int = 50_000,
-    max_grams: int = 50_000,
+    max_words: int = 20_000,
+    max_grams: int = 20_000,
     max_languages: int = 1000,
     seed: int = 1,
 ) -> LanguageModel:

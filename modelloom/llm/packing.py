@@ -25,7 +25,7 @@ from modelloom.llm.common import checkpointed, in_parts, list_array, partitions_
 
 TOKENIZER = "word_bpe_49k.json"
 #: Remainders of a group, runs of text remembered by a worker, length of a remembered run.
-GROUP, CACHED, CACHED_CHARS = 20_000, 400_000, 40
+GROUP, CACHED, CACHED_CHARS = 20_000, 120_000, 40
 
 
 @lru_cache(maxsize=2)

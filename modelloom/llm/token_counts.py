@@ -20,7 +20,7 @@ from modelloom.llm.common import with_text_columns
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Runs remembered by a worker, length of a remembered run.
-CACHED, CACHED_CHARS = 250_000, 40
+CACHED, CACHED_CHARS = 120_000, 40
 NEVER = np.int64(1 << 60)
 
 # The public pattern of this vocabulary's pre-tokens: a fixed value.
