@@ -76,10 +76,15 @@ def epoch_micros(df: DataFrame, name: str) -> Column:
 def content_hash(seed: int, names: Sequence[str]) -> Column:
     """md5 over the seed and the key columns: the rank key of random splits.
 
-    It depends on the row's content only, never on partitioning.
+    It depends on the row's content only, never on partitioning. A separator within
+    a value is escaped and NULL differs from every text, so different keys never
+    look alike.
     """
-    parts = [F.coalesce(col(n).cast("string"), F.lit("\\N")) for n in names]
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
+    parts = [F.lit(str(seed))]
+    for n in names:
+        text = F.replace(F.replace(col(n).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        parts.append(F.coalesce(text, F.lit("\\N")))
+    return F.md5(F.concat_ws("|", *parts))
 
 
 def absolute_percentage_error(pred: Column, actual: Column, zero_policy: str = "inf") -> Column:

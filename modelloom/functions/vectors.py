@@ -8,26 +8,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MERGE_GROUPS = 64
-TASKS_PER_CORE = 4
-
-
-def few_partitions(df: DataFrame) -> DataFrame:
-    """At most a few partitions per core, without a shuffle.
-
-    For steps in which each partition returns one long vector: fewer of them keep
-    every core busy and spare the merge.
-    """
-    return df.coalesce(TASKS_PER_CORE * df.sparkSession.sparkContext.defaultParallelism)
-
-
 def sum_vectors(rows: DataFrame, part: str, values: str) -> np.ndarray | None:
     """The sum of all arrays in ``values``; only the sum comes to the driver.
 
-    Rows meet in sixty-four groups by ``part`` first, so that no single task
-    receives the vectors of every partition. None if there are no rows.
+    Rows meet by the root of ``part`` first, so that of n partitions no task receives
+    more than twice the root of n vectors. None if there are no rows.
     """
-    vector = rows.select((F.col(part) % MERGE_GROUPS).alias("g"), array_to_vector(values).alias("v"))
+    vector = rows.select(F.floor(F.sqrt(F.col(part))).alias("g"), array_to_vector(values).alias("v"))
     partial = vector.groupBy("g").agg(Summarizer.sum(F.col("v")).alias("v"))
     row = partial.groupBy(F.lit(0).alias("all")).agg(Summarizer.sum(F.col("v")).alias("v")).first()
     return None if row is None else row["v"].toArray()

@@ -12,12 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelloom.functions import col
-from modelloom.operators.encode import LABEL, LINEAR, OK, TREE, Encoder, fit_encoder
+from modelloom.operators.encode import LABEL, LINEAR, MAX_CLASSES, MAX_LEVELS, OK, TREE, Encoder, fit_encoder
 
-RAW = "__raw"
-UNEVEN = 4  # times the fair size at which a partition counts as overfull
-ROWS_PER_PARTITION = 250_000
-SMALL_PARTITION = 20_000  # rows that no pass minds
+RAW, KEY = "__raw", "__key"
+ROWS_PER_PARTITION = 100_000
 
 
 def param(default, low=None, high=None, choices=None):
@@ -47,15 +45,18 @@ def encode_training(
     partitions: int | None = None,
     learners: Sequence["Learner"] = (),
     missing: str = "skip",
+    max_levels: int = MAX_LEVELS,
+    max_classes: int = MAX_CLASSES,
 ) -> TrainingData:
     """Encode the complete training rows and cache them.
 
-    With ``key_cols`` (unique per row) the rows are laid out by key first, so that
-    seeded learners, whose draws follow row positions, give the same model for the
-    same rows however the input was partitioned. Otherwise rows stay where they
-    are, unless a few partitions hold most of them. ``learners`` limits the cached
-    vectors to the layouts those need. ``missing='error'`` refuses incomplete rows
-    instead of leaving them out.
+    Rows are dealt out evenly; their number alone says into how many partitions.
+    With ``key_cols`` (unique per row) they are dealt by key, so that seeded
+    learners, whose draws follow row positions, give the same model for the same
+    rows however the input was partitioned and whatever the cluster. ``learners``
+    limits the cached vectors to the layouts those need. ``missing='error'`` refuses
+    incomplete rows instead of leaving them out. The cache is filled here, so that
+    no learner's time holds the encoding.
     """
     if missing not in ("skip", "error"):
         raise ValueError("missing must be 'skip' or 'error'")
@@ -64,8 +65,12 @@ def encode_training(
     train = train.filter(col(y).isNotNull())
     if task == "regression":
         train = train.filter(~F.isnan(col(y).cast("double")))
-    encoder, classes = fit_encoder(train, features, target=y if task == "classification" else None)
+    encoder, classes = fit_encoder(
+        train, features, max_levels, target=y if task == "classification" else None, max_classes=max_classes
+    )
     train = _lay_out(train, key_cols, partitions)
+    # Folds of a search follow the key, or else the row's content.
+    train = train.withColumn(KEY, F.xxhash64(*[col(c).cast("string") for c in key_cols or [*features, y]]))
     if task == "regression":
         train = train.withColumn(LABEL, col(y).cast("double"))
     else:
@@ -75,7 +80,8 @@ def encode_training(
     names = {"linear": encoder.linear, "tree": TREE}
     layouts = {v for learner in learners for v in learner.layouts} or set(names)
     vectors = sorted({names[v] for v in layouts})
-    encoded = encoder.transform(train, fitting=True).select(LABEL, *vectors).persist(StorageLevel.MEMORY_AND_DISK)
+    encoded = encoder.transform(train, fitting=True).select(LABEL, KEY, *vectors).persist(StorageLevel.MEMORY_AND_DISK)
+    encoded.count()
     return TrainingData(encoded, encoder, task, classes)
 
 
@@ -87,26 +93,16 @@ def _refuse_incomplete(train: DataFrame, names: Sequence[str]) -> None:
 
 
 def _lay_out(train: DataFrame, key_cols: Sequence[str] | None, partitions: int | None) -> DataFrame:
-    """Training rows by key, or dealt out evenly if some partition holds far more than its part.
+    """Training rows in even partitions, by key if there is one.
 
     Learners pass over these rows dozens of times and each pass waits for the
-    largest partition. Sizes come from one counting pass that reads no predictor.
-    The number of partitions for a key follows from the row count (at least one
-    per core, at most Spark's own number), not from how the input is laid out.
+    largest partition.
     """
-    spark = train.sparkSession
-    slots = spark.sparkContext.defaultParallelism
-    sizes = train.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.agg(F.max("n").alias("largest"), F.sum("n").alias("rows"), F.count("p").alias("parts")).first()
-    rows, largest = row["rows"] or 0, row["largest"] or 0
+    wanted = partitions or max(1, -(-train.count() // ROWS_PER_PARTITION))
     if key_cols:
         keys = [col(c) for c in key_cols]
-        most = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        wanted = partitions or min(most, max(slots, rows // ROWS_PER_PARTITION))
         return train.repartition(wanted, *keys).sortWithinPartitions(*keys)
-    if largest > max(UNEVEN * rows / max(row["parts"], slots), SMALL_PARTITION):
-        return train.repartition(max(row["parts"], slots))
-    return train
+    return train.repartition(wanted)
 
 
 @dataclass(frozen=True)
@@ -175,9 +171,13 @@ def train_model(
     features: Sequence[str],
     learner: Learner,
     key_cols: Sequence[str] | None = None,
+    max_levels: int = MAX_LEVELS,
+    max_classes: int = MAX_CLASSES,
 ) -> Fitted:
     """Train one learner and let go of the cached rows; predictions do not need them."""
-    data = encode_training(train, y, task, features, key_cols, learners=[learner])
+    data = encode_training(
+        train, y, task, features, key_cols, learners=[learner], max_levels=max_levels, max_classes=max_classes
+    )
     try:
         return learner.fit(data)
     finally:

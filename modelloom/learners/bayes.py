@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,8 +16,6 @@ from modelloom.learners import names
 from modelloom.learners.base import Learner, TrainingData, mllib_score, param
 from modelloom.operators.encode import LABEL, TREE
 
-INLINE_TERMS = 200
-
 
 @dataclass(frozen=True)
 class BayesTables:
@@ -49,15 +46,10 @@ class NaiveBayes(Learner):
     min_prob: float = param(0.001, 1e-10, 1)
 
     def _fit(self, data: TrainingData):
-        tables = self._tables(data)
-        numbers, classes = data.encoder.n_tree_numbers, len(data.classes)
-        terms = (numbers + sum(len(v) for v in data.encoder.levels)) * classes
+        tables, numbers = self._tables(data), data.encoder.n_tree_numbers
 
         def score(df: DataFrame, name: str) -> DataFrame:
-            x = vector_to_array(TREE)
-            if terms <= INLINE_TERMS:
-                return _score_inline(df, name, x, tables, numbers)
-            return _score_batches(df, name, x, tables, numbers)
+            return _score(df, name, vector_to_array(TREE), tables, numbers)
 
         return score, (), tables
 
@@ -93,35 +85,23 @@ class NaiveBayes(Learner):
         return BayesTables(np.log(counts / counts.sum()), mean, sd, tuple(shares), counts)
 
 
-def _score_inline(df: DataFrame, name: str, x, t: BayesTables, numbers: int) -> DataFrame:
-    """Class scores as plain column arithmetic."""
-    df = df.withColumn("__x", x)
-    scores = []
-    for k in range(len(t.log_prior)):
-        terms = [F.lit(float(t.log_prior[k] - np.log(t.sd[k]).sum()))]
-        for i in range(numbers):
-            z = (F.col("__x")[i] - F.lit(float(t.mean[k, i]))) / F.lit(float(t.sd[k, i]))
-            terms.append(F.lit(-0.5) * z * z)
-        for j, share in enumerate(t.log_share):
-            level = F.col("__x")[numbers + j].cast("int") + 1
-            terms.append(F.element_at(F.lit([float(v) for v in share[k]]), level))
-        # Equal scores go to the first class.
-        scores.append(F.struct(reduce(lambda a, b: a + b, terms).alias("s"), F.lit(-float(k)).alias("k")))
-    return df.withColumn(name, -F.array_max(F.array(*scores))["k"]).drop("__x")
-
-
-def _score_batches(df: DataFrame, name: str, x, t: BayesTables, numbers: int) -> DataFrame:
-    """The same scores in Arrow batches, for many classes times predictors."""
+def _score(df: DataFrame, name: str, x, t: BayesTables, numbers: int) -> DataFrame:
+    """The likeliest class, in Arrow batches. Equal scores go to the first class.
+
+    Values are centred before they are squared, so that large ones do not cancel.
+    What is broadcast grows with classes, predictors and levels, which are bounded by
+    ``max_classes`` and ``max_levels``.
+    """
     shared = df.sparkSession.sparkContext.broadcast((t.log_prior, t.mean, t.sd, t.log_share))
 
     @F.pandas_udf("double")
     def best(column: pd.Series) -> pd.Series:
         log_prior, mean, sd, log_share = shared.value
         rows = np.stack(column.to_numpy())
-        v = rows[:, :numbers]
-        inverse = 1.0 / (sd * sd)
-        total = log_prior - np.log(sd).sum(axis=1) - 0.5 * (mean * mean * inverse).sum(axis=1)
-        total = total + v @ (mean * inverse).T - 0.5 * (v * v) @ inverse.T
+        total = np.empty((len(rows), len(log_prior)))
+        for k in range(len(log_prior)):
+            z = (rows[:, :numbers] - mean[k]) / sd[k]
+            total[:, k] = log_prior[k] - np.log(sd[k]).sum() - 0.5 * (z * z).sum(axis=1)
         for j, share in enumerate(log_share):
             total += share.T[rows[:, numbers + j].astype(int)]
         return pd.Series(total.argmax(axis=1).astype(float))

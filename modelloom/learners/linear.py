@@ -55,8 +55,11 @@ class GeneralizedLinear(Learner):
                 tol=self.tolerance,
             ).fit(data.df)
             return mllib_score(model), (), model
-        if self.lambda_ > 0 or len(data.encoder.linear_names) > MLLIB_GLM_COLUMNS:
+        if self.lambda_ > 0:
             return self._fit_penalised(data)
+        columns = len(data.encoder.linear_names)
+        if columns > MLLIB_GLM_COLUMNS:
+            raise ValueError(f"{columns} columns; without a penalty at most {MLLIB_GLM_COLUMNS} are solved, set lambda_ for more")
         glr = GeneralizedLinearRegression(
             featuresCol=data.encoder.linear,
             labelCol=LABEL,

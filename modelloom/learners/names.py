@@ -15,14 +15,7 @@ GLM_FAMILIES = ("gaussian", "poisson", "gamma", "tweedie")
 GLM_LINKS = ("identity", "log")
 
 # Activations and losses of the network.
-ACTIVATIONS = (
-    "Rectifier",
-    "RectifierWithDropout",
-    "Tanh",
-    "TanhWithDropout",
-    "Maxout",
-    "MaxoutWithDropout",
-)
+ACTIVATIONS = ("Rectifier", "Maxout", "Tanh", "RectifierWithDropout", "MaxoutWithDropout", "TanhWithDropout")
 LOSSES = ("Automatic", "Quadratic", "Huber", "Absolute", "Quantile")
 
 # Families of the search.

@@ -19,7 +19,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelloom.functions.vectors import few_partitions, sum_vectors
+from modelloom.functions.vectors import sum_vectors
 from modelloom.learners import names
 from modelloom.learners.base import Learner, TrainingData, param
 from modelloom.operators.encode import LABEL
@@ -144,6 +144,8 @@ class NeuralNetwork(Learner):
     def _fit(self, data: TrainingData):
         df = data.df
         classify = data.task == "classification"
+        if classify and self.loss != "Automatic":
+            raise ValueError(f"classification is trained on cross entropy; loss {self.loss!r} serves regression only")
         loss = "CrossEntropy" if classify else ("Quadratic" if self.loss == "Automatic" else self.loss)
         row = df.agg(
             Summarizer.metrics("mean", "std").summary(F.col(data.encoder.linear)).alias("x"),
@@ -215,7 +217,7 @@ class NeuralNetwork(Learner):
                     {"part": pa.array([part], pa.int32()), "own": pa.array([own], pa.list_(pa.float64()))}
                 )
 
-        merged = sum_vectors(few_partitions(rows).mapInArrow(local, "part int, own array<double>"), "part", "own")
+        merged = sum_vectors(rows.mapInArrow(local, "part int, own array<double>"), "part", "own")
         shared.unpersist()
         if merged is None:
             raise ValueError("there is no complete training row")

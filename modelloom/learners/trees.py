@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
+import re
+import warnings
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
-from pyspark import SparkContext, StorageLevel, inheritable_thread_target
+import pandas as pd
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, RandomForestRegressor
+from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from modelloom.learners import names
@@ -23,10 +25,17 @@ from modelloom.session import ensure_checkpoint_dir
 NODE_MEMORY_MB = 512
 RESPONSE_BOUND = 4.0
 LEAST_WEIGHT = 1e-6
+CHECKPOINT_EVERY = 10  # rounds of joint boosting
 
 
 def _bins(data: TrainingData, wanted: int) -> int:
-    """MLlib needs at least as many bins as the widest category has levels."""
+    """MLlib needs at least as many bins, for all columns, as the widest category has levels."""
+    if data.encoder.max_levels > wanted:
+        warnings.warn(
+            f"bins raised from {wanted} to {data.encoder.max_levels}, the levels of the widest category; "
+            "group its levels (see max_levels) to keep fewer",
+            stacklevel=2,
+        )
     return max(wanted, data.encoder.max_levels, 2)
 
 
@@ -132,26 +141,19 @@ class GradientBoosting(Learner):
 
         Trees are fitted to (y - p) / w with weights w = p (1 - p), so that a leaf's
         weighted mean is its Newton step (Friedman, Hastie and Tibshirani 2000, whose
-        bound on the working response is used too). Scores are recomputed from the
-        trees so far instead of being carried along, so no lineage builds up over
-        the rounds; one cached frame serves the trees of a round.
+        bound on the working response is used too). The rows carry their scores, to
+        which each round adds its own trees only; every tenth round is checkpointed,
+        so that no long lineage builds up.
         """
         count = len(data.classes)
         rows = data.df.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).collect()
         sizes = np.zeros(count)
         for r in rows:
             sizes[int(r[LABEL])] = r["n"]
-        prior = np.log(sizes / sizes.sum())
-        grown: list[list] = [[] for _ in range(count)]
+        prior = [float(v) for v in np.log(sizes / sizes.sum())]
         rate = self.learn_rate * (count - 1) / count
         settings = _common(data, self.max_depth, self.bins, self.seed) | {"labelCol": "__z"}
 
-        def scores(df):
-            for k, trees in enumerate(grown):
-                if trees:
-                    df = _ensemble(trees, rate, f"__f{k}").transform(df)
-            return df, [F.lit(float(prior[k])) + (F.col(f"__f{k}") if grown[k] else F.lit(0.0)) for k in range(count)]
-
         def grow(frame, k: int):
             p = F.col("__p")[k]
             weight = F.greatest(p * (1 - p), F.lit(LEAST_WEIGHT))
@@ -163,39 +165,110 @@ class GradientBoosting(Learner):
             )
             return DecisionTreeRegressor(weightCol="__w", minInstancesPerNode=self.min_rows, **settings).fit(work)
 
+        rounds: list[list] = []
+        scored = data.df.select(LABEL, TREE, F.array(*[F.lit(v) for v in prior]).alias("__f"))
+        held = None
         for t in range(self.trees):
-            df, f = scores(data.df)
-            top = F.greatest(*f)
-            e = [F.exp(v - top) for v in f]
-            total = reduce(lambda a, b: a + b, e)
-            frame = df.select(LABEL, TREE, F.array(*[v / total for v in e]).alias("__p"))
+            top = F.array_max("__f")
+            e = F.transform("__f", lambda v: F.exp(v - top))
+            total = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
+            frame = scored.select(LABEL, TREE, F.transform(e, lambda v: v / total).alias("__p"))
             if self.sample_rate < 1:
                 frame = frame.sample(self.sample_rate, seed=self.seed + t)
             frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 with ThreadPoolExecutor(self.parallelism) as pool:
                     one = inheritable_thread_target(frame.sparkSession)(lambda k: grow(frame, k))
-                    for trees, tree in zip(grown, list(pool.map(one, range(count)))):
-                        trees.append(tree)
+                    rounds.append(list(pool.map(one, range(count))))
             finally:
                 frame.unpersist()
+            if t + 1 == self.trees:
+                break
+            # MLlib's own scoring adds the new trees; the rows are held for the next round.
+            for k, tree in enumerate(rounds[-1]):
+                scored = tree.setPredictionCol(f"__t{k}").transform(scored)
+            added = F.array(*[F.col("__f")[k] + F.lit(rate) * F.col(f"__t{k}") for k in range(count)])
+            scored = scored.select(LABEL, TREE, added.alias("__f"))
+            before, held = held, (scored.checkpoint() if (t + 1) % CHECKPOINT_EVERY == 0 else scored).persist(StorageLevel.MEMORY_AND_DISK)
+            held.count()
+            scored = held
+            if before is not None:
+                before.unpersist()
+        if held is not None:
+            held.unpersist()
+        flat = [[FlatTree.read(tree.toDebugString) for tree in trees] for trees in rounds]
 
         def score(df, name):
-            out, f = scores(df)
-            best = F.array_max(F.array(*[F.struct(v.alias("f"), F.lit(-float(k)).alias("k")) for k, v in enumerate(f)]))
-            return out.withColumn(name, -best["k"]).drop(*[f"__f{k}" for k in range(count)])
-
-        shares = np.mean([tree.featureImportances.toArray() for trees in grown for tree in trees], axis=0)
-        return score, _importance(data, shares / (shares.sum() or 1.0)), grown
-
-
-def _ensemble(trees: list, rate: float, name: str) -> GBTRegressionModel:
-    """Fitted trees as one MLlib model: the sum of their values times ``rate``."""
-    sc = SparkContext._active_spark_context
-    kind = sc._jvm.org.apache.spark.ml.regression
-    members = sc._gateway.new_array(kind.DecisionTreeRegressionModel, len(trees))
-    weights = sc._gateway.new_array(sc._jvm.double, len(trees))
-    for i, tree in enumerate(trees):
-        members[i], weights[i] = tree._java_obj, rate
-    model = GBTRegressionModel(kind.GBTRegressionModel(f"rounds_{uuid.uuid4().hex[:12]}", members, weights))
-    return model.setFeaturesCol(TREE).setPredictionCol(name)
+            shared = df.sparkSession.sparkContext.broadcast(flat)
+
+            @F.pandas_udf("double")
+            def best(column: pd.Series) -> pd.Series:
+                x = np.stack(column.to_numpy())
+                f = np.tile(np.array(prior), (len(x), 1))
+                for trees in shared.value:
+                    for k, tree in enumerate(trees):
+                        f[:, k] += rate * tree.values(x)
+                # Equal scores go to the first class.
+                return pd.Series(f.argmax(axis=1).astype(float))
+
+            return df.withColumn(name, best(vector_to_array(TREE)))
+
+        shares = np.mean([tree.featureImportances.toArray() for trees in rounds for tree in trees], axis=0)
+        return score, _importance(data, shares / (shares.sum() or 1.0)), rounds
+
+
+@dataclass(frozen=True)
+class FlatTree:
+    """A fitted tree as arrays over its nodes, read from MLlib's printed form.
+
+    ``feature`` is -1 at leaves; ``below`` is the threshold of a number, ``members`` the
+    level numbers that go left at a category.
+    """
+
+    feature: np.ndarray
+    below: np.ndarray
+    members: tuple
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+
+    @classmethod
+    def read(cls, text: str) -> FlatTree:
+        lines = iter([line.strip() for line in text.splitlines()[1:] if line.strip()])
+        nodes: list[list] = []
+
+        def node() -> int:
+            line, at = next(lines), len(nodes)
+            nodes.append([-1, 0.0, None, -1, -1, 0.0])
+            if line.startswith("Predict: "):
+                nodes[at][5] = float(line.removeprefix("Predict: "))
+                return at
+            feature, sign, rest = re.fullmatch(r"If \(feature (\d+) (<=|in|not in) (.*)\)", line).groups()
+            nodes[at][0] = int(feature)
+            if sign == "<=":
+                nodes[at][1] = float(rest)
+            else:
+                levels = frozenset(float(v) for v in rest.strip("{}").split(",") if v)
+                nodes[at][2] = (sign == "in", levels)
+            first = node()
+            next(lines)  # the line that begins with Else
+            second = node()
+            nodes[at][3], nodes[at][4] = first, second
+            return at
+
+        node()
+        feature, below, members, left, right, value = zip(*nodes)
+        return cls(np.array(feature), np.array(below), members, np.array(left), np.array(right), np.array(value))
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        at, rows = np.zeros(len(x), dtype=int), np.arange(len(x))
+        while len(rows := rows[self.feature[at[rows]] >= 0]):
+            here = at[rows]
+            v = x[rows, self.feature[here]]
+            goes = v <= self.below[here]
+            for n in {n for n in np.unique(here).tolist() if self.members[n] is not None}:
+                inside, levels = self.members[n]
+                mine = here == n
+                goes[mine] = np.isin(v[mine], list(levels)) == inside
+            at[rows] = np.where(goes, self.left[here], self.right[here])
+        return self.value[at]

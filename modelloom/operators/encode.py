@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector
@@ -60,17 +59,19 @@ class Encoder:
         return max((len(v) for v in self.levels), default=0)
 
     def complete(self, df: DataFrame):
-        """True where every predictor is present."""
-        checks = []
-        for name in self.features:
-            c, dtype = col(name), field(df, name).dataType
-            checks.append(c.isNotNull())
-            if isinstance(dtype, (T.DoubleType, T.FloatType)):
-                checks.append(~F.isnan(c))
-            if name in self.arrays:
-                checks.append(F.size(c) == F.lit(self.arrays[name]))
-                checks.append(~F.exists(c, lambda v: v.isNull() | F.isnan(v)))
-        return F.coalesce(reduce(lambda a, b: a & b, checks), F.lit(False))
+        """True where every predictor is present. Flat however many predictors there are."""
+        checks = [F.lit(True)]
+        if self.numbers:
+            checks.append(F.forall(self._numbers(df), lambda v: v.isNotNull() & ~F.isnan(v)))
+        if self.categories:
+            checks.append(F.forall(F.array(*[col(c).cast("string") for c in self.categories]), lambda v: v.isNotNull()))
+        for name, size in self.arrays.items():
+            checks.append(col(name).isNotNull() & (F.size(col(name)) == F.lit(size)))
+            checks.append(F.forall(col(name).cast("array<double>"), lambda v: v.isNotNull() & ~F.isnan(v)))
+        return F.coalesce(F.forall(F.array(*checks), lambda v: v), F.lit(False))
+
+    def _numbers(self, df: DataFrame):
+        return F.array(*[_as_number(df, name) for name in self.numbers])
 
     def transform(self, df: DataFrame, fitting: bool = False) -> DataFrame:
         """Adds the vector columns and ``__ok``.
@@ -80,37 +81,38 @@ class Encoder:
         """
         complete = self.complete(df)
         out = df.filter(complete) if fitting else df.withColumn(OK, complete)
-        inputs = []
-        for i, name in enumerate(self.numbers):
-            out = out.withColumn(f"__n{i}", _as_number(df, name))
-            if not fitting:
-                out = out.withColumn(f"__n{i}", F.coalesce(F.col(f"__n{i}"), F.lit(0.0)))
-            inputs.append(f"__n{i}")
+        vectors, sizes = {}, {}
+        if self.numbers:
+            values = self._numbers(df)
+            vectors["__n"] = values if fitting else F.transform(values, lambda v: F.coalesce(v, F.lit(0.0)))
+            sizes["__n"] = len(self.numbers)
         for i, (name, size) in enumerate(self.arrays.items()):
             values = col(name).cast("array<double>")
             if not fitting:
                 values = F.when(F.col(OK), values).otherwise(F.array_repeat(F.lit(0.0), size))
-            out = out.withColumn(f"__a{i}", array_to_vector(values))
-            out = VectorSizeHint(inputCol=f"__a{i}", size=size, handleInvalid="optimistic").transform(out)
-            inputs.append(f"__a{i}")
+            vectors[f"__a{i}"], sizes[f"__a{i}"] = values, size
+        inputs = list(vectors)
+        texts = {f"__s{i}": col(name).cast("string") for i, name in enumerate(self.categories)}
+        # One projection for all inputs, so that the plan is as deep for many predictors as for few.
+        out = out.withColumns({n: array_to_vector(v) for n, v in vectors.items()} | texts)
+        for name, size in sizes.items():
+            out = VectorSizeHint(inputCol=name, size=size, handleInvalid="optimistic").transform(out)
         index = [f"__i{i}" for i in range(len(self.categories))]
         # A category with a single level has no 0/1 column beside its base.
         hot = [f"__h{i}" for i, values in enumerate(self.levels) if len(values) > 1]
         if self.categories:
-            for i, name in enumerate(self.categories):
-                out = out.withColumn(f"__s{i}", col(name).cast("string"))
             for indexer in self.indexers:
                 out = indexer.copy().setHandleInvalid("error" if fitting else "keep").transform(out)
             if not fitting:
-                for i, values in enumerate(self.levels):
-                    out = out.withColumn(OK, F.col(OK) & (F.col(f"__i{i}") < F.lit(len(values))))
-                    out = out.withColumn(f"__i{i}", F.when(F.col(f"__i{i}") < F.lit(len(values)), F.col(f"__i{i}")).otherwise(F.lit(0.0)))
+                known = [F.col(n) < F.lit(len(v)) for n, v in zip(index, self.levels)]
+                all_known = F.forall(F.array(*known), lambda v: v)
+                first = {n: F.when(k, F.col(n)).otherwise(F.lit(0.0)) for n, k in zip(index, known)}
+                out = out.withColumns({OK: F.col(OK) & all_known} | first)
             if hot:
                 out = self.one_hot.transform(out)
             out = VectorAssembler(inputCols=[*inputs, *hot], outputCol=LINEAR, handleInvalid="keep").transform(out)
         out = VectorAssembler(inputCols=[*inputs, *index], outputCol=TREE, handleInvalid="keep").transform(out)
-        helpers = [f"__s{i}" for i in range(len(self.categories))]
-        return out.drop(*inputs, *index, *hot, *helpers)
+        return out.drop(*inputs, *index, *hot, *texts)
 
 
 def _as_number(df: DataFrame, name: str):
@@ -139,12 +141,17 @@ def column_levels(df: DataFrame, names: Sequence[str], limits: Sequence[int]) ->
 
 
 def fit_encoder(
-    df: DataFrame, features: Sequence[str], max_levels: int = MAX_LEVELS, target: str | None = None
+    df: DataFrame,
+    features: Sequence[str],
+    max_levels: int = MAX_LEVELS,
+    target: str | None = None,
+    max_classes: int = MAX_CLASSES,
 ) -> tuple[Encoder, tuple[str, ...]]:
     """Learn category levels and array lengths from the complete training rows.
 
     With ``target`` its classes are learnt in the same pass and returned beside
-    the encoder.
+    the encoder. Arrays of a column must all have one length; ``max_levels`` and
+    ``max_classes`` bound what the driver holds.
     """
     numbers, arrays, categories = [], [], []
     for name in features:
@@ -159,13 +166,18 @@ def fit_encoder(
             raise TypeError(f"column {name!r} of type {dtype.simpleString()} cannot be a predictor")
     sizes = {}
     if arrays:
-        row = df.agg(*[F.max(F.size(col(a))).alias(f"s{i}") for i, a in enumerate(arrays)]).first()
-        sizes = {a: row[f"s{i}"] for i, a in enumerate(arrays)}
+        ends = [f(F.when(col(a).isNotNull(), F.size(col(a)))) for a in arrays for f in (F.min, F.max)]
+        row = df.agg(*ends).first()
+        for i, name in enumerate(arrays):
+            low, high = row[2 * i], row[2 * i + 1]
+            if low != high:
+                raise ValueError(f"arrays in column {name!r} have {low} to {high} elements; they must have one length")
+            sizes[name] = high or 0
     base = Encoder(tuple(features), tuple(numbers), sizes, tuple(categories), (), (), None)
     names = [*categories, *([] if target is None else [target])]
     if not names:
         return base, ()
-    limits = [max_levels] * len(categories) + [MAX_CLASSES] * (target is not None)
+    limits = [max_levels] * len(categories) + [max_classes] * (target is not None)
     levels = column_levels(df.filter(base.complete(df)), names, limits)
     classes = levels.pop() if target is not None else ()
     if not categories:

@@ -89,13 +89,11 @@ def confusion_matrix(pred: DataFrame, y: str, model_cols: Sequence[str], dense:
     counts = long.groupBy("Model", "ACTUAL", "PREDICTED").agg(F.count(F.lit(1)).alias("Freq"))
     if not dense:
         return counts
-    # Class names are few by construction (see the level bound of the encoder).
-    cells = counts.agg(F.array_union(F.collect_set("ACTUAL"), F.collect_set("PREDICTED")).alias("levels")).select(
-        F.explode(F.lit(list(model_cols))).alias("Model"), "levels"
-    )
-    cells = cells.select("Model", F.explode("levels").alias("ACTUAL"), "levels").select(
-        "Model", "ACTUAL", F.explode("levels").alias("PREDICTED"), F.lit(0).cast("long").alias("Freq")
-    )
+    # Every pair of class names, made on the executors: as large as the matrix asked for.
+    names = [counts.select(F.col(c).alias("level")) for c in ("ACTUAL", "PREDICTED")]
+    levels = names[0].union(names[1]).filter("level IS NOT NULL").distinct()
+    cells = levels.withColumnRenamed("level", "ACTUAL").crossJoin(levels.withColumnRenamed("level", "PREDICTED"))
+    cells = cells.select(F.explode(F.lit(list(model_cols))).alias("Model"), "ACTUAL", "PREDICTED", F.lit(0).cast("long").alias("Freq"))
     return counts.unionByName(cells).groupBy("Model", "ACTUAL", "PREDICTED").agg(F.sum("Freq").alias("Freq"))
 
 

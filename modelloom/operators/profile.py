@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelloom.functions import col
-from modelloom.functions.vectors import few_partitions, sum_vectors
+from modelloom.functions.vectors import sum_vectors
 from modelloom.operators.reshape import with_counter
 from modelloom.operators.schema import numeric_columns, require_numeric
 
@@ -29,9 +29,15 @@ BLOCK_ROWS = 65_536
 
 
 def _valid(df: DataFrame, name: str) -> DataFrame:
-    """The column as a double named x, without NULL and NaN."""
+    """The column as a double named x, without NULL, NaN and infinities."""
     require_numeric(df, name)
-    return df.select(col(name).cast("double").alias("x")).filter("x IS NOT NULL AND NOT isnan(x)")
+    return df.select(_finite(name).alias("x")).filter("x IS NOT NULL")
+
+
+def _finite(name: str):
+    """The column as a double; NaN and infinities, which have no place in a range, become NULL."""
+    x = col(name).cast("double")
+    return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
 def histogram(df: DataFrame, name: str, bins: int = 30, centered: bool = False) -> DataFrame:
@@ -44,6 +50,7 @@ def histograms(df: DataFrame, names: Sequence[str] | None = None, bins: int = 30
 
     ``centered`` puts the first bin's middle on the minimum and the last bin's
     middle on the maximum, as chart libraries do; otherwise bins tile the range.
+    NULL, NaN and infinite values are left out.
     """
     if bins < 1 or (centered and bins < 2):
         raise ValueError("bins must be at least 1, or 2 when centered")
@@ -51,8 +58,7 @@ def histograms(df: DataFrame, names: Sequence[str] | None = None, bins: int = 30
     names = numeric_columns(df) if names is None else list(names)
     for name in names:
         require_numeric(df, name)
-    # NaN sorts above every number, so it is nulled before taking the range.
-    number = {n: F.nanvl(col(n).cast("double"), F.lit(None).cast("double")) for n in names}
+    number = {n: _finite(n) for n in names}
     stats = df.agg(
         *[f(number[n]).alias(f"{tag}{i}") for i, n in enumerate(names) for tag, f in (("lo", F.min), ("hi", F.max), ("n", F.count))]
     ).first()
@@ -68,7 +74,7 @@ def histograms(df: DataFrame, names: Sequence[str] | None = None, bins: int = 30
         width = (hi - lo) / (bins - 1 if centered else bins)
         first = lo - width / 2 if centered else lo
         slot = F.least(F.floor((number[name] - F.lit(first)) / F.lit(width)), F.lit(bins - 1)).cast("int")
-        parts.append(F.struct(F.lit(name).alias("variable"), slot.alias("bin")))
+        parts.append(F.struct(F.lit(name).alias("variable"), F.when(number[name].isNotNull(), slot).alias("bin")))
         layout += [(name, b, first + b * width, first + (b + 1) * width, n, width) for b in range(bins)]
     frame = spark.createDataFrame(
         layout or [("", 0, 0.0, 0.0, 0, 0.0)],
@@ -136,46 +142,75 @@ class _Bracket:
         last = (self.ranks[-1] - self.below + 1 + slack) / self.rows
         return [max(0.0, first), min(1.0, last)]
 
+    def middle(self) -> float:
+        return min(1.0, (self.ranks[len(self.ranks) // 2] - self.below + 0.5) / self.rows)
+
 
 def _narrow(values: DataFrame, wanted: list[int], total: int) -> dict[int, float]:
+    """The values at the wanted ranks, each bracket narrowed until few distinct values are left in it."""
     brackets: list[_Bracket] = []
     for rank in wanted:
         if brackets and rank - brackets[-1].ranks[-1] <= 1:
             brackets[-1].ranks.append(rank)
         else:
             brackets.append(_Bracket([rank], -math.inf, math.inf, 0, total))
+    found: dict[int, float] = {}
     while open_ones := [b for b in brackets if not b.done]:
+        # A value that fills a good part of a bracket is where the sketch gets stuck. The
+        # middle one is tried as an answer, or else as a new edge, in the same pass.
         cuts = values.agg(
             *[
-                F.percentile_approx(F.when(b.holds(), F.col("x")), b.edges(), BRACKET_ACCURACY).alias(f"q{i}")
+                F.percentile_approx(F.when(b.holds(), F.col("x")), [*b.edges(), b.middle()], BRACKET_ACCURACY).alias(f"q{i}")
                 for i, b in enumerate(open_ones)
             ]
         ).first()
+        tries = []
         for i, b in enumerate(open_ones):
             first, last = b.edges()
-            b.lo = cuts[i][0] if first > 0 else b.lo
-            b.hi = cuts[i][1] if last < 1 else b.hi
+            lo, hi, mid = cuts[i]
+            tries.append((max(b.lo, lo) if first > 0 else b.lo, min(b.hi, hi) if last < 1 else b.hi, mid))
         sizes = values.agg(
             *[
                 f
-                for i, b in enumerate(open_ones)
+                for i, (b, (lo, hi, mid)) in enumerate(zip(open_ones, tries))
                 for f in (
-                    F.count_if(F.col("x") < F.lit(b.lo)).alias(f"below{i}"),
-                    F.count_if(b.holds()).alias(f"rows{i}"),
-                    F.approx_count_distinct(F.when(b.holds(), F.col("x"))).alias(f"distinct{i}"),
+                    F.count_if(F.col("x") < F.lit(lo)).alias(f"below{i}"),
+                    F.count_if(F.col("x").between(F.lit(lo), F.lit(hi))).alias(f"rows{i}"),
+                    F.approx_count_distinct(F.when(F.col("x").between(F.lit(lo), F.lit(hi)), F.col("x"))).alias(f"distinct{i}"),
+                    F.count_if(F.col("x") < F.lit(mid)).alias(f"under{i}"),
+                    F.count_if(F.col("x") <= F.lit(mid)).alias(f"upto{i}"),
+                    F.max(F.when((F.col("x") < F.lit(mid)) & b.holds(), F.col("x"))).alias(f"before{i}"),
+                    F.min(F.when((F.col("x") > F.lit(mid)) & b.holds(), F.col("x"))).alias(f"after{i}"),
                 )
             ]
         ).first()
-        for i, b in enumerate(open_ones):
-            b.below, rows = sizes[f"below{i}"], sizes[f"rows{i}"]
-            if not b.below <= b.ranks[0] <= b.ranks[-1] < b.below + rows:
-                raise RuntimeError("the approximate percentile missed its accuracy")
-            # A bracket that no longer shrinks holds little but repeats of few values.
-            b.done = sizes[f"distinct{i}"] <= DISTINCT_AT_MOST or rows == b.rows
-            b.rows = rows
+        for i, (b, (lo, hi, mid)) in enumerate(zip(open_ones, tries)):
+            below, rows = sizes[f"below{i}"], sizes[f"rows{i}"]
+            # A sketch that missed the ranks leaves the bracket as wide as it was.
+            if below <= b.ranks[0] and b.ranks[-1] < below + rows:
+                b.lo, b.hi, b.below, b.rows = lo, hi, below, rows
+                if sizes[f"distinct{i}"] <= DISTINCT_AT_MOST:
+                    b.done = True
+                    continue
+            under, upto = sizes[f"under{i}"], sizes[f"upto{i}"]
+            found |= {r: mid for r in b.ranks if under <= r < upto}
+            left = [r for r in b.ranks if not under <= r < upto]
+            if not left:
+                b.ranks, b.done = [], True
+            elif left[-1] < under and mid > b.lo:
+                b.ranks, b.hi, b.rows = left, sizes[f"before{i}"], under - b.below
+            elif left[0] >= upto and mid < b.hi:
+                b.ranks, b.lo, b.rows, b.below = left, sizes[f"after{i}"], b.below + b.rows - upto, upto
+            else:
+                # Ranks on both sides of the middle value: one bracket each.
+                upper = _Bracket([r for r in left if r >= upto], sizes[f"after{i}"], b.hi, upto, b.below + b.rows - upto)
+                b.ranks, b.hi, b.rows = [r for r in left if r < under], sizes[f"before{i}"], under - b.below
+                brackets.append(upper)
+    brackets = [b for b in brackets if b.ranks]
+    if not brackets:
+        return found
     inside = reduce(lambda a, b: a | b, [b.holds() for b in brackets])
     counts = _value_counts(values.filter(inside))
-    found: dict[int, float] = {}
     for b in brackets:
         found |= _pick(counts[(counts["x"] >= b.lo) & (counts["x"] <= b.hi)], b.ranks, b.below)
     return found
@@ -340,7 +375,7 @@ def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None) -> Dat
         sums = pa.array([total.ravel()], pa.list_(pa.float64()))
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": sums})
 
-    merged = sum_vectors(few_partitions(table).mapInArrow(moments, "part int, sums array<double>"), "part", "sums")
+    merged = sum_vectors(table.mapInArrow(moments, "part int, sums array<double>"), "part", "sums")
     n, s, q, p = np.zeros((4, k, k)) if merged is None else merged.reshape(4, k, k)
     with np.errstate(divide="ignore", invalid="ignore"):
         cov = p - s * s.T / n

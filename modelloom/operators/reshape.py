@@ -87,11 +87,12 @@ def prediction_curve(
 ) -> DataFrame:
     """Actual and predicted values along time, or along a row counter.
 
-    Counted rows come out of the counter's own sort, so they are not sorted again.
+    Rows of one time are ordered by the values. Counted rows come out of the counter's own sort, so they are not sorted again.
     """
     lines = [y, *model_cols]
     if time_col is not None:
-        return predictions.select(col(time_col), *[col(c) for c in lines]).orderBy(col(time_col))
+        # Equal times are spread by the values, so a frequent time is no hot sort range.
+        return predictions.select(col(time_col), *[col(c) for c in lines]).orderBy(col(time_col), *[col(c) for c in lines])
     if not order_by:
         raise ValueError("give time_col, or order_by for the row counter")
     return with_counter(predictions, order_by).select("Counter", *[col(c) for c in lines])

@@ -238,8 +238,10 @@ def split_time(
         raise TypeError(f"column {time_col!r} is {dtype.simpleString()}, not a date or timestamp")
     if cut is None:
         start, cut, end = default_periods(df, time_col)
-    given = [str(v) for v in (start, cut, end) if v is not None]
-    if given != sorted(given) or (end is not None and str(cut) == str(end) and str(start) != str(end)):
+    # Compared as values of the column's type, whatever text they come as.
+    bounds = [F.lit(v if v is None else str(v)).cast(dtype) for v in (start, cut, end)]
+    ordered = [a <= b for a, b in zip(bounds, bounds[1:])] + [bounds[0] <= bounds[2], (bounds[1] != bounds[2]) | (bounds[0] == bounds[2])]
+    if not df.sparkSession.range(1).select(*[F.coalesce(o, F.lit(True)).alias(f"o{i}") for i, o in enumerate(ordered)]).filter("o0 AND o1 AND o2 AND o3").count():
         raise ValueError(f"periods must run forward: start={start}, cut={cut}, end={end}")
     t = col(time_col)
     in_train = t <= like_column(df, time_col, cut)

@@ -6,21 +6,22 @@ import json
 import threading
 import time
 import uuid
-from dataclasses import asdict, dataclass
+from contextlib import contextmanager
+from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from modelloom import learners as L
 from modelloom.learners import names
-from modelloom.learners.base import RAW, Learner, TrainingData, mllib_score, param
+from modelloom.learners.base import KEY, RAW, Learner, TrainingData, mllib_score, param
 from modelloom.learners.linear import standardised_coefficients
 from modelloom.operators.encode import LABEL, TREE
-from modelloom.session import ensure_checkpoint_dir
 
 # First round, one candidate per family, the cheap ones first.
 ORDER = ("GLM", "DRF", "GBM", "DeepLearning", "XGBoost")
 FOLD = "__fold"
+SEARCH_SHARE = 0.7  # of the time budget; the rest is for the refit
 REPEATS = 50  # draws already tried before the search counts as exhausted
 
 
@@ -94,6 +95,7 @@ class Candidate:
     metric: float | None = None
     seconds: float = 0.0
     status: str = "not started"
+    fitted: object = None
 
 
 @dataclass(frozen=True)
@@ -101,9 +103,13 @@ class AutoML(Learner):
     """Tries candidates until time or their number runs out; the best is refitted.
 
     Candidates are scored by cross-validation on the cached training rows (root
-    mean squared error, or error rate in percent). Running jobs are cancelled at
-    the deadline, except those of the first candidate, so there always is a
-    leader. Results repeat exactly only with ``max_models`` and no time limit.
+    mean squared error, or error rate in percent); folds follow a hash of the key.
+    ``max_seconds`` is a hard limit: the search has ``SEARCH_SHARE`` of it, the rest
+    is the refit's, and running jobs are cancelled when either is over. If time ends
+    before all folds of any candidate, those done count; if it ends before the
+    refit, the leader's last fold model is used. Without one finished fold there is
+    no leader and TimeoutError is raised. Results repeat exactly only with
+    ``max_models`` and no time limit.
     """
 
     label = names.AUTO_ML
@@ -125,16 +131,29 @@ class AutoML(Learner):
             raise ValueError("set max_seconds or max_models")
 
     def _fit(self, data: TrainingData):
-        tried = self._search(data)
-        done = [c for c in tried if c.status == "ok"]
+        sc = data.df.sparkSession.sparkContext
+        started = time.monotonic()
+        limit = None if self.max_seconds is None else started + SEARCH_SHARE * self.max_seconds
+        tried = self._search(data, sc, limit)
+        done = [c for c in tried if c.metric is not None]
         if not done:
+            if any(c.status == "timed out" for c in tried):
+                raise TimeoutError(f"no candidate finished a fold within {self.max_seconds} seconds")
             raise RuntimeError(f"no candidate could be trained: {[(c.family, c.status) for c in tried]}")
-        best = min(done, key=lambda c: c.metric)
-        leader = best.learner.fit(data)
-        importance = leader.importance
-        if best.family == "GLM" and hasattr(leader.model, "numFeatures"):
-            importance = standardised_coefficients(data, leader.model)
-        return leader.score, importance, {"leader": leader, "family": best.family, "candidates": tried}
+        best = min(done, key=lambda c: (c.status != "ok", c.metric))
+        leader, refitted = best.fitted, False
+        with time_box(sc, None if self.max_seconds is None else started + self.max_seconds) as over:
+            try:
+                leader, refitted = best.learner.fit(data), True
+                importance = leader.importance
+                if best.family == "GLM" and hasattr(leader.model, "numFeatures"):
+                    importance = standardised_coefficients(data, leader.model)
+            except Exception:
+                if not over.is_set():
+                    raise
+                importance = leader.importance
+        tried = [replace(c, fitted=None) for c in tried]
+        return leader.score, importance, {"leader": leader, "family": best.family, "candidates": tried, "refitted": refitted}
 
     def _candidates(self, task: str):
         given = dict(self.defaults)
@@ -150,12 +169,9 @@ class AutoML(Learner):
             f = usable[rng.integers(len(usable))]
             yield Candidate(f, _drawn(f, task, rng, self.seed))
 
-    def _search(self, data: TrainingData) -> list[Candidate]:
-        sc = data.df.sparkSession.sparkContext
-        # Checkpointed, so that no row changes its fold when an executor is lost.
-        ensure_checkpoint_dir(data.df.sparkSession)
-        folded = data.df.withColumn(FOLD, F.floor(F.rand(self.seed) * self.folds).cast("int")).checkpoint().persist()
-        deadline = None if self.max_seconds is None else time.monotonic() + self.max_seconds
+    def _search(self, data: TrainingData, sc, deadline) -> list[Candidate]:
+        fold = F.pmod(F.xxhash64(F.lit(self.seed), KEY), F.lit(self.folds)).cast("int")
+        folded = data.df.withColumn(FOLD, fold).persist()
         tried, seen, models, repeats = [], set(), 0, 0
         try:
             for candidate in self._candidates(data.task):
@@ -163,7 +179,7 @@ class AutoML(Learner):
                     tried.append(candidate)
                     continue
                 late = deadline is not None and time.monotonic() >= deadline
-                if (late and models) or (self.max_models is not None and models >= self.max_models):
+                if late or (self.max_models is not None and models >= self.max_models):
                     missing = {f for f in self.families if f not in {c.family for c in tried}}
                     if candidate.family not in missing:
                         break
@@ -175,54 +191,58 @@ class AutoML(Learner):
                         break
                     continue
                 seen.add(candidate.learner)
-                limit = deadline if models else None
-                tried.append(self._judge(candidate, folded, data, sc, limit))
+                tried.append(self._judge(candidate, folded, data, sc, deadline))
                 models += 1
         finally:
             folded.unpersist()
         return tried
 
     def _judge(self, candidate: Candidate, folded, data: TrainingData, sc, deadline) -> Candidate:
-        tag = f"search-{uuid.uuid4().hex}"
-        hit = threading.Event()
-
-        def cancel():
-            hit.set()
-            sc.cancelJobsWithTag(tag)
-
-        timer = None
         started = time.perf_counter()
-        sc.addJobTag(tag)
-        if deadline is not None:
-            timer = threading.Timer(max(0.0, deadline - time.monotonic()), cancel)
-            timer.start()
-        try:
-            total, rows = 0.0, 0
-            for k in range(self.folds):
-                if hit.is_set():
-                    raise TimeoutError
-                part = TrainingData(folded.filter(F.col(FOLD) != k).drop(FOLD), data.encoder, data.task, data.classes)
-                fitted = candidate.learner.fit(part)
-                scored = fitted.score(folded.filter(F.col(FOLD) == k), RAW)
-                if data.task == "regression":
-                    loss = F.pow(F.col(RAW) - F.col(LABEL), 2)
-                else:
-                    loss = F.when(F.col(RAW) != F.col(LABEL), 1.0).otherwise(0.0)
-                row = scored.agg(F.sum(loss).alias("loss"), F.count(F.lit(1)).alias("n")).first()
-                total, rows = total + (row["loss"] or 0.0), rows + row["n"]
-            mean = total / rows
-            metric = float(np.sqrt(mean)) if data.task == "regression" else 100.0 * mean
+        total, rows, fitted, status = 0.0, 0, None, "ok"
+        with time_box(sc, deadline) as over:
+            try:
+                for k in range(self.folds):
+                    if over.is_set():
+                        raise TimeoutError
+                    part = TrainingData(folded.filter(F.col(FOLD) != k).drop(FOLD), data.encoder, data.task, data.classes)
+                    model = candidate.learner.fit(part)
+                    scored = model.score(folded.filter(F.col(FOLD) == k), RAW)
+                    if data.task == "regression":
+                        loss = F.pow(F.col(RAW) - F.col(LABEL), 2)
+                    else:
+                        loss = F.when(F.col(RAW) != F.col(LABEL), 1.0).otherwise(0.0)
+                    row = scored.agg(F.sum(loss).alias("loss"), F.count(F.lit(1)).alias("n")).first()
+                    total, rows, fitted = total + (row["loss"] or 0.0), rows + row["n"], model
+            except Exception as error:
+                status = "timed out" if over.is_set() else f"failed: {type(error).__name__}"
+        metric = None
+        if rows and status in ("ok", "timed out"):
+            metric = float(np.sqrt(total / rows)) if data.task == "regression" else 100.0 * total / rows
             if not np.isfinite(metric):
-                raise ArithmeticError("the metric is not a number")
-            status = "ok"
-        except Exception as error:
-            metric = None
-            status = "timed out" if hit.is_set() else f"failed: {type(error).__name__}"
-        finally:
-            if timer is not None:
-                timer.cancel()
-            sc.removeJobTag(tag)
-        return Candidate(candidate.family, candidate.learner, metric, time.perf_counter() - started, status)
+                metric, status = None, "failed: the metric is not a number"
+        return Candidate(candidate.family, candidate.learner, metric, time.perf_counter() - started, status, fitted)
+
+
+@contextmanager
+def time_box(sc, deadline):
+    """Cancels the jobs started within when the deadline is over; yields the event that says so."""
+    over, tag, timer = threading.Event(), f"search-{uuid.uuid4().hex}", None
+
+    def cancel():
+        over.set()
+        sc.cancelJobsWithTag(tag)
+
+    sc.addJobTag(tag)
+    if deadline is not None:
+        timer = threading.Timer(max(0.0, deadline - time.monotonic()), cancel)
+        timer.start()
+    try:
+        yield over
+    finally:
+        if timer is not None:
+            timer.cancel()
+        sc.removeJobTag(tag)
 
 
 def search_leaderboard(spark, model: dict):

@@ -9,15 +9,19 @@ from functools import cached_property
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from modelloom import learners as L
+from modelloom.functions import col, content_hash
 from modelloom.learners.base import Fitted, Learner, encode_training, predict_all
+from modelloom.operators.encode import MAX_CLASSES, MAX_LEVELS
 from modelloom.operators.metrics import (
     METRIC_COLUMN,
     classification_metrics,
     leaderboard,
     regression_metrics,
 )
+from modelloom.operators.reshape import with_counter
 from modelloom.operators.schema import prepare
 from modelloom.operators.split import split_random, split_time
 
@@ -83,6 +87,37 @@ class Comparison:
         rows += [(label, "failed", why) for label, why in self.failures]
         return self._spark.createDataFrame(rows, STATUS_SCHEMA)
 
+    def permutation_importance(self, key_cols: Sequence[str], seed: int = 123) -> DataFrame:
+        """(model, feature, importance, scaled_importance): how much the error grows without a feature.
+
+        Test rows are numbered in the order of a hash of their key, and each takes the
+        feature's value from the row before, in turn for each feature. One join serves all
+        features; the error is that of the leaderboard, and growth below zero counts as none.
+        """
+        features = list(self.models[0].encoder.features)
+        rows = self.test.withColumn("__hash", content_hash(seed, key_cols))
+        numbered = with_counter(rows, ["__hash"], "__row")
+        n = numbered.count()
+        donors = numbered.select((F.col("__row") % n + 1).alias("__row"), *[col(f).alias(f"__d{i}") for i, f in enumerate(features)])
+        paired = numbered.join(donors, "__row").persist(StorageLevel.MEMORY_AND_DISK)
+        of = regression_metrics if self.task == "regression" else classification_metrics
+        metric = METRIC_COLUMN[self.task] if self.task == "classification" else "rmse"
+
+        def errors(df: DataFrame) -> dict[str, float]:
+            return {r["Model"]: r[metric] or 0.0 for r in of(predict_all(df, self.models), self.y, self.labels).collect()}
+
+        try:
+            base = errors(paired)
+            grown = {f: errors(paired.withColumn(f, F.col(f"__d{i}"))) for i, f in enumerate(features)}
+        finally:
+            paired.unpersist()
+        found = []
+        for label in self.labels:
+            values = [max(0.0, grown[f][label] - base[label]) for f in features]
+            top = max(values)
+            found += [(label, f, v, v / top if top > 0 else 0.0) for f, v in zip(features, values)]
+        return self._spark.createDataFrame(found, IMPORTANCE_SCHEMA)
+
     def cache(self) -> "Comparison":
         """Keep the predictions for several reports; ``close`` lets them go."""
         self.predictions.persist(StorageLevel.MEMORY_AND_DISK)
@@ -103,6 +138,8 @@ def compare(
     key_cols: Sequence[str] | None = None,
     on_error: str = "raise",
     missing: str = "skip",
+    max_levels: int = MAX_LEVELS,
+    max_classes: int = MAX_CLASSES,
 ) -> Comparison:
     """Train any set of learners on one encoded, cached training table.
 
@@ -126,7 +163,7 @@ def compare(
     for learner in chosen:
         if task not in learner.tasks:
             raise ValueError(f"{learner.label} does not serve {task}")
-    data = encode_training(train, y, task, features, key_cols, learners=chosen, missing=missing)
+    data = encode_training(train, y, task, features, key_cols, learners=chosen, missing=missing, max_levels=max_levels, max_classes=max_classes)
 
     def run(learner: Learner):
         try:
@@ -151,13 +188,13 @@ def compare(
     return Comparison(task, y, train, test, models, failures)
 
 
-def _run(data, y, task, features, learners, share, seed, key_cols, time_col, cut, start, end, parallelism, on_error):
+def _run(data, y, task, features, learners, share, seed, key_cols, time_col, cut, start, end, **options):
     df, roles = prepare(data, y, task, features, time_col)
     if roles.time_col is not None:
         train, test = split_time(df, roles.time_col, cut, start, end)
     else:
         train, test = split_random(df, share, seed, key_cols)
-    return compare(train, test, roles.y, roles.features, task, learners, parallelism, key_cols, on_error)
+    return compare(train, test, roles.y, roles.features, task, learners, key_cols=key_cols, **options)
 
 
 def regression(
@@ -172,14 +209,15 @@ def regression(
     cut=None,
     start=None,
     end=None,
-    parallelism: int = 1,
-    on_error: str = "raise",
+    **options,
 ) -> Comparison:
     """Compare regression models for a numeric target.
 
     A table with a date or timestamp column is split along it, others at random.
+    ``options`` are those of ``compare``: ``parallelism``, ``on_error``, ``missing``,
+    ``max_levels``, ``max_classes``.
     """
-    return _run(data, y, "regression", features, learners, share, seed, key_cols, time_col, cut, start, end, parallelism, on_error)
+    return _run(data, y, "regression", features, learners, share, seed, key_cols, time_col, cut, start, end, **options)
 
 
 def classification(
@@ -194,8 +232,10 @@ def classification(
     cut=None,
     start=None,
     end=None,
-    parallelism: int = 1,
-    on_error: str = "raise",
+    **options,
 ) -> Comparison:
-    """Compare classification models; the target is taken as categories."""
-    return _run(data, y, "classification", features, learners, share, seed, key_cols, time_col, cut, start, end, parallelism, on_error)
+    """Compare classification models; the target is taken as categories.
+
+    Splits and ``options`` are those of ``regression``.
+    """
+    return _run(data, y, "classification", features, learners, share, seed, key_cols, time_col, cut, start, end, **options)

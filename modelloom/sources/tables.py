@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from modelloom.functions import col, field
 
@@ -52,12 +53,27 @@ def stage(df: DataFrame, columns: Sequence[str] | None = None, view: str | None
     return df
 
 
-def preview(df: DataFrame, page: int, order_by: Sequence[str], size: int = 10) -> DataFrame:
-    """Page ``page`` (from 0) of the table in the given order."""
+def preview(df: DataFrame, page: int, order_by: Sequence[str], size: int = 10, after: Sequence | None = None) -> DataFrame:
+    """Page ``page`` (from 0) of the table in the given order.
+
+    A far page is better asked for by ``after``, the ``order_by`` values of the last row
+    seen: then pages count from there, and only what lies beyond is looked at.
+    """
     if page < 0 or size < 1:
         raise ValueError("page must be >= 0 and size >= 1")
     if not order_by:
         raise ValueError("order_by is needed: Spark tables have no row order of their own")
+    if after is not None:
+        if len(after) != len(order_by):
+            raise ValueError(f"after needs {len(order_by)} values")
+        beyond, same = F.lit(False), F.lit(True)
+        for name, value in zip(order_by, after):
+            bound = F.lit(value).cast(df.schema[name].dataType)
+            # NULL sorts first.
+            larger = col(name).isNotNull() if value is None else col(name) > bound
+            beyond = beyond | (same & F.coalesce(larger, F.lit(False)))
+            same = same & col(name).eqNullSafe(bound)
+        df = df.filter(beyond)
     return df.orderBy(*[col(c) for c in order_by]).offset(page * size).limit(size)
 
 

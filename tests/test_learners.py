@@ -5,11 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from modelloom import learners as L
-from modelloom.learners import bayes
-from modelloom.learners.base import encode_training, predict_all
+from modelloom.learners.base import encode_training, predict_all, train_model
 from modelloom.learners.linear import standardised_coefficients
 from modelloom.learners.names import ACTIVATIONS, LOSSES
 from modelloom.learners.neural import Network, output_slope
+from modelloom.learners.trees import FlatTree
 from modelloom.operators.encode import fit_encoder
 from modelloom.operators.metrics import classification_metrics, regression_metrics
 
@@ -147,13 +147,61 @@ def test_too_many_levels_are_refused(part):
         fit_encoder(part.withColumn("m", F.create_map(F.lit(1), F.lit(2))), ["m"])
 
 
-def test_bayes_paths_agree(planted, monkeypatch):
-    data = encode_training(planted, "side", "classification", ["a", "b", "kind"])
-    model = L.NaiveBayes(laplace=0.5).fit(data)
-    inline = predict_all(planted, [model]).select("id", "Naive Bayes").collect()
-    monkeypatch.setattr(bayes, "INLINE_TERMS", 0)
-    again = L.NaiveBayes(laplace=0.5).fit(data)
-    assert sorted(inline) == sorted(predict_all(planted, [again]).select("id", "Naive Bayes").collect())
+def test_bayes_of_large_values(spark):
+    """Values near 1.7e9, as seconds of a time are, do not cancel."""
+    rng = np.random.default_rng(1)
+    rows = [(i, "a" if i % 2 else "b", 1.7e9 + (30.0 if i % 2 else 0.0) + rng.normal()) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, y string, x double")
+    model = train_model(df, "y", "classification", ["x"], L.NaiveBayes())
+    assert predict_all(df, [model]).filter(F.col("Naive Bayes") != F.col("y")).count() == 0
+
+
+def test_arrays_of_two_lengths_are_refused(spark):
+    df = spark.range(30).select("id", F.when(F.col("id") == 7, F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0))).otherwise(F.array(F.lit(1.0), F.col("id"))).alias("v"))
+    with pytest.raises(ValueError, match="'v' have 2 to 3"):
+        fit_encoder(df, ["v"])
+
+
+def test_two_thousand_predictors(spark):
+    df = spark.range(40).select("id", *[((F.col("id") * (i + 3)) % 17 + F.lit(0.5 * i)).alias(f"x{i}") for i in range(2000)])
+    names = [f"x{i}" for i in range(2000)]
+    data = encode_training(df.withColumn("y", F.col("x5") * 2.0), "y", "regression", names)
+    assert len(data.df.first()["__tree"]) == 2000
+    model = L.DecisionTree(max_depth=3).fit(data)
+    assert predict_all(df, [model]).filter(F.col("Decision tree").isNull()).count() == 0
+
+
+def test_layout_follows_rows_and_key_alone(spark):
+    df = spark.range(5000).select("id", (F.col("id") % 7).alias("x"), (F.col("id") % 3).alias("y"))
+    found = []
+    for parts in (1, 13):
+        data = encode_training(df.repartition(parts), "y", "regression", ["x"], ["id"], partitions=3)
+        sizes = data.df.groupBy(F.spark_partition_id().alias("p")).count().orderBy("p").collect()
+        found.append((sizes, L.RandomForest(trees=3, max_depth=3).fit(data).model.toDebugString.split("\n", 1)[1]))
+        data.release()
+    assert found[0] == found[1]
+    assert encode_training(df, "y", "regression", ["x"]).df.rdd.getNumPartitions() == 1
+
+
+def test_class_and_level_limits_can_be_set(part):
+    with pytest.raises(ValueError, match="more than 3 levels"):
+        train_model(part, "p_size", "regression", ["p_type"], L.DecisionTree(), max_levels=3)
+    with pytest.raises(ValueError, match="more than 2 levels"):
+        train_model(part, "p_type", "classification", ["p_size"], L.NaiveBayes(), max_classes=2)
+
+
+def test_flat_trees_score_like_mllib(planted):
+    data = encode_training(planted, "y", "regression", ["a", "b", "kind"])
+    model = L.DecisionTree(max_depth=6).fit(data).model
+    rows = model.transform(data.df).select("__tree", "prediction").collect()
+    flat = FlatTree.read(model.toDebugString)
+    assert np.allclose(flat.values(np.array([r["__tree"].toArray() for r in rows])), [r["prediction"] for r in rows])
+
+
+def test_losses_in_classification_are_refused(planted):
+    data = encode_training(planted, "side", "classification", ["a"])
+    with pytest.raises(ValueError, match="cross entropy"):
+        L.NeuralNetwork(loss="Absolute", epochs=1).fit(data)
 
 
 def test_bayes_small_deviations(spark):

@@ -45,6 +45,30 @@ def test_quantiles_by_narrowing_equal_numpy(spark, monkeypatch):
     assert np.allclose(P.exact_quantiles(df, "x", probs), np.quantile(x, probs), rtol=1e-12)
 
 
+def test_quantiles_with_half_of_the_rows_equal(spark, monkeypatch):
+    """What reaches the driver stays within the bound, however often one value occurs."""
+    monkeypatch.setattr(P, "DISTINCT_AT_MOST", 10)
+    monkeypatch.setattr(P, "BRACKET_ACCURACY", 50)
+    collected = []
+    plain = P._value_counts
+    monkeypatch.setattr(P, "_value_counts", lambda values: collected.append(plain(values)) or collected[-1])
+    rng = np.random.default_rng(6)
+    x = np.concatenate([np.full(4000, 2.5), rng.normal(2.5, 1e-3, 4000)])
+    df = spark.createDataFrame([(float(v),) for v in x], "x double").repartition(4)
+    probs = [0.1, 0.2499, 0.25, 0.5, 0.75, 0.9]
+    assert np.allclose(P.exact_quantiles(df, "x", probs), np.quantile(x, probs), rtol=0, atol=1e-12)
+    # At most eleven brackets, two ranks for each wanted quantile.
+    assert all(len(c) <= 12 * 12 for c in collected)
+
+
+def test_infinities_are_left_out(spark):
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, math.inf, -math.inf, math.nan, None)], "x double")
+    assert [(r["lo"], r["hi"], r["count"]) for r in P.histogram(df, "x", bins=2).orderBy("bin").collect()] == [(1.0, 1.5, 1), (1.5, 2.0, 1)]
+    row = P.box_stats(df, "x").first()
+    assert (row["n"], row["min"], row["max"], row["median"]) == (2, 1.0, 2.0, 1.5)
+    assert P.kde(df, "x", points=3).count() == 3
+
+
 @quiet
 @given(st.lists(st.floats(-1e6, 1e6), min_size=1, max_size=40))
 def test_quantiles_property(spark, values):

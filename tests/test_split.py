@@ -139,3 +139,19 @@ def test_mean_time_ignores_the_session_zone(spark):
         assert S.default_periods(df, "t").cut == "2021-03-28 02:30:00"
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_keys_do_not_run_together(spark):
+    from modelloom.functions import content_hash
+
+    rows = [("a|b", "c"), ("a", "b|c"), (None, "x"), ("\\N", "x"), ("\\", "|"), ("\\|", "")]
+    df = spark.createDataFrame(rows, "p string, q string")
+    assert df.select(content_hash(1, ["p", "q"])).distinct().count() == len(rows)
+
+
+def test_periods_are_compared_as_times(spark):
+    df = spark.sql("SELECT timestamp_ntz'2024-01-20 06:30:00' AS t")
+    split = S.split_time(df, "t", cut="2024-01-20T06:00:00", end="2024-01-20 07:00:00")
+    assert (split.train.count(), split.test.count()) == (0, 1)
+    with pytest.raises(ValueError, match="forward"):
+        S.split_time(df, "t", cut="2024-01-20T06:00:00", end="2024-01-20 05:00:00")

@@ -96,3 +96,12 @@ def test_curve_by_time_is_sorted(orders):
     curve = R.prediction_curve(orders.withColumn("m", F.lit(1.0)), "o_totalprice", ["m"], time_col="o_orderdate")
     days = [r["o_orderdate"] for r in curve.collect()]
     assert days == sorted(days) and curve.columns == ["o_orderdate", "o_totalprice", "m"]
+
+
+def test_pages_by_key(spark):
+    df = spark.createDataFrame([(i % 3 or None, i) for i in range(20)], "a int, b int")
+    whole = [tuple(r) for r in preview(df, 0, ["a", "b"], size=20).collect()]
+    seen, after = [], None
+    while page := [tuple(r) for r in preview(df, 0, ["a", "b"], size=6, after=after).collect()]:
+        seen, after = seen + page, page[-1]
+    assert seen == whole
