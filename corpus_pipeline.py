@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelloom.llm.common import held_out
+from modelloom.llm.common import held_out, small_batches
 from modelloom.llm.jaccard import Likeness, one_of_each
 from modelloom.llm.language import UNDETERMINED, fit_language, predict_language
 from modelloom.llm.mixing import mix_sources, mixed_rows
@@ -26,6 +26,7 @@ LEAST_SURE = 0.5
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the grammar, weighted by the labels, does not call toxic."""
+    small_batches(spark)
     docs = docs.select(*COLUMNS)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~held_out(F.col("doc_id")))
     return score_toxicity(docs, fit_toxicity(docs, labels)).where("predicted = 0").select(*COLUMNS)

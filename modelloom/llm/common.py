@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -23,6 +23,13 @@ MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 PART_BYTES = 1_000_000
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Let Spark hand long texts to Python in smaller batches than its default, unless the session has its own number."""
+    name, default = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+    if spark.conf.get(name, default) == default:
+        spark.conf.set(name, rows)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the checkpoint folder that all executors share."""
     ensure_checkpoint_dir(df.sparkSession)

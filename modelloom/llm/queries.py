@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelloom.llm import chat
-from modelloom.llm.common import held_out
+from modelloom.llm.common import held_out, small_batches
 from modelloom.llm.fingerprints import fingerprint_with_next
 from modelloom.llm.jaccard import Likeness, similar_documents
 from modelloom.llm.language import fit_language, predict_language
@@ -29,6 +29,7 @@ def query(make):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
