@@ -137,7 +137,7 @@ class AutoML(Learner):
         tried = self._search(data, sc, limit)
         done = [c for c in tried if c.metric is not None]
         if not done:
-            if any(c.status == "timed out" for c in tried):
+            if any(c.status in ("timed out", "not started") for c in tried):
                 raise TimeoutError(f"no candidate finished a fold within {self.max_seconds} seconds")
             raise RuntimeError(f"no candidate could be trained: {[(c.family, c.status) for c in tried]}")
         best = min(done, key=lambda c: (c.status != "ok", c.metric))

@@ -99,8 +99,9 @@ def test_missing_values_can_be_refused(spark):
     df = spark.createDataFrame([(1.0, 1.0), (2.0, None), (3.0, 3.0)], "y double, x double")
     with pytest.raises(ValueError, match="'x': 1"):
         compare(df, df, "y", ["x"], "regression", ["DecisionTree"], missing="error")
-    with pytest.raises(ValueError, match="'x': 1"):
-        regression(df, "y", ["x"], ["DecisionTree"], share=1.0, missing="error")
+    gappy = spark.range(40).select("id", F.col("id").cast("double").alias("y"), F.when(F.col("id") % 2 == 0, 1.0).alias("x"))
+    with pytest.raises(ValueError, match="missing values per column: {'x'"):
+        regression(gappy, "y", ["x"], ["DecisionTree"], key_cols=["id"], missing="error")
     assert compare(df, df, "y", ["x"], "regression", ["DecisionTree"]).predictions.count() == 3
 
 
