@@ -136,15 +136,19 @@ class Scanner:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def sampled_labels(labels: DataFrame, id_col: str, label_col: str, sample: int, seed: int) -> DataFrame:
-    """About ``sample`` labelled ids of each label at most, drawn by a hash of the id, with one label each."""
+def sampled_labels(labels: DataFrame, id_col: str, label_col: str, sample: int, seed: int) -> tuple[DataFrame, dict[int, float]]:
+    """About ``sample`` labelled ids of each label at most, drawn by a hash of the id, with one label each.
+
+    Also how many ids of each label a drawn one stands for.
+    """
     one = labels.select(col(id_col).alias("id"), col(label_col).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
     one = one.groupBy("id").agg(F.max("label").alias("label"))
     counts = dict(one.groupBy("label").count().collect())
     share = F.lit(0.0)
     for label, n in counts.items():
         share = F.when(F.col("label") == label, min(1.0, sample / n)).otherwise(share)
-    return one.where((F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / (1 << 30)) < share)
+    drawn = one.where((F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / (1 << 30)) < share)
+    return drawn, {label: counts[label] / n for label, n in drawn.groupBy("label").count().collect()}
 
 
 def fit_toxicity(
@@ -162,13 +166,14 @@ def fit_toxicity(
     """Learn insult words and event weights from labelled documents.
 
     At most about ``sample`` documents of each label are used, whatever the tables hold;
-    their ids are the only broadcast. ``max_learned`` bounds the learned words. A word is
+    their ids are the only broadcast. In the fit each of them weighs as many labelled ids as
+    it stands for, so the labels keep their rates; equal texts that are drawn count once. ``max_learned`` bounds the learned words. A word is
     learned if toxic documents use it between at least ``min_contexts`` different
     neighbours and clean documents in less than a fiftieth as many: copies of one document
     bring one context. Without labels of both kinds the grammar's own weights stay. Ids
     with several labels count as toxic if one says so; null ids and labels are left out.
     """
-    drawn = sampled_labels(labels, id_col, label_col, sample, seed)
+    drawn, stands_for = sampled_labels(labels, id_col, label_col, sample, seed)
     texts = docs.select(col(id_col).alias("id"), col(text_col).alias("text")).where("text IS NOT NULL")
     # Bounded by the sample size, about 2 * sample rows.
     texts = texts.join(F.broadcast(drawn), "id").select("text", "label").distinct().persist()
@@ -186,7 +191,8 @@ def fit_toxicity(
     rows = events.groupBy("label", "counts").count().collect()
     texts.unpersist()
     x = np.array([[1.0, *np.log2(1 + np.array(r.counts))] for r in rows])
-    return ToxicityModel(model.symbols, tuple(fitted(x, np.array([float(r.label) for r in rows]), np.array([float(r["count"]) for r in rows]), prior_sd)))
+    n = np.array([r["count"] * stands_for[r.label] for r in rows])
+    return ToxicityModel(model.symbols, tuple(fitted(x, np.array([float(r.label) for r in rows]), n, prior_sd)))
 
 
 def event_rows(scanner: Scanner, texts: list) -> list[list[float]]:

@@ -115,3 +115,15 @@ def test_new_insults_are_learned(spark):
     model = fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
     assert "grobnik" in model.symbols
     assert Scanner(model).score(Scanner(model).counts("such a grobnik")) > 0.5
+
+
+def test_scores_do_not_shift_with_the_sample(spark):
+    # 2,000 clean documents and 250 toxic ones; a twentieth and a half of them have an insult.
+    rows = [(i, f"word{i} is " + ("an idiot" if (i % 20 == 0 if i < 2000 else i % 2) else "here"), int(i >= 2000)) for i in range(2250)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    scores = []
+    for sample in (200, 4000):
+        scanner = Scanner(fit_toxicity(docs, docs, sample=sample, max_learned=0))
+        scores.append([scanner.score(scanner.counts(t)) for t in ("nothing here", "an idiot")])
+    assert scores[0] == pytest.approx(scores[1], abs=0.1)
+    assert scores[0][0] < 0.15
