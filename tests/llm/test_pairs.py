@@ -164,3 +164,19 @@ def test_licenses_with_changes():
 def test_short_templates_are_refused(no_docs):
     with pytest.raises(ValueError, match="need 5 words"):
         scan_licenses(no_docs, templates={"x": "too short"})
+
+
+def test_a_long_conversation_spreads(spark, monkeypatch):
+    # Turns without an id, a snapshot and a copy of them, and one that differs at its end.
+    monkeypatch.setattr(chat, "TURNS_EACH", 40, raising=False)
+    said = [(t, "user" if t % 2 else "bot", f"text {t}") for t in range(300)]
+    rows = [(c, *x) for c, n in ((None, 300), (1, 250), (2, 300), (3, 299)) for x in said[:n]] + [(3, 299, "bot", "another end")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = {r.conv_id: (r.n_turns, r.rendered) for r in chat.format_chats(df).collect()}
+    lines = [f"<|im_start|>{role}\n{text}<|im_end|>\n" for _, role, text in said]
+    assert found == {2: (300, "".join(lines)), 3: (300, "".join([*lines[:299], "<|im_start|>bot\nanother end<|im_end|>\n"]))}
+    rolled = chat.rolling_turns(chat.ordered_turns(df))
+    assert sorted(r.place for r in rolled.where("conv_id = 2").collect()) == list(range(1, 301))
+    assert rolled.where("conv_id = 2").select("part").distinct().count() > 3
+    alone = chat.format_chats(df.where("conv_id IS NULL OR conv_id = 1")).collect()
+    assert [(r.conv_id, r.n_turns, r.rendered) for r in alone] == [(None, 300, "".join(lines))]
