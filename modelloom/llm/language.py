@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,30 @@ UNDETERMINED = "und"
 SMOOTHING, CACHED, CACHED_CHARS = 0.5, 100_000, 40
 
 
+#: Scores of words seen before that a worker keeps, over all languages.
+CACHED_SCORES = 3_200_000
+#: Entries of all languages together that a model's list of words, or of n-grams of one length, may have.
+MAX_ENTRIES = 400_000
+#: Up to so many scores a list is one array, which is read faster.
+DENSE_SCORES = 4_000_000
+
+
+class Scores:
+    """Rows of log frequencies by language, of which only those above a language's ``least`` are stored."""
+
+    def __init__(self, least: np.ndarray, offsets: np.ndarray, languages: np.ndarray, values: np.ndarray):
+        self.least, self.offsets, self.languages, self.values = least, offsets, languages, values
+
+    def __getitem__(self, rows) -> np.ndarray:
+        at = np.atleast_1d(np.asarray(rows, dtype=np.int64))
+        counts = self.offsets[at + 1] - self.offsets[at]
+        out = np.repeat(self.least[None, :], len(at), axis=0)
+        first = np.repeat(self.offsets[at] - (np.cumsum(counts) - counts), counts)
+        entry = first + np.arange(len(first))
+        out[np.repeat(np.arange(len(at)), counts), self.languages[entry]] = self.values[entry]
+        return out if np.ndim(rows) else out[0]
+
+
 @dataclass(frozen=True)
 class LanguageModel:
     """Log frequencies: ``tables[0]`` of words, ``tables[n]`` of n-grams, each with a row of ``scores``."""
@@ -33,7 +58,7 @@ class LanguageModel:
     languages: tuple[str, ...]
     prior: np.ndarray
     tables: tuple[dict[str, int], ...]
-    scores: tuple[np.ndarray, ...]
+    scores: tuple[Scores | np.ndarray, ...]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -58,8 +83,8 @@ def fit_language(
 
     About ``sample`` documents of each language are drawn by a hash of ``seed_cols`` and
     the text; equal texts count once. The model keeps the ``max_words`` most frequent words
-    and ``max_grams`` n-grams of each length and language, which bounds what reaches the driver
-    and the tasks. More than ``max_languages`` languages are refused. Rows without a text
+    and ``max_grams`` n-grams of each length and language, and fewer where many languages
+    share ``MAX_ENTRIES``, which bounds what reaches the driver and the tasks. More than ``max_languages`` languages are refused. Rows without a text
     or a language are not learned from; a table without any gives a model that answers
     ``und`` for everything.
     """
@@ -79,20 +104,26 @@ def fit_language(
     counts = counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).persist()
     # The cut of each list as a count, found over the histogram of counts: ties at the cut stay out together.
     histogram = counts.groupBy("lang", "size", "n").agg(F.count("*").alias("grams")).collect()
-    cuts = frequency_cuts(histogram, max_words, max_grams)
+    share = MAX_ENTRIES // len(names)
+    cuts = frequency_cuts(histogram, min(max_words, share), min(max_grams, share))
     kept = counts.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, size int, least long")), ["lang", "size"])
-    kept = kept.where("n >= least").drop("least").toArrow().to_pylist()
+    kept = kept.where("n >= least").select("lang", "size", "gram", "n").toArrow()
     counts.unpersist()
     tables, scores = [], []
     for size in range(MAX_GRAM + 1):
-        own = [r for r in kept if r["size"] == size]
-        table = {g: i for i, g in enumerate(sorted({r["gram"] for r in own}))}
-        seen = np.zeros((len(table), len(names)))
-        for r in own:
-            seen[table[r["gram"]], names.index(r["lang"])] = r["n"]
-        seen += SMOOTHING
+        own = kept.filter(pc.equal(kept["size"], size))
+        table = {g: i for i, g in enumerate(sorted(pc.unique(own["gram"]).to_pylist()))}
+        row = np.fromiter((table[g] for g in own["gram"].to_pylist()), dtype=np.int64, count=len(own))
+        language = pc.index_in(own["lang"], pa.array(names, own["lang"].type)).to_numpy().astype(np.int32)
+        seen = own["n"].to_numpy() + SMOOTHING
+        order = np.lexsort((language, row))
+        row, language, seen = row[order], language[order], seen[order]
+        total = np.bincount(language, weights=seen - SMOOTHING, minlength=len(names)) + SMOOTHING * len(table)
+        least = np.log(SMOOTHING / np.maximum(total, SMOOTHING)).astype(np.float32)
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(table)))]).astype(np.int64)
         tables.append(table)
-        scores.append(np.log(seen / seen.sum(axis=0)).astype(np.float32))
+        stored = Scores(least, offsets, language, np.log(seen / total[language]).astype(np.float32))
+        scores.append(stored[np.arange(len(table))] if len(table) * len(names) <= DENSE_SCORES else stored)
     return LanguageModel(tuple(names), np.log(n / n.sum()), tuple(tables), tuple(scores))
 
 
@@ -199,7 +230,7 @@ class Reader:
         runs = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         distinct = set().union(*runs)
         new = distinct.difference(self.rows)
-        if len(self.rows) + len(new) > CACHED:
+        if len(self.rows) + len(new) > min(CACHED, CACHED_SCORES // len(languages)):
             self.forget()
             new = distinct
         self.learn(list(new))

@@ -39,6 +39,25 @@ def test_known_words_come_first():
     assert [a[0] for a in reader.predict(["thex", "12 34 !?", None, "xyz dex"])] == ["en", "und", "und", "de"]
 
 
+def test_many_languages_share_the_entries(spark, monkeypatch):
+    from modelloom.llm import language
+
+    monkeypatch.setattr(language, "MAX_ENTRIES", 600, raising=False)
+    monkeypatch.setattr(language, "DENSE_SCORES", -1, raising=False)
+    letters = "abcdefghijklmnopqrst"
+    texts = [(i, " ".join(f"{a}{b}{c}" for b in letters for c in letters[:3]), f"l{a}") for i, a in enumerate(letters)]
+    common = [(100 + i, f"{a}aa " * 5, f"l{a}") for i, a in enumerate(letters)]
+    df = spark.createDataFrame(texts + common, "doc_id long, text string, lang string")
+    model = fit_language(df)
+    assert len(model.languages) == 20
+    assert all(0 < len(t) <= 600 for t in (model.tables[0], model.tables[1]))
+    assert all(len(s.values) <= 600 for s in model.scores)
+    # Only what was seen is stored, and a row is whole again when it is read.
+    row = model.scores[0][model.tables[0]["caa"]]
+    assert len(row) == 20 and int(row.argmax()) == model.languages.index("lc")
+    assert [r.lang_pred == r.lang for r in predict_language(df, model).collect()].count(False) == 0
+
+
 def fit_small() -> LanguageModel:
     import numpy as np
 
