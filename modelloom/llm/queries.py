@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelloom.llm import chat
+from modelloom.llm.byte_bpe import encode_documents
 from modelloom.llm.common import held_out, small_batches
 from modelloom.llm.fingerprints import fingerprint_with_next
 from modelloom.llm.jaccard import Likeness, similar_documents
@@ -16,8 +17,10 @@ from modelloom.llm.licenses import scan_licenses
 from modelloom.llm.mixing import mix_sources
 from modelloom.llm.packing import pack_documents
 from modelloom.llm.quality import BASE, judge_quality
+from modelloom.llm.repair import damage_and_repair
 from modelloom.llm.token_counts import count_tokens
 from modelloom.llm.toxicity import fit_toxicity, score_toxicity
+from modelloom.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -92,3 +95,19 @@ def op10_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     labels = table(spark, folder, "labels").where(~held_out(F.col("doc_id")))
     found = score_toxicity(docs, fit_toxicity(docs, labels), keep=["doc_id"])
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op11_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    outputs = ["n_tokens", "ids_sha256", "decoded_sha256"]
+    return encode_documents(table(spark, folder, "documents"), outputs=outputs, keep=["doc_id"])
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return damage_and_repair(spark.read.parquet(f"{folder}/conversations.parquet"))
