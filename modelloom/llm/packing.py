@@ -9,6 +9,7 @@ traced back, and the same window is repeated as often as they last.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections import Counter
@@ -22,10 +23,21 @@ from pyspark.sql import types as T
 
 from modelloom.functions import col
 from modelloom.llm.common import checkpointed, in_parts, list_array, partitions_for
+from modelloom.llm.token_counts import byte_letters
 
 TOKENIZER = "word_bpe_49k.json"
-#: Remainders of a group, runs of text remembered by a worker, length of a remembered run.
-GROUP, CACHED, CACHED_CHARS = 20_000, 120_000, 40
+#: Remainders of a group, runs of text that a worker remembers, twice as many at most, length of a remembered run.
+GROUP, CACHED, CACHED_CHARS = 20_000, 250_000, 40
+#: What strings of special tokens begin with; they count in their own case only.
+SPECIAL = "<|"
+#: Texts of characters whose lower case is one character, and which all versions of Unicode class alike.
+PLAIN = re.compile(r"[\n\t\r\x20-\x7e\xa1-\u012f\u0131-\u017f\u2010-\u2027\u20ac]*\Z").match
+#: Such letters only.
+LETTERS = re.compile(r"[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]+\Z").match
+#: How the vocabulary spells the bytes of a word.
+BYTE_LETTERS = dict(enumerate(byte_letters()))
+#: A letter or digit after which commas and full stops are tokens of their own.
+PLAIN_END = re.compile(r"(?s).*[A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u017f]\Z").match
 
 
 @lru_cache(maxsize=2)
@@ -42,39 +54,48 @@ class TokenBytes(dict):
     """From a run of text between blanks to its token ids, as little-endian 32-bit integers.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of
-    its runs, one after another; nor does one span the end of a word and the commas or
-    full stops after it. A task remembers the runs that it has seen.
+    its runs, one after another; nor does one span the end of a plain word and the commas or
+    full stops after it. Case is dropped too, so plain texts are put in lower case at once. A
+    worker remembers the runs that it has seen, and those seen lately when there are too many.
     """
 
     def __init__(self, path: str):
-        super().__init__({"": b""})
+        super().__init__()
         self.tokenizer = tokenizer_of(path)
+        self.merge = self.tokenizer.model.tokenize
+        self.before: dict[str, bytes] = {}
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        runs = [(t or "").replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        distinct = set().union(*runs)
-        new = distinct.difference(self)
-        if len(self) + len(new) > CACHED:
+        if len(self) > CACHED:
+            self.before = dict(self)
             self.clear()
-            self[""] = b""
-            new = distinct.difference(self)
-        stems = {r: s for r in new if (s := r.rstrip(".,")) != r and s and s[-1].isalnum()}
-        self.learn({stems.get(r, r) for r in new}.union(r[len(s) :] for r, s in stems.items()).difference(self))
-        for run, stem in stems.items():
-            self[run] = self[stem] + self[run[len(stem) :]]
-        found = [b"".join(map(self.__getitem__, r)) for r in runs]
-        for run in [r for r in new if len(r) > CACHED_CHARS]:
-            del self[run]
-        return found
-
-    def learn(self, runs) -> None:
-        """Words of ASCII letters are one pre-token, which goes to the tokenizer's model at once."""
-        words = [r for r in runs if r.isascii() and r.isalpha()]
-        split = self.tokenizer.model.tokenize
-        self.update((w, array("I", [t.id for t in split(w.lower())]).tobytes()) for w in words)
-        rest = [r for r in runs if r not in self]
-        encoded = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-        self.update(zip(rest, (array("I", e.ids).tobytes() for e in encoded), strict=True))
+        return [b"".join(map(self.__getitem__, self.runs(t))) if t else b"" for t in texts]
+
+    def runs(self, text: str) -> list[str]:
+        if SPECIAL not in text and PLAIN(text):
+            text = text.lower()
+        return text.replace("\n", " ").replace("\t", " ").split(" ")
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.before.get(run)
+        if ids is None:
+            stem = run.rstrip(".,")
+            if stem != run and stem and PLAIN_END(stem):
+                ids = self[stem] + self[run[len(stem) :]]
+            else:
+                ids = self.encode(run)
+        if len(run) <= CACHED_CHARS:
+            self[run] = ids
+        return ids
+
+    def encode(self, run: str) -> bytes:
+        """The merges alone for a plain word, which is one pre-token; the whole tokenizer for others."""
+        if not LETTERS(run):
+            return array("I", self.tokenizer.encode(run, add_special_tokens=False).ids).tobytes()
+        word = run.lower()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(BYTE_LETTERS)
+        return array("I", [token.id for token in self.merge(word)]).tobytes()
 
 
 def minimum_slack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:

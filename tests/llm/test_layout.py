@@ -178,3 +178,45 @@ def test_pipeline_of_edge_rows(spark, edge, no_docs):
         for name, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs.select([F.col(f"`{c}`") for c in docs.columns]), DATA)
         docs.collect()
+
+
+def fuzzed_texts(rnd, n):
+    marks = ["İ", "i̇", "Σ", ",", ".", "A", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext|>", "é", "e", "́", " ", "it's", "WE'LL", "'", "½"]
+    letters = "aAbBcdeEßéÉİıŉſ .,,..\n\t\r'sS's<|>İ́̈ΣσςοΟKÅ\x01\x00ǅ日本🙂123½²①  "
+    for i in range(n):
+        yield [
+            lambda: "".join(rnd.choice(letters) for _ in range(rnd.randrange(30))),
+            lambda: "".join(rnd.choice(marks) for _ in range(rnd.randrange(12))),
+            lambda: "".join(chr(rnd.choice([rnd.randrange(32, 0x3000), rnd.randrange(0xE000, 0x20000)])) for _ in range(rnd.randrange(15))),
+            lambda: " ".join("".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(9))) + rnd.choice(["", ".", ",", "..", ".,"]) for _ in range(6)).title(),
+            lambda: "".join(chr(rnd.randrange(0xA0, 0x250)) if rnd.random() < 0.7 else rnd.choice(".,") for _ in range(rnd.randrange(15))),
+        ][i % 5]()
+
+
+def test_ids_of_fuzzed_texts_equal_the_library():
+    import random
+
+    import public_tokenizers
+
+    from modelloom.llm.packing import TOKENIZER, TokenBytes, tokenizer_of
+
+    path = public_tokenizers.path(TOKENIZER)
+    texts = ["İ,", "İ.", "aİ,b", *fuzzed_texts(random.Random(5), 50_000)]
+    found = TokenBytes(path).of(texts)
+    wanted = tokenizer_of(path).encode_batch_fast(texts, add_special_tokens=False)
+    for text, ids, own in zip(texts, found, wanted, strict=True):
+        assert np.frombuffer(ids, dtype="<u4").tolist() == own.ids, text
+
+
+def test_remembered_runs_are_let_go(monkeypatch):
+    import public_tokenizers
+
+    from modelloom.llm import packing
+
+    monkeypatch.setattr(packing, "CACHED", 5)
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tokens = packing.TokenBytes(path)
+    for i in range(20):
+        text = f"word{i} other, again. {'long' * 20}"
+        assert np.frombuffer(tokens.of([text])[0], dtype="<u4").tolist() == packing.tokenizer_of(path).encode(text, add_special_tokens=False).ids
+        assert len(tokens) <= 5 + 8 and "long" * 20 not in tokens
