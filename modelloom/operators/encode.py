@@ -136,7 +136,7 @@ def column_levels(df: DataFrame, names: Sequence[str], limits: Sequence[int]) ->
         found[row["i"]].append(row["v"])
     for name, values, limit in zip(names, found, limits):
         if len(values) > limit:
-            raise ValueError(f"column {name!r} has more than {limit} levels; drop it or group its levels")
+            raise ValueError(f"column {name!r} has more than {limit} levels; drop it, group its levels or have it target encoded")
     return [tuple(sorted(v)) for v in found]
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from modelloom import learners as L
 from modelloom.functions import col, content_hash
 from modelloom.learners.base import Fitted, Learner, encode_training, predict_all
-from modelloom.operators.encode import MAX_CLASSES, MAX_LEVELS
+from modelloom.operators.encode import MAX_CLASSES, MAX_LEVELS, column_levels
+from modelloom.operators.levels import fit_levels
 from modelloom.operators.metrics import (
     METRIC_COLUMN,
     classification_metrics,
@@ -140,12 +141,15 @@ def compare(
     missing: str = "skip",
     max_levels: int = MAX_LEVELS,
     max_classes: int = MAX_CLASSES,
+    target_encode: Sequence[str] = (),
 ) -> Comparison:
     """Train any set of learners on one encoded, cached training table.
 
     Learners are given as objects, or by name for their default parameters.
     ``on_error='keep'`` goes on when a learner fails and reports it in ``status``;
-    ``missing='error'`` refuses training rows with missing values.
+    ``missing='error'`` refuses training rows with missing values. Predictors in
+    ``target_encode`` may have any number of levels: their frequency and target means
+    stand for them, as columns beside theirs in both tables (``key_cols`` are needed for the folds).
     """
     if task not in DEFAULT_LEARNERS:
         raise ValueError(f"task must be one of {tuple(DEFAULT_LEARNERS)}, not {task!r}")
@@ -163,6 +167,8 @@ def compare(
     for learner in chosen:
         if task not in learner.tasks:
             raise ValueError(f"{learner.label} does not serve {task}")
+    if target_encode:
+        train, test, features = _encode_levels(train, test, y, task, features, key_cols, target_encode, max_classes)
     data = encode_training(train, y, task, features, key_cols, learners=chosen, missing=missing, max_levels=max_levels, max_classes=max_classes)
 
     def run(learner: Learner):
@@ -181,6 +187,8 @@ def compare(
             outcomes = [run(c) for c in chosen]
     finally:
         data.release()
+        if target_encode:
+            train.unpersist()
     models = [o for o in outcomes if isinstance(o, Fitted)]
     failures = [o for o in outcomes if not isinstance(o, Fitted)]
     if not models:
@@ -188,6 +196,20 @@ def compare(
     return Comparison(task, y, train, test, models, failures)
 
 
+def _encode_levels(train, test, y, task, features, key_cols, names, max_classes):
+    """Both tables with the encoded columns, and the predictors with these in place of ``names``."""
+    if not key_cols:
+        raise ValueError("target_encode needs key_cols, which deal the rows to folds")
+    unknown = [n for n in names if n not in features]
+    if unknown:
+        raise ValueError(f"target_encode names no predictors: {unknown}")
+    classes = column_levels(train, [y], [max_classes])[0] if task == "classification" else None
+    table = fit_levels(train, names, y, key_cols, classes)
+    features = [f for f in features if f not in names] + table.encoded_names
+    # Several passes are made over the joined rows.
+    return table.encode(train, fitting=True).persist(StorageLevel.MEMORY_AND_DISK), table.encode(test), features
+
+
 def _run(data, y, task, features, learners, share, seed, key_cols, time_col, cut, start, end, **options):
     df, roles = prepare(data, y, task, features, time_col)
     if roles.time_col is not None:
@@ -215,7 +237,7 @@ def regression(
 
     A table with a date or timestamp column is split along it, others at random.
     ``options`` are those of ``compare``: ``parallelism``, ``on_error``, ``missing``,
-    ``max_levels``, ``max_classes``.
+    ``max_levels``, ``max_classes``, ``target_encode``.
     """
     return _run(data, y, "regression", features, learners, share, seed, key_cols, time_col, cut, start, end, **options)
 
