@@ -14,6 +14,8 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ from modelloom.functions import col
 from modelloom.functions.vectors import sum_vectors
 from modelloom.operators.reshape import with_counter
 from modelloom.operators.schema import numeric_columns, require_numeric
+from modelloom.operators.split import sample_rows
 
 KDE_NODES = 4096
 DISTINCT_AT_MOST = 100_000
@@ -347,52 +350,137 @@ def autocorrelation(df: DataFrame, name: str, order_by: Sequence[str], max_lag:
     return df.sparkSession.createDataFrame(rows, "Lag int, ACF double")
 
 
-def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None) -> DataFrame:
+#: Columns of a block, entries of all blocks that a task adds up at a time, entries of a slice of rows.
+CORR_BLOCK, CORR_ENTRIES, SLICE_ENTRIES = 256, 4_000_000, 2_000_000
+
+
+def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None, block: int = CORR_BLOCK, entries: int = CORR_ENTRIES) -> DataFrame:
     """Pearson correlations of all numeric pairs as (var_x, var_y, corr), both orders.
 
     Each pair uses the rows where both values are present; a constant column gives
-    NULL. One pass takes the means, a second adds up centred products: each task
-    returns one columns-by-columns matrix. (SQL's ``corr`` per pair outgrows the
-    code generator beyond five columns and fails on constant ones.)
+    NULL. One pass takes the means; then columns are dealt to blocks of ``block``, and every task
+    adds up centred products for pairs of blocks. The pairs' sums meet by pair, root of the
+    number of tasks by root, and are turned into correlations where they meet: neither a task nor the driver holds a
+    matrix of all columns by all. A pass serves as many pairs of blocks as have ``entries``, and reads
+    the columns of these only; several thousand columns take several passes.
     """
     names = numeric_columns(df) if names is None else list(names)
     for name in names:
         require_numeric(df, name)
-    k = len(names)
+    schema = "var_x string, var_y string, corr double"
+    if not names:
+        return df.sparkSession.createDataFrame([], schema)
     table = df.select(*[col(n).cast("double").alias(f"c{i}") for i, n in enumerate(names)])
-    means = table.agg(*[F.avg(F.when(~F.isnan(f"c{i}"), F.col(f"c{i}"))).alias(f"c{i}") for i in range(k)]).first()
-    centre = np.array([0.0 if m is None else m for m in means])
-
-    def moments(batches):
-        total = np.zeros((4, k, k))
+    centre = _column_means(table, len(names))
+    starts = list(range(0, len(names), block))
+    pairs = [(i, j) for i in range(len(starts)) for j in range(i, len(starts))]
+    each = max(1, entries // block**2)
+    strips = [pairs[a : a + each] for a in range(0, len(pairs), each)]
+    sums = [_block_products(table, strip, starts, block, centre) for strip in strips]
+    merged = reduce(DataFrame.unionByName, sums).groupBy("i", "j").agg(Summarizer.sum(F.col("v")).alias("v"))
+
+    def correlations(batches):
         for batch in batches:
-            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float) - centre
+            for i, j, flat in zip(*(batch.column(c).to_pylist() for c in range(2)), batch.column(2), strict=True):
+                x, y = names[starts[i] : starts[i] + block], names[starts[j] : starts[j] + block]
+                r = _correlations(flat.values.to_numpy().reshape(6, len(x), len(y)))
+                values = pa.array(np.clip(r, -1, 1).ravel(), from_pandas=True)
+                left, right = np.repeat(x, len(y)).tolist(), np.tile(y, len(x)).tolist()
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), values], names=["var_x", "var_y", "corr"])
+                if i != j:
+                    yield pa.RecordBatch.from_arrays([pa.array(right), pa.array(left), values], names=["var_x", "var_y", "corr"])
+
+    return merged.select("i", "j", vector_to_array("v").alias("v")).mapInArrow(correlations, schema)
+
+
+def _row_slices(batches, width: int):
+    """Float matrices of the batches' columns, of a bounded number of entries each."""
+    size = max(1, SLICE_ENTRIES // width)
+    for batch in batches:
+        for at in range(0, batch.num_rows, size):
+            part = batch.slice(at, size)
+            yield np.column_stack([c.to_numpy(zero_copy_only=False) for c in part.columns]).astype(float)
+
+
+def _column_means(table: DataFrame, width: int) -> np.ndarray:
+    """Means of the present values; 0 for a column without any."""
+
+    def sums(batches):
+        total = np.zeros((2, width))
+        for x in _row_slices(batches, width):
+            seen = ~np.isnan(x)
+            total += np.stack([seen.sum(axis=0), np.where(seen, x, 0.0).sum(axis=0)])
+        part = TaskContext.get().partitionId()
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": pa.array([total.ravel()], pa.list_(pa.float64()))})
+
+    merged = sum_vectors(table.mapInArrow(sums, "part int, sums array<double>"), "part", "sums")
+    n, s = np.zeros((2, width)) if merged is None else merged.reshape(2, width)
+    return np.divide(s, n, out=np.zeros(width), where=n > 0)
+
+
+def _block_products(table: DataFrame, strip: list[tuple[int, int]], starts: list[int], block: int, centre: np.ndarray) -> DataFrame:
+    """``i, j, v``: per pair of blocks counts, sums, squares and products over the rows of up to root-many tasks."""
+    width = len(table.columns)
+    used = sorted({b for pair in strip for b in pair})
+    columns = [c for b in used for c in range(starts[b], min(starts[b] + block, width))]
+    first = {b: sum(min(block, width - starts[u]) for u in used if u < b) for b in used}
+    spans = {b: slice(first[b], first[b] + min(block, width - starts[b])) for b in used}
+    mean = centre[columns]
+
+    def products(batches):
+        totals = {(i, j): np.zeros((6, spans[i].stop - spans[i].start, spans[j].stop - spans[j].start)) for i, j in strip}
+        for x in _row_slices(batches, len(columns)):
+            x = x - mean
             seen = ~np.isnan(x)
             x = np.where(seen, x, 0.0)
-            m = seen.astype(float)
-            total += np.stack([m.T @ m, x.T @ m, (x * x).T @ m, x.T @ x])
+            m, q = seen.astype(float), x * x
+            for (i, j), total in totals.items():
+                a, b = spans[i], spans[j]
+                # Where both are present: rows, sums and squares of either column, products.
+                for k, (left, right) in enumerate(((m, m), (x, m), (m, x), (q, m), (m, q), (x, x))):
+                    total[k] += left[:, a].T @ right[:, b]
         part = TaskContext.get().partitionId()
-        sums = pa.array([total.ravel()], pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "sums": sums})
+        for (i, j), total in totals.items():
+            arrays = [pa.array([i], pa.int32()), pa.array([j], pa.int32()), pa.array([part], pa.int32()), pa.array([total.ravel()], pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["i", "j", "part", "sums"])
 
-    merged = sum_vectors(table.mapInArrow(moments, "part int, sums array<double>"), "part", "sums")
-    n, s, q, p = np.zeros((4, k, k)) if merged is None else merged.reshape(4, k, k)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        cov = p - s * s.T / n
-        var = q - s * s / n
-        floor = 1e-14 * q
-        r = np.where((var > floor) & (var.T > floor.T), cov / np.sqrt(var * var.T), np.nan)
-    rows = [(names[i], names[j], None if np.isnan(r[i, j]) else float(np.clip(r[i, j], -1, 1))) for i in range(k) for j in range(k)]
-    return df.sparkSession.createDataFrame(rows, "var_x string, var_y string, corr double")
+    parts = table.select(*[f"c{c}" for c in columns]).mapInArrow(products, "i int, j int, part int, sums array<double>")
+    parts = parts.select("i", "j", F.floor(F.sqrt("part")).alias("g"), array_to_vector("sums").alias("v"))
+    return parts.groupBy("i", "j", "g").agg(Summarizer.sum(F.col("v")).alias("v")).drop("g")
 
 
-def scatter(train: DataFrame, test: DataFrame, x: str, y: str) -> DataFrame:
-    """(x, y, split) points of both sides."""
+def _correlations(sums: np.ndarray) -> np.ndarray:
+    n, sx, sy, qx, qy, p = sums
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cov = p - sx * sy / n
+        var_x, var_y = qx - sx * sx / n, qy - sy * sy / n
+        told = (var_x > 1e-14 * qx) & (var_y > 1e-14 * qy)
+        return np.where(told, cov / np.sqrt(var_x * var_y), np.nan)
+
+
+def scatter(
+    train: DataFrame,
+    test: DataFrame,
+    x: str,
+    y: str,
+    max_points: int | None = None,
+    key_cols: Sequence[str] | None = None,
+    seed: int = 123,
+) -> DataFrame:
+    """(x, y, split) points of both sides, ``max_points`` of them at most.
+
+    With more points exactly that many are drawn from both sides together, those of least hash. With ``key_cols`` (unique
+    over both sides) the draw is a filter; without, equal points are counted and numbered first.
+    """
+    keys = [col(k).alias(f"__k{i}") for i, k in enumerate(key_cols or [])]
     sides = [
-        side.select(col(x).alias("x"), col(y).alias("y"), F.lit(name).alias("split"))
+        side.select(col(x).alias("x"), col(y).alias("y"), F.lit(name).alias("split"), *keys)
         for name, side in (("train", train), ("test", test))
     ]
-    return sides[0].unionByName(sides[1])
+    points = sides[0].unionByName(sides[1])
+    if max_points is not None:
+        points = sample_rows(points, max_points, seed, [f"__k{i}" for i in range(len(keys))])
+    return points.select("x", "y", "split")
 
 
 def scatter_bins(train: DataFrame, test: DataFrame, x: str, y: str, bins: int = 100) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelloom.functions import col, field
+from modelloom.functions import col, content_hash, field
 from modelloom.session import ensure_checkpoint_dir
 
 PARTITION_SHIFT = 33  # monotonically_increasing_id: partition number above bit 33, row number below
@@ -17,8 +17,10 @@ PARTITION_SHIFT = 33  # monotonically_increasing_id: partition number above bit
 def with_counter(df: DataFrame, order_by: Sequence[str], name: str = "Counter") -> DataFrame:
     """Rows numbered from 1 in the given order, the number as first column.
 
-    A range sort spreads the order over the cluster (rows equal in all sort
-    columns are spread by a seeded random tiebreak); it is checkpointed once, so
+    Rows equal in all sort columns follow a hash of their whole content, so the
+    numbers are the same however the table is partitioned; rows equal in every column
+    can take each other's numbers, which makes no difference, and are spread out. A range sort
+    spreads the order over the cluster; it is checkpointed once, so
     that row positions hold, and each row's number is its position plus the rows
     of the partitions before it. No window runs over the whole table.
     """
@@ -28,9 +30,9 @@ def with_counter(df: DataFrame, order_by: Sequence[str], name: str = "Counter")
         field(df, c)
     ensure_checkpoint_dir(df.sparkSession)
     ordered = (
-        df.withColumn("__tie", F.rand(7))
-        .orderBy(*[col(c) for c in order_by], "__tie")
-        .drop("__tie")
+        df.withColumns({"__tie": content_hash(0, df.columns), "__apart": F.monotonically_increasing_id()})
+        .orderBy(*[col(c) for c in order_by], "__tie", "__apart")
+        .drop("__tie", "__apart")
         .withColumn("__at", F.monotonically_increasing_id())
         .checkpoint()
     )

@@ -71,17 +71,42 @@ def split_random(
     return _split_equal_rows(df, share, seed, exact)
 
 
-def _split_equal_rows(df: DataFrame, share: float, seed: int, exact: bool) -> Split:
+def sample_rows(df: DataFrame, rows: int, seed: int = 123, key_cols: Sequence[str] | None = None) -> DataFrame:
+    """Exactly ``rows`` rows drawn without replacement, those of least hash; all if there are no more.
+
+    With ``key_cols`` (unique per row) this is a filter on a hash of the key; without, equal
+    rows are counted and numbered, for which the table is shuffled and checkpointed once.
+    """
+    if rows < 0:
+        raise ValueError(f"the number of rows must not be negative, not {rows}")
+    if key_cols:
+        rank = content_hash(seed, key_cols)
+        last = _boundary(df.select(rank.alias(_HASH)), rows=rows)
+        return df.filter(rank <= F.lit(last))
+    names = [col(c) for c in df.columns]
+    counted = _counted(df, seed)
+    numbered = _number_few(counted).unionByName(_number_many(counted))
+    rank = F.md5(F.concat_ws("|", _CONTENT, F.col(_COPY).cast("string")))
+    last = _boundary(numbered.select(rank.alias(_HASH)), rows=rows)
+    return numbered.filter(rank <= F.lit(last)).select(*names)
+
+
+def _counted(df: DataFrame, seed: int) -> DataFrame:
+    """One row per content with its number of copies and a hash, kept as files, as several passes read it."""
     names = [col(c) for c in df.columns]
     ensure_checkpoint_dir(df.sparkSession)
-    # Read by every pass below, so the one shuffle is kept as files.
-    counted = (
+    return (
         df.groupBy(*names)
         .agg(F.count(F.lit(1)).alias(_COPIES))
         .withColumn(_CONTENT, F.md5(F.concat_ws("|", F.lit(str(seed)), F.to_json(F.struct(*names)))))
         .checkpoint()
     )
 
+
+def _split_equal_rows(df: DataFrame, share: float, seed: int, exact: bool) -> Split:
+    names = [col(c) for c in df.columns]
+    counted = _counted(df, seed)
+
     def rank(copy: Column) -> Column:
         return F.md5(F.concat_ws("|", _CONTENT, copy.cast("string")))
 
@@ -111,8 +136,8 @@ def _rule(hashes: DataFrame, share: float, exact: bool) -> Callable[[Column], Co
     return lambda rank: rank <= F.lit(last)
 
 
-def _boundary(hashes: DataFrame, share: float) -> str:
-    """The hash of the last drawn row.
+def _boundary(hashes: DataFrame, share: float | None = None, rows: int | None = None) -> str:
+    """The hash of the last drawn row, of a share of the rows or of a number of them.
 
     Each pass counts rows per four more hex digits (at most 65,536 groups) and
     descends into the group holding the boundary, until that group is small
@@ -127,9 +152,12 @@ def _boundary(hashes: DataFrame, share: float) -> str:
             .collect()
         )
         if wanted is None:
-            wanted = round(sum(r["n"] for r in counts) * share)
+            total = sum(r["n"] for r in counts)
+            wanted = round(total * share) if rows is None else min(rows, total)
             if wanted == 0:
                 return ""
+            if wanted == total:
+                return "f" * HASH_DIGITS
         for row in counts:
             if row["n"] >= wanted:
                 break

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from modelloom.operators import profile
-from modelloom.operators.reshape import axis_bound, prediction_curve
+from modelloom.operators.reshape import axis_bound, prediction_curve, with_counter
 from modelloom.operators.split import split_random
 from modelloom.queries.registry import query, split_sql
 
@@ -146,9 +146,47 @@ def correlation_matrix_embeddings(t):
     return rounded(profile.correlation_matrix(wide))
 
 
+@query(
+    """
+    WITH long AS (SELECT vec_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings),
+    wide AS (SELECT vec_id, 'e' || d AS name, v FROM long UNION ALL SELECT vec_id, 's' || d, v * v FROM long
+      UNION ALL SELECT vec_id, 'n' || d, CASE WHEN v > 0 THEN v END FROM long)
+    SELECT a.name AS var_x, b.name AS var_y, round(corr(a.v, b.v), 6) AS corr
+    FROM wide a JOIN wide b USING (vec_id) WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY 1, 2"""
+)
+def correlation_matrix_blocks(t):
+    """192 columns, a third of them with gaps, in two blocks and two passes."""
+    each = [F.col("embedding")[i].cast("double") for i in range(64)]
+    wide = [e.alias(f"e{i}") for i, e in enumerate(each)] + [(e * e).alias(f"s{i}") for i, e in enumerate(each)]
+    wide += [F.when(e > 0, e).alias(f"n{i}") for i, e in enumerate(each)]
+    return rounded(profile.correlation_matrix(t.embeddings.select(*wide), block=96, entries=20_000))
+
+
 PART_SPLIT = split_sql("part", "p_partkey")
 
 
+@query(
+    f"""WITH {PART_SPLIT},
+    p AS (SELECT p_size AS x, p_retailprice AS y, 'train' AS split, p_partkey FROM train
+      UNION ALL SELECT p_size, p_retailprice, 'test', p_partkey FROM test)
+    SELECT x, y, split FROM p ORDER BY md5(concat_ws('|', '5', CAST(p_partkey AS VARCHAR))) LIMIT 150"""
+)
+def scatter_limited(t):
+    """150 points of both sides together, drawn by their keys."""
+    train, test = split_random(t.part, 0.7, key_cols=["p_partkey"])
+    return profile.scatter(train, test, "p_size", "p_retailprice", max_points=150, key_cols=["p_partkey"], seed=5)
+
+
+@query(
+    """SELECT row_number() OVER (ORDER BY o_orderstatus,
+        md5(concat_ws('|', '0', CAST(o_orderkey AS VARCHAR), o_orderstatus, o_orderpriority))) AS "Counter",
+      o_orderkey, o_orderstatus, o_orderpriority FROM orders"""
+)
+def row_counter_ties(t):
+    """Rows numbered by a column of three values; the content decides among equal ones."""
+    return with_counter(t.orders.select("o_orderkey", "o_orderstatus", "o_orderpriority"), ["o_orderstatus"])
+
+
 @query(
     f"WITH {PART_SPLIT} SELECT p_size AS x, p_retailprice AS y, 'train' AS split FROM train"
     " UNION ALL SELECT p_size, p_retailprice, 'test' FROM test"

@@ -162,3 +162,55 @@ def test_correlations_use_complete_pairs(spark):
 def test_scatter_bins_count_all_points(part):
     cells = P.scatter_bins(part, part, "p_size", "p_retailprice", bins=5)
     assert cells.agg(F.sum("n")).first()[0] == 400
+
+
+def test_correlations_of_many_columns_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((300, 4)) @ rng.standard_normal((4, 90)) + rng.standard_normal((300, 90))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7], x[:, 8] = 3.0, np.nan
+    names = [f"v.{i}" for i in range(90)]
+    df = spark.createDataFrame([[None if np.isnan(v) else float(v) for v in row] for row in x], ", ".join(f"`{n}` double" for n in names)).repartition(5)
+    monkeypatch.setattr(P, "SLICE_ENTRIES", 500)
+    found = {(r.var_x, r.var_y): r["corr"] for r in P.correlation_matrix(df, block=20, entries=1200).collect()}
+    assert len(found) == 8100 and found == {**found, **{(b, a): r for (a, b), r in found.items()}}
+    for i in range(0, 90, 3):
+        for j in range(90):
+            both = ~np.isnan(x[:, i]) & ~np.isnan(x[:, j])
+            got = found[names[i], names[j]]
+            if {i, j} & {7, 8}:
+                assert got is None
+            else:
+                assert got == pytest.approx(np.corrcoef(x[both, i], x[both, j])[0, 1], abs=1e-12)
+
+
+def test_correlations_of_nothing(spark):
+    df = spark.createDataFrame([], "a double, b double, t string")
+    assert {r["corr"] for r in P.correlation_matrix(df).collect()} == {None}
+    assert P.correlation_matrix(df, []).collect() == []
+
+
+def test_scatter_draws_exactly(spark):
+    rows = spark.range(1000).selectExpr("id % 7 AS x", "id % 3 AS y", "id")
+    train, test = rows.where("id % 5 > 0"), rows.where("id % 5 = 0")
+    for keys in (["id"], None):
+        points = P.scatter(train, test, "x", "y", max_points=64, key_cols=keys)
+        assert points.count() == 64 and points.columns == ["x", "y", "split"]
+        again = P.scatter(train.repartition(7), test.repartition(3), "x", "y", max_points=64, key_cols=keys)
+        assert sorted(points.collect()) == sorted(again.collect())
+        assert P.scatter(train, test, "x", "y", max_points=5000, key_cols=keys).count() == 1000
+        assert P.scatter(train, test, "x", "y", max_points=0, key_cols=keys).count() == 0
+    with pytest.raises(ValueError, match="negative"):
+        P.scatter(train, test, "x", "y", max_points=-1)
+
+
+def test_numbers_do_not_depend_on_partitions(spark):
+    from modelloom.operators.reshape import with_counter
+
+    df = spark.range(3000).selectExpr("id % 3 AS kind", "id % 500 AS a", "CAST(id % 250 AS string) AS b")
+    numbers = [sorted(with_counter(d, ["kind"]).collect()) for d in (df, df.repartition(5), df.orderBy("b", "a"))]
+    assert numbers[0] == numbers[1] == numbers[2]
+    assert [r.Counter for r in numbers[0]] == list(range(1, 3001))
+    # One row that is all of the table is spread over the cluster as well.
+    same = spark.range(2000).selectExpr("1 AS a")
+    assert sorted(r.Counter for r in with_counter(same, ["a"]).collect()) == list(range(1, 2001))
