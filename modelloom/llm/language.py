@@ -7,13 +7,13 @@ ones, from ``MAX_GRAM`` letters (with word boundaries) down to one.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +21,8 @@ from modelloom.functions import col
 from modelloom.llm.common import with_text_columns
 
 MAX_GRAM = 5
-WORD = re.compile(r"[^\W\d_]+")
+#: Letters with their marks; digits, fractions and numerals in circles or of Rome's kind are none.
+WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 UNDETERMINED = "und"
 #: Counts that are added to every frequency, and bounds of a worker's memory for words seen before.
 SMOOTHING, CACHED, CACHED_CHARS = 0.5, 100_000, 40
@@ -29,8 +30,6 @@ SMOOTHING, CACHED, CACHED_CHARS = 0.5, 100_000, 40
 
 #: Scores of words seen before that a worker keeps, over all languages.
 CACHED_SCORES = 3_200_000
-#: Entries of all languages together that a model's list of words, or of n-grams of one length, may have.
-MAX_ENTRIES = 400_000
 #: Up to so many scores a list is one array, which is read faster.
 DENSE_SCORES = 4_000_000
 
@@ -74,17 +73,17 @@ def fit_language(
     lang_col: str = "lang",
     seed_cols: tuple[str, ...] = ("doc_id",),
     sample: int = 3000,
-    max_words: int = 20_000,
-    max_grams: int = 20_000,
+    sample_total: int = 20_000,
+    min_count: int = 2,
     max_languages: int = 1000,
     seed: int = 1,
 ) -> LanguageModel:
     """Count words and n-grams in a bounded sample of labelled documents.
 
-    About ``sample`` documents of each language are drawn by a hash of ``seed_cols`` and
-    the text; equal texts count once. The model keeps the ``max_words`` most frequent words
-    and ``max_grams`` n-grams of each length and language, and fewer where many languages
-    share ``MAX_ENTRIES``, which bounds what reaches the driver and the tasks. More than ``max_languages`` languages are refused. Rows without a text
+    About ``sample`` documents of each language, and ``sample_total`` of all, shared evenly, are drawn by a
+    hash of ``seed_cols`` and the text; equal texts count once. The model keeps every word and
+    n-gram that a language has ``min_count`` times in the sample, which thus bounds what reaches the driver and the
+    tasks. More than ``max_languages`` languages are refused. Rows without a text
     or a language are not learned from; a table without any gives a model that answers
     ``und`` for everything.
     """
@@ -97,18 +96,13 @@ def fit_language(
         return LanguageModel((), np.zeros(0), tuple({} for _ in range(MAX_GRAM + 1)), ())
     names = [r["__lang"] for r in totals]
     n = np.array([r["count"] for r in totals], dtype=float)
-    shares = F.create_map(*[F.lit(x) for r in totals for x in (r["__lang"], min(1.0, sample / r["count"]))])
+    each = min(sample, sample_total / len(totals))
+    shares = F.create_map(*[F.lit(x) for r in totals for x in (r["__lang"], min(1.0, each / r["count"]))])
     unit = F.pmod(F.xxhash64(F.lit(seed), *[col(c) for c in seed_cols], "__text"), F.lit(1 << 30)) / (1 << 30)
     drawn = rows.where(unit < shares[F.col("__lang")]).select(F.col("__lang").alias("lang"), F.col("__text").alias("text")).distinct()
     counts = drawn.mapInArrow(count_grams, "lang string, size int, gram string, n long")
-    counts = counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")).persist()
-    # The cut of each list as a count, found over the histogram of counts: ties at the cut stay out together.
-    histogram = counts.groupBy("lang", "size", "n").agg(F.count("*").alias("grams")).collect()
-    share = MAX_ENTRIES // len(names)
-    cuts = frequency_cuts(histogram, min(max_words, share), min(max_grams, share))
-    kept = counts.join(F.broadcast(docs.sparkSession.createDataFrame(cuts, "lang string, size int, least long")), ["lang", "size"])
-    kept = kept.where("n >= least").select("lang", "size", "gram", "n").toArrow()
-    counts.unpersist()
+    counts = counts.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
+    kept = counts.where(F.col("n") >= min_count).toArrow()
     tables, scores = [], []
     for size in range(MAX_GRAM + 1):
         own = kept.filter(pc.equal(kept["size"], size))
@@ -127,23 +121,6 @@ def fit_language(
     return LanguageModel(tuple(names), np.log(n / n.sum()), tuple(tables), tuple(scores))
 
 
-def frequency_cuts(histogram, max_words: int, max_grams: int) -> list[tuple[str, int, int]]:
-    """For each language and size the least count to keep, so that no more than the limit stay."""
-    lists: dict[tuple, list] = {}
-    for r in histogram:
-        lists.setdefault((r.lang, r["size"]), []).append((r.n, r.grams))
-    cuts = []
-    for (lang, size), pairs in sorted(lists.items()):
-        room, least = max_words if size == 0 else max_grams, max(pairs)[0] + 1
-        for n, many in sorted(pairs, reverse=True):
-            room -= many
-            if room < 0:
-                break
-            least = n
-        cuts.append((lang, size, least))
-    return cuts
-
-
 def count_grams(batches):
     """Counts of words and n-grams by language, one row for each in a batch."""
     for batch in batches:
