@@ -118,6 +118,6 @@ whole AS (
 beginnings AS (SELECT DISTINCT said[1:n] AS said FROM (SELECT said, unnest(range(1, n_turns)) AS n FROM whole)),
 single AS (SELECT min(conv_id) AS conv_id, said FROM whole GROUP BY said)
 SELECT w.conv_id, w.n_turns, w.rendered
-FROM whole w JOIN single s ON w.conv_id = s.conv_id
+FROM whole w JOIN single s ON w.conv_id IS NOT DISTINCT FROM s.conv_id
 WHERE NOT EXISTS (SELECT 1 FROM beginnings b WHERE b.said = w.said)
 """

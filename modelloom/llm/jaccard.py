@@ -285,6 +285,7 @@ def block_links(rows: DataFrame, nodes: DataFrame, regions: DataFrame, counters,
     # Equal sets fold together before the shuffle; those let through by chance find no region.
     texts = rows.select("row_hash", "text").mapInArrow(sets, "node long, tokens array<long>")
     texts = texts.groupBy("node").agg(F.first("tokens").alias("tokens"))
+    texts = texts.join(regions.groupBy("node").agg(F.collect_set("region").alias("regions")), "node")
     tasks = in_blocks(regions, nodes, F.col("n"), texts)
 
     def link(batches):
@@ -297,7 +298,11 @@ def block_links(rows: DataFrame, nodes: DataFrame, regions: DataFrame, counters,
 
 
 def links_within(group: pa.Table, counters: np.ndarray, like: Likeness) -> tuple[np.ndarray, np.ndarray]:
-    """A star for each component of the links within a block or between two blocks."""
+    """A star for each component of the links within a block or between two blocks.
+
+    A pair is verified in the smallest region that its two nodes have in common. Each pair that
+    the filters could keep has kept both nodes in that region, so none is lost.
+    """
     node, own = group["node"].to_numpy(), group["own"].to_numpy()
     flat, offsets = list_parts(group["tokens"].combine_chunks())
     n, m = np.diff(offsets).astype(np.int32), len(node)
@@ -318,6 +323,10 @@ def links_within(group: pa.Table, counters: np.ndarray, like: Likeness) -> tuple
     candidate = (common > 0) & (np.minimum(a, b) * 100 >= like.percent * np.maximum(a, b))
     if low == high:
         candidate = np.triu(candidate, 1)
+    around, bounds = list_parts(group["regions"].combine_chunks())
+    smaller = around < group["region"][0].as_py()
+    if smaller.any():
+        candidate &= overlaps(np.repeat(np.arange(m), np.diff(bounds))[smaller], around[smaller], m, left, right) == 0
     # Positional: after the earlier of the two last prefix shingles only one set's rest can still match.
     last, rest = token[offsets[:-1] + prefix - 1].astype(np.int32), n - prefix
     still = np.where(last[left][:, None] <= last[right][None, :], rest[left][:, None], rest[right][None, :])
@@ -328,10 +337,15 @@ def links_within(group: pa.Table, counters: np.ndarray, like: Likeness) -> tuple
     rows, i_place = np.unique(i, return_inverse=True)
     columns, j_place = np.unique(j, return_inverse=True)
     equal = overlaps(doc, token, m, left[rows], right[columns])
-    linked = equal[i_place, j_place] >= need[i, j]
+    linked = verified(node[left[i]], node[right[j]], equal[i_place, j_place], need[i, j])
     return stars(node, left[i[linked]], right[j[linked]])
 
 
+def verified(a: np.ndarray, b: np.ndarray, common: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether the pairs of nodes ``(a, b)`` have as many shingles in common as a link needs."""
+    return common >= need
+
+
 def overlaps(doc: np.ndarray, token: np.ndarray, m: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Sizes of the intersections of ``left`` with ``right`` sets, as products of 0/1 matrices, some columns at a time."""
     sought = np.zeros(m, dtype=bool)

@@ -37,13 +37,15 @@ def source_targets(sources: DataFrame, weights: tuple[float, ...], most: float)
     n = sources.count()
     ordered = checkpointed(sources.repartitionByRange(partitions_for(n, ROWS_EACH), *order).sortWithinPartitions(*order))
     ordered = checkpointed(ordered.withColumn("at", F.monotonically_increasing_id()))
-    before, first = 0, F.lit(0)
-    for part, many in sorted(ordered.groupBy(F.shiftright("at", 33).alias("part")).count().collect()):
-        first = F.when(F.shiftright("at", 33) == part, before).otherwise(first)
-        before += many
-    place = first + F.col("at").bitwiseAND((1 << 33) - 1)
+    part = F.shiftright("at", 33)
+    sizes = ordered.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    # One row per partition of the sort, a window over these.
+    along = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("first"))
+    ordered = ordered.withColumn("part", part).join(starts, "part")
+    place = F.col("first") + F.col("at").bitwiseAND((1 << 33) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
-    limited = checkpointed(ordered.withColumn("weight", weight).withColumn("limit", F.col("source_size") * F.lit(float(most))))
+    limited = checkpointed(ordered.withColumn("weight", weight).drop("part", "first").withColumn("limit", F.col("source_size") * F.lit(float(most))))
     rate = -1.0
     while True:
         open_ = F.col("limit") > rate * F.col("weight")

@@ -220,3 +220,15 @@ def test_remembered_runs_are_let_go(monkeypatch):
         text = f"word{i} other, again. {'long' * 20}"
         assert np.frombuffer(tokens.of([text])[0], dtype="<u4").tolist() == packing.tokenizer_of(path).encode(text, add_special_tokens=False).ids
         assert len(tokens) <= 5 + 8 and "long" * 20 not in tokens
+
+
+def test_targets_of_sources_in_many_partitions(spark, monkeypatch):
+    """Places of sources follow from one row per partition of their sort."""
+    from modelloom.llm import mixing
+
+    monkeypatch.setattr(mixing, "ROWS_EACH", 4)
+    sizes = {**{f"s{i:02d}": 10 + i * i for i in range(40)}, None: 77}
+    sources = spark.createDataFrame(list(sizes.items()), "name string, source_size long")
+    found = {r.name: r.target for r in mixing.source_targets(sources, (5, 2, 1), 3).collect()}
+    wanted = plain_targets(sizes)
+    assert found.keys() == sizes.keys() and all(abs(found[n] - wanted[n]) < 1e-6 for n in sizes)

@@ -180,3 +180,55 @@ def test_a_long_conversation_spreads(spark, monkeypatch):
     assert rolled.where("conv_id = 2").select("part").distinct().count() > 3
     alone = chat.format_chats(df.where("conv_id IS NULL OR conv_id = 1")).collect()
     assert [(r.conv_id, r.n_turns, r.rendered) for r in alone] == [(None, 300, "".join(lines))]
+
+
+def test_chats_without_an_id_equal_sql(spark, tmp_path):
+    rows = [
+        (None, 0, "user", "no id"), (None, 1, "assistant", "still none"), (1, 0, "user", "no id"), (2, None, None, None),
+        (3, 0, "user", "a"), (3, 1, "user", None), (4, 0, "user", "a"), (4, 1, "user", ""),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    found = sorted(map(tuple, chat.format_chats(df).collect()), key=str)
+    assert found == sorted(con.execute(chat.SQL).fetchall(), key=str)
+    assert [r[0] for r in found] == [2, 3, None]
+
+
+def test_each_pair_is_verified_once(spark, monkeypatch):
+    """Copies with changed words share several rare shingles, and so several regions of several blocks."""
+    from collections import Counter
+
+    from modelloom.llm import jaccard
+    from modelloom.llm.common import key_groups
+
+    rnd = random.Random(4)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for _ in range(rnd.randrange(4)):
+            words[rnd.randrange(60)] = f"x{rnd.randrange(30)}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    moved, orders, seen = [], [], Counter()
+    blocks, order = jaccard.in_blocks, jaccard.shingle_order
+    monkeypatch.setattr(jaccard, "in_blocks", lambda *a: moved.append(blocks(*a)) or moved[-1])
+    monkeypatch.setattr(jaccard, "shingle_order", lambda *a: orders.append(order(*a)) or orders[-1])
+    monkeypatch.setattr(jaccard, "BLOCK_NODES", 20)
+    like = Likeness(words=3, percent=60)
+    found = as_rows(similar_documents(docs, like=like))
+    assert found == sorted(plain_components(list(enumerate(texts)), 3, 60), key=str)
+    check = jaccard.verified
+
+    def counted(a, b, common, need):
+        seen.update((min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist(), strict=True))
+        return check(a, b, common, need)
+
+    monkeypatch.setattr(jaccard, "verified", counted)
+    tasks = moved[-1].toArrow().sort_by([(k, "ascending") for k in jaccard.KEYS])
+    groups = list(key_groups(tasks.to_batches(), jaccard.KEYS))
+    for group in groups:
+        jaccard.links_within(group, orders[0], like)
+    assert len(groups) > 3 and len(seen) > 100 and set(seen.values()) == {1}
