@@ -1,8 +1,10 @@
 """Feed-forward network trained data-parallel.
 
-Each epoch is one Spark job: every partition starts from the shared weights, runs
-mini-batch steps over its own rows batch by batch, and returns its weights times
-its rows; the executors add these up. The driver sees one weight vector per epoch.
+Each epoch is one Spark job: every partition starts from the shared state, runs
+mini-batch steps over its own rows batch by batch, and returns its state times
+its rows; the executors add these up. The state is the weights, both moments of the optimiser and the number of
+its steps, so an epoch goes on where the last one stopped, whatever the number of partitions. The
+driver sees one state per epoch.
 """
 
 from __future__ import annotations
@@ -21,10 +23,35 @@ from pyspark.sql import functions as F
 
 from modelloom.functions.vectors import sum_vectors
 from modelloom.learners import names
-from modelloom.learners.base import Learner, TrainingData, param
+from modelloom.learners.base import KEY, Learner, TrainingData, param
 from modelloom.operators.encode import LABEL
 
 
+#: Steps that a partition makes in an epoch at least, where the rows suffice.
+STEPS_EACH = 100
+
+
+@dataclass(frozen=True)
+class State:
+    """Weights, Adam's moments and its number of steps; averages of states are states."""
+
+    weights: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    steps: float = 0.0
+
+    @classmethod
+    def of(cls, weights: np.ndarray) -> "State":
+        return cls(weights, np.zeros_like(weights), np.zeros_like(weights))
+
+    @classmethod
+    def unpack(cls, flat: np.ndarray) -> "State":
+        return cls(*np.split(flat[:-1], 3), float(flat[-1]))
+
+    def pack(self) -> np.ndarray:
+        return np.concatenate([self.weights, self.first, self.second, [self.steps]])
+
+
 class Network:
     """Layer sizes, and forward and backward passes over a batch."""
 
@@ -121,6 +148,12 @@ def output_slope(out: np.ndarray, y: np.ndarray, loss: str, quantile: float) ->
     return np.maximum(-quantile * e, (1 - quantile) * e).mean(), np.where(e < 0, -quantile, 1 - quantile) / n
 
 
+def _batch_matrices(batch, centre, scale, y_centre, y_scale):
+    x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+    y = (batch.column("y").to_numpy() - y_centre) / y_scale
+    return ((x - centre) / scale).astype(np.float32), y.astype(np.float32)
+
+
 @dataclass(frozen=True)
 class NeuralNetwork(Learner):
     label = names.NEURAL_NETWORK
@@ -147,22 +180,32 @@ class NeuralNetwork(Learner):
         if classify and self.loss != "Automatic":
             raise ValueError(f"classification is trained on cross entropy; loss {self.loss!r} serves regression only")
         loss = "CrossEntropy" if classify else ("Quadratic" if self.loss == "Automatic" else self.loss)
-        row = df.agg(
+        row = df.withColumn("__part", F.spark_partition_id()).agg(
             Summarizer.metrics("mean", "std").summary(F.col(data.encoder.linear)).alias("x"),
             F.avg(LABEL).alias("y"),
             F.stddev_samp(LABEL).alias("s"),
+            F.count(LABEL).alias("n"),
+            (F.max("__part") + 1).alias("parts"),
         ).first()
         centre, scale = row["x"]["mean"].toArray(), row["x"]["std"].toArray()
         scale = np.where(scale > 0, scale, 1.0)
         y_centre, y_scale = (0.0, 1.0) if classify else (row["y"], row["s"] or 1.0)
         outputs = len(data.classes) if classify else 1
         net = Network([len(centre), *self.hidden, outputs], self.activation)
-        weights = net.initial(self.seed)
-        rows = df.select(vector_to_array(data.encoder.linear).alias("x"), F.col(LABEL).alias("y"))
+        state = State.of(net.initial(self.seed))
+        rows = df.select(vector_to_array(data.encoder.linear).alias("x"), F.col(LABEL).alias("y"), KEY)
+        # Averages of many short walks lag behind one long one, so small partitions are put together.
+        wanted = max(1, row["n"] // (self.batch * STEPS_EACH))
+        few = wanted < (row["parts"] or 1)
+        if few:
+            rows = rows.repartition(wanted, KEY).sortWithinPartitions(KEY, "y").persist()
         history = []
         for epoch in range(self.epochs):
-            weights, value = self._epoch(rows, net, weights, epoch, loss, centre, scale, y_centre, y_scale)
+            state, value = self._epoch(rows.select("x", "y"), net, state, epoch, loss, centre, scale, y_centre, y_scale)
             history.append(value)
+        if few:
+            rows.unpersist()
+        weights = state.weights
         if not np.isfinite(weights).all():
             raise RuntimeError("training diverged; lower the rate")
 
@@ -180,48 +223,45 @@ class NeuralNetwork(Learner):
 
         return score, self._importance(data, net, weights), {"weights": weights, "history": history}
 
-    def _epoch(self, rows, net, weights, epoch, loss, centre, scale, y_centre, y_scale):
-        shared = rows.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
-        rate, size, quantile, seed = self.rate, self.batch, self.quantile, self.seed
+    def _epoch(self, rows, net, state, epoch, loss, centre, scale, y_centre, y_scale):
+        shared = rows.sparkSession.sparkContext.broadcast(state)
+        learner = self
 
         def local(batches):
             part = TaskContext.get().partitionId()
-            rng = np.random.default_rng([seed, epoch, part])
-            flat = shared.value.copy()
-            w = net.unpack(flat)
-            m, v = np.zeros_like(flat), np.zeros_like(flat)
-            step, seen, lost = 0, 0, 0.0
-            for batch in batches:
-                n = batch.num_rows
-                if n == 0:
-                    continue
-                x = batch.column("x").flatten().to_numpy().reshape(n, -1)
-                x = ((x - centre) / scale).astype(np.float32)
-                y = ((batch.column("y").to_numpy() - y_centre) / y_scale).astype(np.float32)
-                order = rng.permutation(n)
-                for at in range(0, n, size):
-                    pick = order[at : at + size]
-                    out, trace = net.forward(w, x[pick], rng)
-                    value, delta = output_slope(out, y[pick], loss, quantile)
-                    g = np.concatenate([a.ravel() for a in net.backward(w, trace, delta)])
-                    # Adam steps with moments kept for this epoch and partition.
-                    step += 1
-                    m += 0.1 * (g - m)
-                    v += 0.001 * (g * g - v)
-                    flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-                    lost += float(value) * len(pick)
-                seen += n
+            rng = np.random.default_rng([learner.seed, epoch, part])
+            matrices = (_batch_matrices(b, centre, scale, y_centre, y_scale) for b in batches if b.num_rows)
+            own, seen, lost = learner.steps(net, shared.value, matrices, rng, loss)
             if seen:
-                own = np.append(flat.astype(float) * seen, [seen, lost])
+                sums = np.append(own.pack() * seen, [seen, lost])
                 yield pa.RecordBatch.from_pydict(
-                    {"part": pa.array([part], pa.int32()), "own": pa.array([own], pa.list_(pa.float64()))}
+                    {"part": pa.array([part], pa.int32()), "own": pa.array([sums], pa.list_(pa.float64()))}
                 )
 
         merged = sum_vectors(rows.mapInArrow(local, "part int, own array<double>"), "part", "own")
         shared.unpersist()
         if merged is None:
             raise ValueError("there is no complete training row")
-        return merged[:-2] / merged[-2], merged[-1] / merged[-2]
+        return State.unpack(merged[:-2] / merged[-2]), merged[-1] / merged[-2]
+
+    def steps(self, net: Network, state: State, batches, rng, loss: str) -> tuple[State, int, float]:
+        """Adam over mini-batches of the given (x, y) matrices, from ``state`` on: the new state, the rows and their summed loss."""
+        flat, m, v = (a.astype(np.float32) for a in (state.weights, state.first, state.second))
+        w, step, seen, lost = net.unpack(flat), state.steps, 0, 0.0
+        for x, y in batches:
+            order = rng.permutation(len(x))
+            for at in range(0, len(x), self.batch):
+                pick = order[at : at + self.batch]
+                out, trace = net.forward(w, x[pick], rng)
+                value, delta = output_slope(out, y[pick], loss, self.quantile)
+                g = np.concatenate([a.ravel() for a in net.backward(w, trace, delta)])
+                step += 1
+                m += 0.1 * (g - m)
+                v += 0.001 * (g * g - v)
+                flat -= self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                lost += float(value) * len(pick)
+            seen += len(x)
+        return State(flat.astype(float), m.astype(float), v.astype(float), step), seen, lost
 
     def _importance(self, data: TrainingData, net: Network, weights: np.ndarray):
         """Share of each input in the absolute weights of the first two layers."""

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
 import warnings
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark import StorageLevel, inheritable_thread_target
+from pyspark import SparkContext, StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from modelloom.learners import names
@@ -196,79 +194,28 @@ class GradientBoosting(Learner):
                 before.unpersist()
         if held is not None:
             held.unpersist()
-        flat = [[FlatTree.read(tree.toDebugString) for tree in trees] for trees in rounds]
+        ensembles = [weighted_trees([trees[k] for trees in rounds], rate) for k in range(count)]
 
         def score(df, name):
-            shared = df.sparkSession.sparkContext.broadcast(flat)
-
-            @F.pandas_udf("double")
-            def best(column: pd.Series) -> pd.Series:
-                x = np.stack(column.to_numpy())
-                f = np.tile(np.array(prior), (len(x), 1))
-                for trees in shared.value:
-                    for k, tree in enumerate(trees):
-                        f[:, k] += rate * tree.values(x)
-                # Equal scores go to the first class.
-                return pd.Series(f.argmax(axis=1).astype(float))
-
-            return df.withColumn(name, best(vector_to_array(TREE)))
+            out = df
+            for k, ensemble in enumerate(ensembles):
+                out = ensemble.setPredictionCol(f"__t{k}").transform(out)
+            total = F.array(*[F.lit(v) + F.col(f"__t{k}") for k, v in enumerate(prior)])
+            # Equal scores go to the first class.
+            out = out.withColumn(name, (F.array_position(total, F.array_max(total)) - 1).cast("double"))
+            return out.drop(*[f"__t{k}" for k in range(count)])
 
         shares = np.mean([tree.featureImportances.toArray() for trees in rounds for tree in trees], axis=0)
         return score, _importance(data, shares / (shares.sum() or 1.0)), rounds
 
 
-@dataclass(frozen=True)
-class FlatTree:
-    """A fitted tree as arrays over its nodes, read from MLlib's printed form.
-
-    ``feature`` is -1 at leaves; ``below`` is the threshold of a number, ``members`` the
-    level numbers that go left at a category.
-    """
-
-    feature: np.ndarray
-    below: np.ndarray
-    members: tuple
-    left: np.ndarray
-    right: np.ndarray
-    value: np.ndarray
-
-    @classmethod
-    def read(cls, text: str) -> FlatTree:
-        lines = iter([line.strip() for line in text.splitlines()[1:] if line.strip()])
-        nodes: list[list] = []
-
-        def node() -> int:
-            line, at = next(lines), len(nodes)
-            nodes.append([-1, 0.0, None, -1, -1, 0.0])
-            if line.startswith("Predict: "):
-                nodes[at][5] = float(line.removeprefix("Predict: "))
-                return at
-            feature, sign, rest = re.fullmatch(r"If \(feature (\d+) (<=|in|not in) (.*)\)", line).groups()
-            nodes[at][0] = int(feature)
-            if sign == "<=":
-                nodes[at][1] = float(rest)
-            else:
-                levels = frozenset(float(v) for v in rest.strip("{}").split(",") if v)
-                nodes[at][2] = (sign == "in", levels)
-            first = node()
-            next(lines)  # the line that begins with Else
-            second = node()
-            nodes[at][3], nodes[at][4] = first, second
-            return at
-
-        node()
-        feature, below, members, left, right, value = zip(*nodes)
-        return cls(np.array(feature), np.array(below), members, np.array(left), np.array(right), np.array(value))
-
-    def values(self, x: np.ndarray) -> np.ndarray:
-        at, rows = np.zeros(len(x), dtype=int), np.arange(len(x))
-        while len(rows := rows[self.feature[at[rows]] >= 0]):
-            here = at[rows]
-            v = x[rows, self.feature[here]]
-            goes = v <= self.below[here]
-            for n in {n for n in np.unique(here).tolist() if self.members[n] is not None}:
-                inside, levels = self.members[n]
-                mine = here == n
-                goes[mine] = np.isin(v[mine], list(levels)) == inside
-            at[rows] = np.where(goes, self.left[here], self.right[here])
-        return self.value[at]
+def weighted_trees(trees: Sequence[DecisionTreeRegressionModel], rate: float) -> GBTRegressionModel:
+    """MLlib's own model of the trees' sum, each times ``rate``."""
+    gateway = SparkContext._active_spark_context._gateway
+    kind = gateway.jvm.org.apache.spark.ml.regression
+    members = gateway.new_array(kind.DecisionTreeRegressionModel, len(trees))
+    weights = gateway.new_array(gateway.jvm.double, len(trees))
+    for i, tree in enumerate(trees):
+        members[i], weights[i] = tree._java_obj, rate
+    model = GBTRegressionModel(kind.GBTRegressionModel(trees[0].uid, members, weights))
+    return model.setFeaturesCol(TREE)

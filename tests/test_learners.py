@@ -9,8 +9,7 @@ from modelloom.learners.base import encode_training, predict_all, train_model
 from modelloom.learners.linear import standardised_coefficients
 from modelloom.learners.names import ACTIVATIONS, LOSSES
 from modelloom.learners.neural import Network, output_slope
-from modelloom.learners.trees import FlatTree
-from modelloom.operators.encode import fit_encoder
+from modelloom.operators.encode import LABEL, fit_encoder
 from modelloom.operators.metrics import classification_metrics, regression_metrics
 
 
@@ -190,12 +189,24 @@ def test_class_and_level_limits_can_be_set(part):
         train_model(part, "p_type", "classification", ["p_size"], L.NaiveBayes(), max_classes=2)
 
 
-def test_flat_trees_score_like_mllib(planted):
-    data = encode_training(planted, "y", "regression", ["a", "b", "kind"])
-    model = L.DecisionTree(max_depth=6).fit(data).model
-    rows = model.transform(data.df).select("__tree", "prediction").collect()
-    flat = FlatTree.read(model.toDebugString)
-    assert np.allclose(flat.values(np.array([r["__tree"].toArray() for r in rows])), [r["prediction"] for r in rows])
+def test_joint_boosting_adds_up_its_trees(planted, monkeypatch):
+    """Scores past the checkpoint equal the trees' own predictions, summed one by one."""
+    from modelloom.learners import trees
+
+    monkeypatch.setattr(trees, "CHECKPOINT_EVERY", 3)
+    data = encode_training(planted, "side", "classification", ["a", "b", "kind"], ["id"])
+    learner = L.GradientBoosting(trees=7, max_depth=3, learn_rate=0.3)
+    fitted = learner.fit(data)
+    encoded = data.df.withColumn("row", F.monotonically_increasing_id()).persist()
+    sizes = {r[LABEL]: r["count"] for r in encoded.groupBy(LABEL).count().collect()}
+    total = np.log([[sizes[float(k)] / sum(sizes.values()) for k in range(3)]] * sum(sizes.values()))
+    for each in fitted.model:
+        for k, tree in enumerate(each):
+            values = [r.t for r in tree.setPredictionCol("t").transform(encoded).orderBy("row").collect()]
+            total[:, k] += 0.3 * 2 / 3 * np.array(values)
+    found = [r.best for r in fitted.score(encoded, "best").orderBy("row").collect()]
+    assert len(fitted.model) == 7 and found == total.argmax(axis=1).tolist()
+    assert len(set(found)) > 1
 
 
 def test_losses_in_classification_are_refused(planted):
@@ -273,3 +284,43 @@ def test_network_variants_learn(planted):
     for params in ({"activation": "MaxoutWithDropout"}, {"loss": "Huber", "activation": "Tanh"}, {"loss": "Quantile", "quantile": 0.9}):
         history = L.NeuralNetwork(hidden=(8,), epochs=3, rate=0.02, **params).fit(data).model["history"]
         assert history[-1] < history[0]
+
+
+@pytest.mark.parametrize("family", ["poisson", "gamma", "tweedie"])
+@pytest.mark.parametrize("link", ["log", "identity"])
+def test_penalised_fits_agree_with_repeated_least_squares(planted, family, link):
+    """One pass a reweighting gives what refitting MLlib's least squares each time gives."""
+    rows = planted.withColumn("z", F.exp(F.lit(1.0) + 0.3 * F.col("a") - 0.2 * F.col("b")) + 0.5)
+    data = encode_training(rows, "z", "regression", ["a", "b", "kind"], ["id"])
+    learner = L.GeneralizedLinear(family=family, link=link, lambda_=0.05, alpha=0.4, tolerance=1e-9)
+    fitted = learner.fit(data)
+    score, _, _ = learner._fit_penalised_wide(data)
+    encoded = data.df.withColumn("__ok", F.lit(True))
+    pairs = score(fitted.score(encoded, "one"), "two").select("one", "two").collect()
+    assert [r.one for r in pairs] == pytest.approx([r.two for r in pairs], rel=1e-5)
+    # One pass for means and spreads, one for each of a few reweightings.
+    assert learner.with_params(max_iterations=3).fit(data).model.passes == 4
+    assert 4 <= fitted.model.passes < 40
+
+
+def test_penalised_fit_meets_its_optimum(planted):
+    """The penalised deviance can't be lowered by moving any coefficient."""
+    rows = planted.withColumn("z", F.floor(F.exp(F.lit(1.0) + 0.3 * F.col("a"))).cast("double"))
+    data = encode_training(rows, "z", "regression", ["a", "b"], ["id"])
+    learner = L.GeneralizedLinear(family="poisson", link="log", lambda_=0.1, alpha=0.5, tolerance=1e-10)
+    model = learner.fit(data).model
+    kept = data.df.select("__tree", LABEL).collect()
+    x, y = np.array([r["__tree"].toArray() for r in kept]), np.array([r[LABEL] for r in kept])
+    x = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+
+    def loss(w):
+        mu = np.exp(x @ w[:-1] + w[-1])
+        ratio = np.where(y > 0, y * np.log(np.maximum(y, 1e-300) / mu), 0.0)
+        return (ratio - (y - mu)).mean() + 0.1 * (0.5 * np.abs(w[:-1]).sum() + 0.25 * (w[:-1] ** 2).sum())
+
+    best = model.standardised
+    for i in range(len(best)):
+        for step in (-1e-4, 1e-4):
+            moved = best.copy()
+            moved[i] += step
+            assert loss(moved) >= loss(best) - 1e-12
