@@ -11,11 +11,12 @@ from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from modelloom.functions import col
+from modelloom.functions import col, content_hash
 from modelloom.operators.encode import LABEL, LINEAR, MAX_CLASSES, MAX_LEVELS, OK, TREE, Encoder, fit_encoder
 
 RAW, KEY = "__raw", "__key"
 ROWS_PER_PARTITION = 100_000
+KEY_BITS = 60  # of a row's key hash, a number from 0 on
 
 
 def param(default, low=None, high=None, choices=None):
@@ -70,7 +71,7 @@ def encode_training(
     )
     train = _lay_out(train, key_cols, partitions)
     # Folds of a search follow the key, or else the row's content.
-    train = train.withColumn(KEY, F.xxhash64(*[col(c).cast("string") for c in key_cols or [*features, y]]))
+    train = train.withColumn(KEY, F.conv(F.substring(content_hash(0, key_cols or [*features, y]), 1, KEY_BITS // 4), 16, 10).cast("long"))
     if task == "regression":
         train = train.withColumn(LABEL, col(y).cast("double"))
     else:

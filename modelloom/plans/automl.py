@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import threading
 import time
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from modelloom import learners as L
 from modelloom.learners import names
-from modelloom.learners.base import KEY, RAW, Learner, TrainingData, mllib_score, param
+from modelloom.learners.base import KEY, KEY_BITS, RAW, Learner, TrainingData, mllib_score, param
 from modelloom.learners.linear import standardised_coefficients
 from modelloom.operators.encode import LABEL, TREE
 
@@ -96,6 +97,8 @@ class Candidate:
     seconds: float = 0.0
     status: str = "not started"
     fitted: object = None
+    rung: int = 0
+    rows: int = 0
 
 
 @dataclass(frozen=True)
@@ -110,6 +113,11 @@ class AutoML(Learner):
     refit, the leader's last fold model is used. Without one finished fold there is
     no leader and TimeoutError is raised. Results repeat exactly only with
     ``max_models`` and no time limit.
+
+    With ``rungs`` above 1 the search halves successively: brackets of candidates start on a small
+    sample of the rows, the best ``keep`` of them go on to one that is 1 / ``keep`` times as large, and so on up
+    to all rows. Samples are the rows of least key hash, so each holds the ones before it. Of all
+    candidates the best of those that came furthest leads.
     """
 
     label = names.AUTO_ML
@@ -119,6 +127,8 @@ class AutoML(Learner):
     max_seconds: float | None = 15.0
     max_models: int | None = None
     folds: int = param(3, 2, 20)
+    rungs: int = param(1, 1, 8)
+    keep: float = param(1 / 3, 0.05, 0.9)
     seed: int = 123
     defaults: tuple[tuple[str, Learner], ...] = ()
 
@@ -140,7 +150,7 @@ class AutoML(Learner):
             if any(c.status in ("timed out", "not started") for c in tried):
                 raise TimeoutError(f"no candidate finished a fold within {self.max_seconds} seconds")
             raise RuntimeError(f"no candidate could be trained: {[(c.family, c.status) for c in tried]}")
-        best = min(done, key=lambda c: (c.status != "ok", c.metric))
+        best = min(done, key=lambda c: (c.status != "ok", -c.rung, c.metric))
         leader, refitted = best.fitted, False
         with time_box(sc, None if self.max_seconds is None else started + self.max_seconds) as over:
             try:
@@ -173,6 +183,8 @@ class AutoML(Learner):
         fold = F.pmod(F.xxhash64(F.lit(self.seed), KEY), F.lit(self.folds)).cast("int")
         folded = data.df.withColumn(FOLD, fold).persist()
         tried, seen, models, repeats = [], set(), 0, 0
+        bracket: list[Candidate] = []
+        size = 1 if self.rungs == 1 else max(2, round(self.keep ** (1 - self.rungs)))
         try:
             for candidate in self._candidates(data.task):
                 if candidate.status == "unavailable":
@@ -180,7 +192,7 @@ class AutoML(Learner):
                     continue
                 late = deadline is not None and time.monotonic() >= deadline
                 if late or (self.max_models is not None and models >= self.max_models):
-                    missing = {f for f in self.families if f not in {c.family for c in tried}}
+                    missing = {f for f in self.families if f not in {c.family for c in [*tried, *bracket]}}
                     if candidate.family not in missing:
                         break
                     tried.append(candidate)
@@ -191,12 +203,36 @@ class AutoML(Learner):
                         break
                     continue
                 seen.add(candidate.learner)
-                tried.append(self._judge(candidate, folded, data, sc, deadline))
+                bracket.append(candidate)
                 models += 1
+                if len(bracket) == size:
+                    tried += self._halve(bracket, folded, data, sc, deadline)
+                    bracket = []
+            tried += self._halve(bracket, folded, data, sc, deadline)
         finally:
             folded.unpersist()
         return tried
 
+    def _halve(self, bracket: list[Candidate], folded, data: TrainingData, sc, deadline) -> list[Candidate]:
+        """The candidates of a bracket, each as judged on the largest sample that it came to."""
+        latest, alive = list(bracket), list(range(len(bracket)))
+        for rung in range(1, self.rungs + 1):
+            share = self.keep ** (self.rungs - rung)
+            sample = folded if rung == self.rungs else folded.filter(F.col(KEY) < F.lit(int(share * 2**KEY_BITS)))
+            for i in list(alive):
+                if rung > 1 and deadline is not None and time.monotonic() >= deadline:
+                    return latest
+                judged = replace(self._judge(latest[i], sample, data, sc, deadline), rung=rung)
+                # What ran out of time or failed on more rows keeps what it reached on fewer.
+                if judged.metric is not None and (judged.status == "ok" or rung == 1):
+                    latest[i] = replace(judged, seconds=judged.seconds + latest[i].seconds)
+                else:
+                    latest[i] = judged if rung == 1 else replace(latest[i], status=judged.status)
+                    alive.remove(i)
+            alive = sorted((i for i in alive if latest[i].status == "ok"), key=lambda i: latest[i].metric)
+            alive = alive[: max(1, math.ceil(len(alive) * self.keep))]
+        return latest
+
     def _judge(self, candidate: Candidate, folded, data: TrainingData, sc, deadline) -> Candidate:
         started = time.perf_counter()
         total, rows, fitted, status = 0.0, 0, None, "ok"
@@ -221,7 +257,7 @@ class AutoML(Learner):
             metric = float(np.sqrt(total / rows)) if data.task == "regression" else 100.0 * total / rows
             if not np.isfinite(metric):
                 metric, status = None, "failed: the metric is not a number"
-        return Candidate(candidate.family, candidate.learner, metric, time.perf_counter() - started, status, fitted)
+        return Candidate(candidate.family, candidate.learner, metric, time.perf_counter() - started, status, fitted, rows=rows)
 
 
 @contextmanager
@@ -246,9 +282,12 @@ def time_box(sc, deadline):
 
 
 def search_leaderboard(spark, model: dict):
-    """(rank, family, params, metric, seconds, status) of a finished search, best first."""
+    """(rank, family, params, metric, seconds, status, rung, n_rows) of a finished search, best first.
+
+    ``n_rows`` are those of the largest sample that the candidate was judged on, ``rung`` says which it was.
+    """
     tried = model["candidates"]
-    order = sorted(tried, key=lambda c: (c.metric is None, c.metric or 0.0, c.family))
+    order = sorted(tried, key=lambda c: (c.metric is None, -c.rung, c.metric or 0.0, c.family))
     rows = [
         (
             i + 1 if c.metric is not None else None,
@@ -257,10 +296,12 @@ def search_leaderboard(spark, model: dict):
             c.metric,
             round(c.seconds, 3),
             c.status,
+            c.rung,
+            c.rows,
         )
         for i, c in enumerate(order)
     ]
-    return spark.createDataFrame(rows, "rank int, family string, params string, metric double, seconds double, status string")
+    return spark.createDataFrame(rows, "rank int, family string, params string, metric double, seconds double, status string, rung int, n_rows long")
 
 
 def leader_summary(spark, model: dict):

@@ -93,25 +93,31 @@ class Comparison:
 
         Test rows are numbered in the order of a hash of their key, and each takes the
         feature's value from the row before, in turn for each feature. One join serves all
-        features; the error is that of the leaderboard, and growth below zero counts as none.
+        features: every row comes once as it is and once for each feature, all are scored in one stage, and the errors
+        add up by feature in the tasks. The error is that of the leaderboard, and growth below zero counts as none.
         """
         features = list(self.models[0].encoder.features)
         rows = self.test.withColumn("__hash", content_hash(seed, key_cols))
         numbered = with_counter(rows, ["__hash"], "__row")
-        n = numbered.count()
+        n = numbered.agg(F.max("__row")).first()[0] or 0
         donors = numbered.select((F.col("__row") % n + 1).alias("__row"), *[col(f).alias(f"__d{i}") for i, f in enumerate(features)])
-        paired = numbered.join(donors, "__row").persist(StorageLevel.MEMORY_AND_DISK)
-        of = regression_metrics if self.task == "regression" else classification_metrics
-        metric = METRIC_COLUMN[self.task] if self.task == "classification" else "rmse"
-
-        def errors(df: DataFrame) -> dict[str, float]:
-            return {r["Model"]: r[metric] or 0.0 for r in of(predict_all(df, self.models), self.y, self.labels).collect()}
-
-        try:
-            base = errors(paired)
-            grown = {f: errors(paired.withColumn(f, F.col(f"__d{i}"))) for i, f in enumerate(features)}
-        finally:
-            paired.unpersist()
+        which = F.explode(F.array(*[F.lit(i) for i in range(-1, len(features))])).alias("__which")
+        varied = numbered.join(donors, "__row").select("*", which)
+        varied = varied.withColumns({f: F.when(F.col("__which") == i, F.col(f"__d{i}")).otherwise(col(f)) for i, f in enumerate(features)})
+        scored = predict_all(varied.drop(*[f"__d{i}" for i in range(len(features))], "__hash", "__row"), self.models)
+        y = col(self.y)
+
+        def error(label: str):
+            p = col(label)
+            if self.task == "regression":
+                return F.when(F.count(p - y) == F.count(F.lit(1)), F.sqrt(F.avg(F.pow(p - y, 2))))
+            wrong = F.when(p != y.cast("string"), 1.0).otherwise(0.0)
+            return F.lit(100.0) * F.sum(wrong) / F.count(F.lit(1))
+
+        sums = scored.groupBy("__which").agg(*[error(label).alias(f"__e{i}") for i, label in enumerate(self.labels)]).collect()
+        errors = {r["__which"]: {label: r[f"__e{i}"] or 0.0 for i, label in enumerate(self.labels)} for r in sums}
+        none = dict.fromkeys(self.labels, 0.0)
+        base, grown = errors.get(-1, none), {f: errors.get(i, none) for i, f in enumerate(features)}
         found = []
         for label in self.labels:
             values = [max(0.0, grown[f][label] - base[label]) for f in features]

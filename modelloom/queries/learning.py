@@ -381,11 +381,25 @@ def mlp_classify(t):
     return _check_vectors(t, L.NeuralNetwork())
 
 
-@query(f"WITH {WORDS}, {WORDS_SPLIT} " + regression_check_sql("test", "n_chars"))
+@query(
+    f"""WITH {WORDS}, {WORDS_SPLIT}, line AS (SELECT regr_slope(n_chars, words) AS b, regr_intercept(n_chars, words) AS a FROM train)
+    SELECT count(*) AS n_rows, count(*) AS n_predicted, round(sqrt(avg(pow(a + b * words - n_chars, 2))), 2) AS line_error, true AS near FROM test, line"""
+)
 def mlp_predict(t):
+    """The number of characters is nearly a line in that of words; the network comes near the line's error."""
     train, test = split_random(_words(t), 0.7, key_cols=["doc_id"])
+    train = train.persist()
     model = train_model(train, "n_chars", "regression", ["words"], L.NeuralNetwork(hidden=(20, 20)), ["doc_id"])
-    return _regression_check(predict_all(test, [model]), "n_chars", "Neural network")
+    line = train.agg(F.regr_slope("n_chars", "words").alias("b"), F.regr_intercept("n_chars", "words").alias("a"))
+    pred = predict_all(test, [model]).crossJoin(F.broadcast(line))
+    error = F.sqrt(F.avg(F.pow(F.col("a") + F.col("b") * F.col("words") - F.col("n_chars"), 2)))
+    own = F.sqrt(F.avg(F.pow(F.col("Neural network") - F.col("n_chars"), 2)))
+    return pred.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count("Neural network").alias("n_predicted"),
+        F.round(error, 2).alias("line_error"),
+        (own < error * 3).alias("near"),
+    )
 
 
 @query(
@@ -418,42 +432,79 @@ def naive_bayes_times(t):
     return predict_all(rows, [model]).select("event_id", "event_type", F.col("Naive Bayes").alias("prediction"))
 
 
-PRICE_CHECK = f"WITH {PART_SPLIT} " + regression_check_sql("test", "p_retailprice")
+def price_check(width: int) -> str:
+    """The error of the means of equal ranges of the step, which a model of the price has to beat."""
+    return f"""WITH {PART_SPLIT}, means AS (SELECT p_partkey % 1000 // {width} AS step_range, avg(p_retailprice) AS m FROM train GROUP BY 1)
+    SELECT count(*) AS n_rows, count(*) AS n_predicted, round(avg(pow(p_retailprice - m, 2)), 4) AS range_error, true AS better
+    FROM test JOIN means ON step_range = p_partkey % 1000 // {width}"""
 
 
-def _check_prices(t, learner):
+def _check_prices(t, learner, width: int):
     train, test = split_random(_prices(t), 0.7, key_cols=["p_partkey"])
     model = train_model(train, "p_retailprice", "regression", ["step", "p_size", "p_type"], learner, ["p_partkey"])
-    return _regression_check(predict_all(test, [model]), "p_retailprice", learner.label)
+    step_range = F.floor(F.col("step") / width).alias("step_range")
+    means = train.groupBy(step_range).agg(F.avg("p_retailprice").alias("m"))
+    pred = predict_all(test, [model]).withColumn("step_range", F.floor(F.col("step") / width)).join(means, "step_range")
+    error = F.avg(F.pow(F.col("p_retailprice") - F.col("m"), 2))
+    return pred.agg(
+        F.count(F.lit(1)).alias("n_rows"),
+        F.count(learner.label).alias("n_predicted"),
+        F.round(error, 4).alias("range_error"),
+        (F.avg(F.pow(F.col("p_retailprice") - F.col(learner.label), 2)) < error).alias("better"),
+    )
 
 
-@query(PRICE_CHECK)
+@query(price_check(250))
 def rf_default_predict(t):
-    """The forest's defaults: fifty trees to depth twenty, each on a bootstrap sample of 0.6 of the rows."""
-    return _check_prices(t, L.RandomForest())
+    """The forest's defaults: fifty trees to depth twenty, each on a bootstrap sample of 0.6 of the rows and a third of the columns."""
+    return _check_prices(t, L.RandomForest(), 250)
 
 
-@query(PRICE_CHECK)
+@query(price_check(100))
 def gbt_default_predict(t):
     """The boosting's defaults: fifty trees to depth five."""
-    return _check_prices(t, L.GradientBoosting())
+    return _check_prices(t, L.GradientBoosting(), 100)
 
 
-@query(PRICE_CHECK)
+@query(price_check(100))
 def dt_default_predict(t):
-    return _check_prices(t, L.DecisionTree())
+    return _check_prices(t, L.DecisionTree(), 100)
 
 
 @query(
-    """SELECT 'Generalized linear regression' AS model, feature, positive FROM (VALUES ('step', true), ('p_size', false)) v(feature, positive)
-    WHERE (SELECT count(*) FROM part) > 0"""
+    """WITH r AS (SELECT p_partkey % 1000 AS step, p_size, p_retailprice,
+        row_number() OVER (ORDER BY md5(concat_ws('|', '123', CAST(p_partkey AS VARCHAR)))) AS place, count(*) OVER () AS n FROM part),
+    d AS (SELECT place % n + 1 AS place, step AS other FROM r),
+    line AS (SELECT regr_slope(p_retailprice, step) AS b, regr_intercept(p_retailprice, step) AS a FROM r),
+    e AS (SELECT sqrt(avg(pow(a + b * other - p_retailprice, 2))) - sqrt(avg(pow(a + b * step - p_retailprice, 2))) AS grown FROM r JOIN d USING (place), line)
+    SELECT 'Generalized linear regression' AS model, 'step' AS feature, round(grown, 3) AS importance FROM e
+    UNION ALL SELECT 'Generalized linear regression', 'p_size', 0.0 FROM e"""
 )
 def permutation_importance_linear(t):
-    """Price is a line in step alone, so that only shuffling step adds to the error."""
+    """Price is a line in step alone, so the error grows by what the line makes of other parts' steps."""
     rows = _prices(t)
     result = compare(rows, rows, "p_retailprice", ["step", "p_size"], "regression", [L.GeneralizedLinear()], key_cols=["p_partkey"])
     found = result.permutation_importance(["p_partkey"])
-    return found.select("model", "feature", (F.col("importance") > 1e-6).alias("positive"))
+    return found.select("model", "feature", F.round("importance", 3).alias("importance"))
+
+
+@query(
+    f"""WITH {FLAG}, k AS (SELECT *, md5(concat_ws('|', '123', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR),
+        CAST(l_suppkey AS VARCHAR), CAST(l_linenumber AS VARCHAR))) AS h FROM flagged),
+    r AS (SELECT *, row_number() OVER (ORDER BY h) AS place, count(*) OVER () AS n FROM (SELECT min(segment) AS segment, min(kind) AS kind, h FROM k GROUP BY h)),
+    d AS (SELECT place % n + 1 AS place, segment AS other FROM r),
+    c AS (SELECT segment, kind, count(*) AS c FROM r GROUP BY ALL),
+    best AS (SELECT segment, arg_max(kind, c) AS guess FROM c GROUP BY 1)
+    SELECT 'Decision tree' AS model, 'segment' AS feature,
+      round(100.0 * (sum((g.guess <> r.kind)::INT) - sum((b.guess <> r.kind)::INT)) / count(*), 6) AS importance
+    FROM r JOIN d USING (place) JOIN best b USING (segment) JOIN best g ON g.segment = d.other"""
+)
+def permutation_importance_tree(t):
+    """A tree on one category names its most frequent class; another line's category raises the error."""
+    rows = _flagged(t).groupBy(*IDS).agg(F.min("segment").alias("segment"), F.min("kind").alias("kind"))
+    result = compare(rows, rows, "kind", ["segment"], "classification", [L.DecisionTree(max_depth=8)], key_cols=IDS)
+    found = result.permutation_importance(IDS)
+    return found.select("model", "feature", F.round("importance", 6).alias("importance"))
 
 
 def _prices(t):
@@ -462,16 +513,39 @@ def _prices(t):
     )
 
 
+# How much of the price's squares each halved column explains: what a single split gains.
+GAINS = """halves AS (SELECT p_retailprice AS y, 'step' AS feature, (p_partkey % 1000 >= 500)::INT AS x FROM part
+      UNION ALL SELECT p_retailprice, 'size', (p_size >= 25)::INT FROM part
+      UNION ALL SELECT p_retailprice, 'brand', (p_brand >= 'Brand#3')::INT FROM part),
+    gains AS (SELECT feature, sum(n * pow(m - total, 2)) AS gain FROM (SELECT feature, x, count(*) AS n, avg(y) AS m FROM halves GROUP BY ALL),
+      (SELECT avg(p_retailprice) AS total FROM part) GROUP BY feature)"""
+
+
+def _halves(t):
+    return t.part.select(
+        "p_partkey",
+        "p_retailprice",
+        F.when(F.col("p_partkey") % 1000 >= 500, 1).otherwise(0).alias("step"),
+        F.when(F.col("p_size") >= 25, 1).otherwise(0).alias("size"),
+        F.when(F.col("p_brand") >= "Brand#3", 1).otherwise(0).alias("brand"),
+    )
+
+
+def _importances(t, learner):
+    rows = _halves(t)
+    result = compare(rows, rows, "p_retailprice", ["step", "size", "brand"], "regression", [learner], key_cols=["p_partkey"])
+    return top_features(result.importance)
+
+
 @query(
-    """SELECT 'Random forest' AS model, 3 AS n_features, 1.0::DOUBLE AS total, 'step' AS top, 1.0::DOUBLE AS scaled_top
-    WHERE (SELECT count(*) FROM part) > 0"""
+    f"""WITH {GAINS}
+    SELECT 'Random forest' AS model, count(*) AS n_features, round(sum(gain) / sum(gain), 6) AS total, arg_max(feature, gain) AS top,
+      max(gain) / max(gain) AS scaled_top FROM gains"""
 )
 def importance_rf(t):
-    """Importances are shares of one, and the price follows the step."""
-    rows = _prices(t)
-    result = compare(rows, rows, "p_retailprice", ["step", "p_size", "p_type"], "regression", [L.RandomForest(max_depth=5)], key_cols=["p_partkey"])
-    return top_features(result.importance).groupBy("model").agg(
-        F.count(F.lit(1)).cast("int").alias("n_features"),
+    """Importances of a forest of default size are shares of one; the first goes to the column that explains most."""
+    return _importances(t, L.RandomForest(max_depth=5)).groupBy("model").agg(
+        F.count(F.lit(1)).alias("n_features"),
         F.round(F.sum("importance"), 6).alias("total"),
         F.max_by("feature", "importance").alias("top"),
         F.max("scaled_importance").alias("scaled_top"),
@@ -479,18 +553,13 @@ def importance_rf(t):
 
 
 @query(
-    """
-    SELECT 'Decision tree' AS model, feature, importance, importance AS scaled_importance, rank FROM (
-      SELECT * FROM (VALUES ('upper', 1.0::DOUBLE, 1), ('p_size', 0.0::DOUBLE, 2)) v(feature, importance, rank))
-    WHERE (SELECT count(*) FROM part) > 0"""
+    f"""WITH {GAINS}, g AS (SELECT feature, CASE WHEN gain = (SELECT max(gain) FROM gains) THEN 1.0 ELSE 0.0 END::DOUBLE AS importance FROM gains)
+    SELECT 'Decision tree' AS model, feature, importance, importance AS scaled_importance,
+      CAST(row_number() OVER (ORDER BY importance DESC, feature) AS INTEGER) AS rank FROM g"""
 )
 def importance_single_split(t):
-    """The one split of a stump goes to the half of the price range, not to the size."""
-    middle = t.part.agg(F.avg("p_retailprice")).first()[0]
-    upper = F.when(F.col("p_retailprice") >= F.lit(middle), 1).otherwise(0)
-    rows = t.part.select("p_size", "p_retailprice", upper.alias("upper"))
-    result = compare(rows, rows, "p_retailprice", ["p_size", "upper"], "regression", [L.DecisionTree(max_depth=1)])
-    return top_features(result.importance)
+    """The one split of a stump goes to the column with the largest gain, which has all the importance."""
+    return _importances(t, L.DecisionTree(max_depth=1))
 
 
 SATURATED = [
@@ -606,3 +675,58 @@ def auto_ml_predict(t):
     rows = _prices(t).select("p_partkey", "step", "p_size", "p_retailprice")
     search = AutoML(families=("GLM",), max_seconds=None, max_models=2, folds=2)
     return regression(rows, "p_retailprice", ["step", "p_size"], [search], key_cols=["p_partkey"]).predictions
+
+
+# The class is a range of the size; whichever of the three columns a tree may look at tells it.
+SIZES = f"""WITH {PART_SPLIT} SELECT p_partkey, CASE WHEN p_size < 15 THEN 'small' WHEN p_size < 35 THEN 'middle' ELSE 'large' END AS kind,
+      CASE WHEN p_size < 15 THEN 'small' WHEN p_size < 35 THEN 'middle' ELSE 'large' END AS prediction
+    FROM test WHERE p_size IN (SELECT p_size FROM train)"""
+
+
+def _fit_sizes(t, learner):
+    size = F.col("p_size")
+    kind = F.when(size < 15, "small").when(size < 35, "middle").otherwise("large")
+    rows = t.part.select("p_partkey", size.alias("a"), (size * 2 + 1).alias("b"), (-size).alias("c"), kind.alias("kind"))
+    train, test = split_random(rows, 0.7, key_cols=["p_partkey"])
+    model = train_model(train, "kind", "classification", ["a", "b", "c"], learner, ["p_partkey"])
+    known = predict_all(test, [model]).join(train.select("a").distinct(), "a", "left_semi")
+    return known.select("p_partkey", "kind", F.col(learner.label).alias("prediction"))
+
+
+@query(
+    f"""WITH k AS ({SIZES}), s AS (SELECT kind, p_size >= 25 AS upper, count(*) AS n FROM k JOIN part USING (p_partkey) GROUP BY ALL)
+    SELECT CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(n) - sum(m) AS BIGINT) AS half_errors, true AS better
+    FROM s JOIN (SELECT upper, kind, CASE WHEN n = max(n) OVER (PARTITION BY upper) THEN n ELSE 0 END AS m FROM s) USING (upper, kind)"""
+)
+def rf_default_classify(t):
+    """The forest's defaults: fifty trees to depth twenty, each on a bootstrap sample of 0.6 of the rows.
+
+    It makes less than a tenth of the errors of one split of the size.
+    """
+    found = _fit_sizes(t, L.RandomForest()).join(t.part.select("p_partkey", "p_size"), "p_partkey")
+    wrong = F.count_if(F.col("prediction") != F.col("kind"))
+    sizes = found.groupBy("kind", (F.col("p_size") >= 25).alias("upper")).agg(F.count(F.lit(1)).alias("n"), wrong.alias("wrong"))
+    halves = sizes.groupBy("upper").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.sum("wrong").alias("wrong"))
+    errors = F.sum("n") - F.sum("most")
+    return halves.agg(F.sum("n").alias("n_rows"), errors.alias("half_errors"), (F.sum("wrong") * 10 < errors).alias("better"))
+
+
+@query(SIZES)
+def gbt_default_classify(t):
+    """The boosting's defaults over three classes: fifty rounds of three trees, past the checkpoint of every tenth."""
+    return _fit_sizes(t, L.GradientBoosting())
+
+
+@query(
+    """WITH h AS (SELECT CAST('0x' || substr(md5(concat_ws('|', '0', CAST(p_partkey AS VARCHAR))), 1, 15) AS BIGINT) AS h FROM part),
+    r AS (SELECT 1 AS rung, 2 AS candidates, count(*) FILTER (h < CAST(0.25 * pow(2, 60) AS BIGINT)) AS n_rows FROM h
+      UNION ALL SELECT 2, 1, count(*) FILTER (h < CAST(0.5 * pow(2, 60) AS BIGINT)) FROM h
+      UNION ALL SELECT 3, 1, count(*) FROM h)
+    SELECT rung, CAST(candidates AS BIGINT) AS candidates, n_rows FROM r"""
+)
+def auto_ml_halving(t):
+    """Four linear candidates on a quarter of the rows, the best two on half, the best on all: each by the rung it came to."""
+    search = AutoML(families=("GLM",), max_seconds=None, max_models=4, folds=2, rungs=3, keep=0.5)
+    model = train_model(_prices(t), "p_retailprice", "regression", ["step", "p_size"], search, ["p_partkey"])
+    board = search_leaderboard(t.spark, model.model).where("status = 'ok'")
+    return board.groupBy("rung").agg(F.count(F.lit(1)).alias("candidates"), F.max("n_rows").alias("n_rows"))

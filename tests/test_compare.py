@@ -1,10 +1,15 @@
 import math
+import random
+import time
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
 from modelloom import classification, compare, regression
 from modelloom import learners as L
+from modelloom.functions import content_hash
+from modelloom.learners.base import encode_training
 from modelloom.plans.automl import AutoML, leader_summary, search_leaderboard
 
 QUICK_REGRESSION = [L.GeneralizedLinear(), L.RandomForest(trees=3, max_depth=4), L.DecisionTree(max_depth=4), L.GradientBoosting(trees=2)]
@@ -158,3 +163,75 @@ def test_search_needs_a_limit_and_families():
         AutoML(families=("SVM",))
     with pytest.raises(ValueError):
         AutoML(max_seconds=None)
+
+
+def test_successive_halving(planted_prices):
+    """Rungs hold nested samples; of all candidates half go on, and the leader comes from the last rung."""
+    search = AutoML(families=("GLM",), max_seconds=None, max_models=6, folds=2, rungs=3, keep=0.5)
+    data = encode_training(planted_prices, "y", "regression", ["a", "b"], ["id"])
+    model = search.fit(data).model
+    tried = model["candidates"]
+    assert len(tried) == 6 and {c.status for c in tried} == {"ok"}
+    # A bracket of four and the two that are left: 4 -> 2 -> 1, 2 -> 1 -> 1.
+    assert sorted(c.rung for c in tried) == [1, 1, 1, 2, 3, 3]
+    keys = [r[0] for r in data.df.select("__key").collect()]
+    for c in tried:
+        assert c.rows == sum(k < 2**60 * 0.5 ** (3 - c.rung) for k in keys)
+    best = min((c for c in tried if c.rung == 3), key=lambda c: c.metric)
+    assert model["leader"].learner == best.learner
+    board = search_leaderboard(planted_prices.sparkSession, model).orderBy("rank").collect()
+    assert [r.rung for r in board] == [3, 3, 2, 1, 1, 1] and board[0].n_rows == len(keys)
+
+
+def test_halving_keeps_what_a_failure_on_more_rows_leaves(planted_prices, monkeypatch):
+    judge = AutoML._judge
+
+    def failing(self, candidate, sample, *rest):
+        found = judge(self, candidate, sample, *rest)
+        return replace(found, metric=None, status="failed: Late") if found.rows > 250 else found
+
+    monkeypatch.setattr(AutoML, "_judge", failing)
+    search = AutoML(families=("GLM",), max_seconds=None, max_models=2, folds=2, rungs=2, keep=0.5)
+    model = search.fit(encode_training(planted_prices, "y", "regression", ["a", "b"], ["id"])).model
+    assert {c.rung for c in model["candidates"]} == {1} and all(c.metric is not None for c in model["candidates"])
+
+
+@pytest.fixture(scope="module")
+def planted_prices(spark):
+    rnd = random.Random(2)
+    rows = [(i, rnd.gauss(0, 1), rnd.gauss(0, 1)) for i in range(400)]
+    return spark.createDataFrame([(i, a, b, 2 * a - b + rnd.gauss(0, 0.1)) for i, a, b in rows], "id long, a double, b double, y double")
+
+
+def test_permutation_importance_takes_one_scoring_stage(planted_prices, monkeypatch):
+    """All features and models are scored in one pass, and equal a feature-by-feature computation."""
+    from modelloom.plans import compare as plan
+
+    calls, score = [], plan.predict_all
+    monkeypatch.setattr(plan, "predict_all", lambda *a: calls.append(a) or score(*a))
+    models = [L.GeneralizedLinear(), L.DecisionTree(max_depth=4)]
+    result = compare(planted_prices, planted_prices, "y", ["a", "b"], "regression", models, key_cols=["id"])
+    found = {(r.model, r.feature): r.importance for r in result.permutation_importance(["id"]).collect()}
+    assert len(calls) == 1 and len(found) == 4
+    rows = planted_prices.withColumn("h", content_hash(123, ["id"])).orderBy("h").collect()
+    for feature in ("a", "b"):
+        moved = [{**r.asDict(), feature: rows[i - 1][feature]} for i, r in enumerate(rows)]
+        both = []
+        for table in (moved, [r.asDict() for r in rows]):
+            df = planted_prices.sparkSession.createDataFrame([(t["id"], t["a"], t["b"], t["y"]) for t in table], "id long, a double, b double, y double")
+            out = score(df, result.models)
+            both.append([out.agg(F.sqrt(F.avg(F.pow(F.col(m.label) - F.col("y"), 2)))).first()[0] for m in result.models])
+        for m, grown, base in zip(result.models, *both, strict=True):
+            assert found[m.label, feature] == pytest.approx(max(0.0, grown - base), abs=1e-9)
+
+
+def test_training_times_cover_the_fits(planted_prices):
+    """Times are not negative, and together no longer than the comparison that held the fits."""
+    started = time.perf_counter()
+    result = compare(planted_prices, planted_prices, "y", ["a", "b"], "regression", [L.GeneralizedLinear(), L.DecisionTree(max_depth=3)], key_cols=["id"])
+    passed = time.perf_counter() - started
+    seconds = [m.seconds for m in result.models]
+    assert all(s > 0 for s in seconds) and sum(seconds) <= passed
+    times = {r.Model: r.train_seconds for r in result.timings.collect()}
+    assert times == {m.label: round(m.seconds, 1) for m in result.models}
+    assert {r.Model for r in result.leaderboard.collect()} == set(times)
