@@ -7,6 +7,7 @@ ones, from ``MAX_GRAM`` letters (with word boundaries) down to one.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ from modelloom.llm.common import with_text_columns
 MAX_GRAM = 5
 #: Letters with their marks; digits, fractions and numerals in circles or of Rome's kind are none.
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+ASCII_WORD = re.compile(r"[a-z]+")
 UNDETERMINED = "und"
 #: Counts that are added to every frequency, and bounds of a worker's memory for words seen before.
 SMOOTHING, CACHED, CACHED_CHARS = 0.5, 100_000, 40
@@ -60,6 +62,11 @@ class LanguageModel:
     scores: tuple[Scores | np.ndarray, ...]
 
 
+def words_in(text: str) -> list[str]:
+    """Words in lower case."""
+    return (ASCII_WORD if text.isascii() else WORD).findall(text.lower())
+
+
 def grams(word: str, n: int) -> list[str]:
     if n == 1:
         return list(word)
@@ -126,7 +133,7 @@ def count_grams(batches):
     for batch in batches:
         words: dict[str, Counter] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words.setdefault(lang, Counter()).update(WORD.findall(text.lower()))
+            words.setdefault(lang, Counter()).update(words_in(text))
         for lang, counter in words.items():
             for size in range(MAX_GRAM + 1):
                 found: Counter = Counter()
@@ -188,7 +195,7 @@ class Reader:
         return out
 
     def learn(self, runs: list[str]) -> None:
-        parts = [WORD.findall(r.lower()) for r in runs]
+        parts = [words_in(r) for r in runs]
         place = {w: i for i, w in enumerate(dict.fromkeys(w for p in parts for w in p))}
         counts = np.array([len(p) for p in parts], dtype=np.int64)
         new = np.zeros((len(runs), self.matrix.shape[1]), dtype=np.float32)

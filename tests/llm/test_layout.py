@@ -232,3 +232,37 @@ def test_targets_of_sources_in_many_partitions(spark, monkeypatch):
     found = {r.name: r.target for r in mixing.source_targets(sources, (5, 2, 1), 3).collect()}
     wanted = plain_targets(sizes)
     assert found.keys() == sizes.keys() and all(abs(found[n] - wanted[n]) < 1e-6 for n in sizes)
+
+
+def test_stages_decide_as_plain_versions_do(spark, documents, labels):
+    """Each stage on what the one before kept, against the definitions in the other tests."""
+    from modelloom.llm.common import held_out
+    from modelloom.llm.language import fit_language, predict_language
+    from modelloom.llm.toxicity import fit_toxicity
+    from tests.llm.test_models import plain_score
+    from tests.llm.test_pairs import plain_components
+
+    stages = dict(corpus_pipeline.STAGES)
+    rows = documents.collect()
+    model = fit_toxicity(documents, labels.where(~held_out(F.col("doc_id"))))
+    clean = stages["toxicity"](spark, documents, DATA).persist()
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(r.doc_id for r in rows if plain_score(model, r.text) < 0.5)
+    told = stages["language"](spark, clean, DATA).persist()
+    # Single predictions are held against a plain scorer in test_models.
+    sure = predict_language(clean, fit_language(clean.where(~held_out(F.col("doc_id"))))).collect()
+    assert sorted(r.doc_id for r in told.collect()) == sorted(r.doc_id for r in sure if r.lang_pred != "und" and r.score >= 0.5)
+    left = [(r.doc_id, r.text) for r in told.collect()]
+    kept = stages["near_duplicates"](spark, told, DATA).persist()
+    classes = plain_components(left, 5, 80)
+    empty = {i for i, n, _ in classes if n == 0}
+    assert sorted(r.doc_id for r in kept.collect()) == sorted({i if i in empty else least for i, _, least in classes})
+    mixed = stages["mixing"](spark, kept, DATA).persist()
+    sizes, taken = Counter(), Counter()
+    for found, table in ((sizes, kept), (taken, mixed)):
+        for r in table.collect():
+            found[r.source] += len((r.text or "").encode().split())
+    wanted = plain_targets(dict(sizes))
+    assert all(abs(taken[s] - wanted[s]) <= 1 for s in sizes)
+    check_pack([(r.doc_id, r.text) for r in mixed.collect()], stages["packing"](spark, mixed, DATA))
+    for table in (clean, told, kept, mixed):
+        table.unpersist()
