@@ -351,7 +351,7 @@ def autocorrelation(df: DataFrame, name: str, order_by: Sequence[str], max_lag:
 
 
 #: Columns of a block, entries of all blocks that a task adds up at a time, entries of a slice of rows.
-CORR_BLOCK, CORR_ENTRIES, SLICE_ENTRIES = 256, 4_000_000, 2_000_000
+CORR_BLOCK, CORR_ENTRIES, SLICE_ENTRIES = 256, 1_000_000, 1_000_000
 
 
 def correlation_matrix(df: DataFrame, names: Sequence[str] | None = None, block: int = CORR_BLOCK, entries: int = CORR_ENTRIES) -> DataFrame:
