@@ -196,8 +196,6 @@ def fuzzed_texts(rnd, n):
 def test_ids_of_fuzzed_texts_equal_the_library():
     import random
 
-    import public_tokenizers
-
     from modelloom.llm.packing import TOKENIZER, TokenBytes, tokenizer_of
 
     path = public_tokenizers.path(TOKENIZER)
@@ -209,8 +207,6 @@ def test_ids_of_fuzzed_texts_equal_the_library():
 
 
 def test_remembered_runs_are_let_go(monkeypatch):
-    import public_tokenizers
-
     from modelloom.llm import packing
 
     monkeypatch.setattr(packing, "CACHED", 5)
