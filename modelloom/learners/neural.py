@@ -29,6 +29,11 @@ from modelloom.operators.encode import LABEL
 
 #: Steps that a partition makes in an epoch at least, where the rows suffice.
 STEPS_EACH = 100
+#: Rows that are shuffled together, whatever the session's Arrow batches hold.
+BLOCK_ROWS = 10_000
+#: Steps after which the rate begins to fall by the root of their number. At a constant rate
+#: tens of thousands of steps drive all units to zero and the network names one class.
+CONSTANT_STEPS = 100
 
 
 @dataclass(frozen=True)
@@ -154,6 +159,20 @@ def _batch_matrices(batch, centre, scale, y_centre, y_scale):
     return ((x - centre) / scale).astype(np.float32), y.astype(np.float32)
 
 
+def even_blocks(matrices, rows: int = BLOCK_ROWS):
+    """The (x, y) matrices anew, each of ``rows`` rows but the last."""
+    held, n = [], 0
+    for x, y in matrices:
+        while len(x):
+            held.append((x[: rows - n], y[: rows - n]))
+            x, y, n = x[rows - n :], y[rows - n :], n + len(held[-1][0])
+            if n == rows:
+                yield tuple(np.concatenate(a) for a in zip(*held))
+                held, n = [], 0
+    if held:
+        yield tuple(np.concatenate(a) for a in zip(*held))
+
+
 @dataclass(frozen=True)
 class NeuralNetwork(Learner):
     label = names.NEURAL_NETWORK
@@ -231,7 +250,7 @@ class NeuralNetwork(Learner):
             part = TaskContext.get().partitionId()
             rng = np.random.default_rng([learner.seed, epoch, part])
             matrices = (_batch_matrices(b, centre, scale, y_centre, y_scale) for b in batches if b.num_rows)
-            own, seen, lost = learner.steps(net, shared.value, matrices, rng, loss)
+            own, seen, lost = learner.steps(net, shared.value, even_blocks(matrices), rng, loss)
             if seen:
                 sums = np.append(own.pack() * seen, [seen, lost])
                 yield pa.RecordBatch.from_pydict(
@@ -245,7 +264,10 @@ class NeuralNetwork(Learner):
         return State.unpack(merged[:-2] / merged[-2]), merged[-1] / merged[-2]
 
     def steps(self, net: Network, state: State, batches, rng, loss: str) -> tuple[State, int, float]:
-        """Adam over mini-batches of the given (x, y) matrices, from ``state`` on: the new state, the rows and their summed loss."""
+        """Adam over mini-batches of the given (x, y) matrices, from ``state`` on: the new state, the rows and their summed loss.
+
+        The rate falls by the root of the steps made, over all epochs.
+        """
         flat, m, v = (a.astype(np.float32) for a in (state.weights, state.first, state.second))
         w, step, seen, lost = net.unpack(flat), state.steps, 0, 0.0
         for x, y in batches:
@@ -258,7 +280,8 @@ class NeuralNetwork(Learner):
                 step += 1
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
-                flat -= self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+                rate = self.rate / np.sqrt(1 + step / CONSTANT_STEPS)
+                flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
                 lost += float(value) * len(pick)
             seen += len(x)
         return State(flat.astype(float), m.astype(float), v.astype(float), step), seen, lost

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from modelloom import learners as L
 from modelloom.learners.base import encode_training
-from modelloom.learners.neural import Network, State
+from modelloom.learners.neural import Network, State, even_blocks
 from modelloom.operators.encode import LABEL
 
 
@@ -75,3 +75,40 @@ def test_state_goes_on_from_epoch_to_epoch(curve):
     after, seen, _ = learner.steps(net, before, [(np.zeros((1, 1), np.float32), np.zeros(1, np.float32))], np.random.default_rng(0), "Quadratic")
     assert seen == 1 and after.steps == 101
     assert after.first[0] == pytest.approx(0.225) and after.second[0] == pytest.approx(0.125 * 0.999)
+
+
+def test_blocks_are_even_whatever_the_batches():
+    x, y = np.arange(50.0).reshape(25, 2), np.arange(25.0)
+    for cuts in ([], [1, 2, 3], [7, 14, 21], [24]):
+        found = list(even_blocks(zip(np.split(x, cuts), np.split(y, cuts)), 10))
+        assert [len(b) for _, b in found] == [10, 10, 5]
+        assert (np.concatenate([a for a, _ in found]) == x).all() and (np.concatenate([b for _, b in found]) == y).all()
+    assert list(even_blocks([], 10)) == []
+
+
+def test_model_does_not_hang_on_arrow_batches(spark, curve):
+    """Text operators make the session's batches smaller; the network shuffles the same rows together."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, weights = spark.conf.get(name), []
+    try:
+        for rows in (10_000, 700):
+            spark.conf.set(name, rows)
+            weights.append(trained(curve, 1)[2].model["weights"])
+    finally:
+        spark.conf.set(name, before)
+    assert weights[0] == pytest.approx(weights[1], abs=1e-6)
+
+
+def test_many_steps_do_not_stop_the_learning():
+    """Ten classes at random: what can be learnt is the rows by heart, and the loss falls below that of guessing."""
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(20_000, 64)).astype(np.float32), rng.integers(0, 10, 20_000).astype(np.float32)
+    learner = L.NeuralNetwork()
+    net = Network([64, *learner.hidden, 10], learner.activation)
+    state, history = State.of(net.initial(learner.seed)), []
+    for epoch in range(learner.epochs):
+        state, seen, lost = learner.steps(net, state, [(x[:10_000], y[:10_000]), (x[10_000:], y[10_000:])], np.random.default_rng(epoch), "CrossEntropy")
+        history.append(lost / seen)
+    assert history[-1] < np.log(10) - 0.2
+    out, _ = net.forward(net.unpack(state.weights.astype(np.float32)), x)
+    assert (out.argmax(axis=1) != y).mean() < 0.8
