@@ -10,6 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import SparkContext, StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, RandomForestClassifier
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegressor, GBTRegressionModel, GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ NODE_MEMORY_MB = 512
 RESPONSE_BOUND = 4.0
 LEAST_WEIGHT = 1e-6
 CHECKPOINT_EVERY = 10  # rounds of joint boosting
+#: Numbers with up to so many different values are split between any two of them.
+FEW_VALUES = 256
 
 
 def _bins(data: TrainingData, wanted: int) -> int:
@@ -37,6 +40,23 @@ def _bins(data: TrainingData, wanted: int) -> int:
     return max(wanted, data.encoder.max_levels, 2)
 
 
+def _bins_of_few_values(data: TrainingData, wanted: int) -> int:
+    """Bins for forests and boosting: one for each value of a number with few of them, and ``wanted`` at least.
+
+    MLlib lays the bins once, by quantiles of a sample; fewer bins than values leave out the same
+    splits in every tree. The reference's learners lay them anew at each node, so depth finds every split.
+    """
+    numbers = data.encoder.n_tree_numbers
+    if not numbers:
+        return wanted
+    cells = data.df.select(F.posexplode(F.slice(vector_to_array(TREE), 1, numbers)).alias("i", "v"))
+    about = cells.groupBy("i").agg(F.approx_count_distinct("v").alias("n")).where(F.col("n").between(wanted * 0.7, FEW_VALUES * 1.3)).collect()
+    if not about:
+        return wanted
+    counts = cells.where(F.col("i").isin([r["i"] for r in about])).distinct().groupBy("i").agg(F.count(F.lit(1)).alias("n"))
+    return max([wanted, *(r["n"] for r in counts.collect() if r["n"] <= FEW_VALUES)])
+
+
 def _importance(data: TrainingData, vector) -> list[tuple[str, float]]:
     values = vector if isinstance(vector, np.ndarray) else vector.toArray()
     return [(n, float(v)) for n, v in zip(data.encoder.tree_names, values)]
@@ -96,7 +116,7 @@ class RandomForest(Learner):
             subsamplingRate=self.sample_rate,
             bootstrap=self.bootstrap,
             cacheNodeIds=self.max_depth > 10,
-            **_common(data, self.max_depth, self.bins, self.seed),
+            **_common(data, self.max_depth, _bins_of_few_values(data, self.bins), self.seed),
         ).fit(data.df)
         return mllib_score(model), _importance(data, model.featureImportances), model
 
@@ -124,7 +144,7 @@ class GradientBoosting(Learner):
             "stepSize": self.learn_rate,
             "subsamplingRate": self.sample_rate,
             "minInstancesPerNode": self.min_rows,
-            **_common(data, self.max_depth, self.bins, self.seed),
+            **_common(data, self.max_depth, _bins_of_few_values(data, self.bins), self.seed),
         }
         if data.task == "regression":
             model = GBTRegressor(**shared).fit(data.df)
@@ -132,9 +152,9 @@ class GradientBoosting(Learner):
         if len(data.classes) == 2:
             model = GBTClassifier(**shared).fit(data.df)
             return mllib_score(model), _importance(data, model.featureImportances), model
-        return self._multinomial(data)
+        return self._multinomial(data, shared["maxBins"])
 
-    def _multinomial(self, data: TrainingData):
+    def _multinomial(self, data: TrainingData, bins: int):
         """One regression tree per class and round, on the slope of the softmax likelihood.
 
         Trees are fitted to (y - p) / w with weights w = p (1 - p), so that a leaf's
@@ -150,7 +170,7 @@ class GradientBoosting(Learner):
             sizes[int(r[LABEL])] = r["n"]
         prior = [float(v) for v in np.log(sizes / sizes.sum())]
         rate = self.learn_rate * (count - 1) / count
-        settings = _common(data, self.max_depth, self.bins, self.seed) | {"labelCol": "__z"}
+        settings = _common(data, self.max_depth, bins, self.seed) | {"labelCol": "__z"}
 
         def grow(frame, k: int):
             p = F.col("__p")[k]
