@@ -10,11 +10,13 @@ from pyspark import StorageLevel
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from modelloom.functions import col, content_hash
+from modelloom.functions import field as field_of
 from modelloom.operators.encode import LABEL, LINEAR, MAX_CLASSES, MAX_LEVELS, OK, TREE, Encoder, fit_encoder
 
-RAW, KEY = "__raw", "__key"
+RAW, KEY, WEIGHT = "__raw", "__key", "__weight"
 ROWS_PER_PARTITION = 100_000
 KEY_BITS = 60  # of a row's key hash, a number from 0 on
 
@@ -26,12 +28,20 @@ def param(default, low=None, high=None, choices=None):
 
 @dataclass(frozen=True)
 class TrainingData:
-    """Encoded training rows, cached once for all learners."""
+    """Encoded training rows, cached once for all learners.
+
+    If ``folded``, a row stands for as many equal ones as its weight says.
+    """
 
     df: DataFrame
     encoder: Encoder
     task: str
     classes: tuple[str, ...]
+    folded: bool = False
+
+    @property
+    def weight(self):
+        return F.col(WEIGHT) if self.folded else F.lit(1.0)
 
     def release(self) -> None:
         self.df.unpersist()
@@ -58,6 +68,9 @@ def encode_training(
     limits the cached vectors to the layouts those need. ``missing='error'`` refuses
     incomplete rows instead of leaving them out. The cache is filled here, so that
     no learner's time holds the encoding.
+
+    If all predictors of a classification are categories and all ``learners`` take weights,
+    equal rows fold into few weighted ones, so that a fit does not grow with the rows.
     """
     if missing not in ("skip", "error"):
         raise ValueError("missing must be 'skip' or 'error'")
@@ -66,6 +79,12 @@ def encode_training(
     train = train.filter(col(y).isNotNull())
     if task == "regression":
         train = train.filter(~F.isnan(col(y).cast("double")))
+    apart = _rows_apart(train, task, features, learners)
+    if apart:
+        key_cols = list(dict.fromkeys([*features, y]))
+        # As text, which tells 0.0 from -0.0 like the classes do.
+        groups = fold_equal(train.withColumn(y, col(y).cast("string")), key_cols).persist(StorageLevel.MEMORY_AND_DISK)
+        train = _with_weights(groups, apart)
     encoder, classes = fit_encoder(
         train, features, max_levels, target=y if task == "classification" else None, max_classes=max_classes
     )
@@ -81,9 +100,35 @@ def encode_training(
     names = {"linear": encoder.linear, "tree": TREE}
     layouts = {v for learner in learners for v in learner.layouts} or set(names)
     vectors = sorted({names[v] for v in layouts})
-    encoded = encoder.transform(train, fitting=True).select(LABEL, KEY, *vectors).persist(StorageLevel.MEMORY_AND_DISK)
+    kept = [LABEL, KEY, *vectors, *([WEIGHT] if apart else [])]
+    encoded = encoder.transform(train, fitting=True).select(*kept).persist(StorageLevel.MEMORY_AND_DISK)
     encoded.count()
-    return TrainingData(encoded, encoder, task, classes)
+    if apart:
+        groups.unpersist()
+    return TrainingData(encoded, encoder, task, classes, apart > 0)
+
+
+def only_categories(df: DataFrame, features: Sequence[str]) -> bool:
+    return all(isinstance(field_of(df, f).dataType, (T.StringType, T.BooleanType)) for f in features)
+
+
+def fold_equal(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """One row for each combination of the columns ``names``, with the number of rows as ``__weight``."""
+    return df.groupBy(*[col(n) for n in names]).agg(F.count(F.lit(1)).alias(WEIGHT))
+
+
+def _rows_apart(train: DataFrame, task: str, features: Sequence[str], learners: Sequence["Learner"]) -> int:
+    """As how many weighted rows equal ones go to the learners; 0 if some learner needs them all."""
+    if task != "classification" or not learners or not only_categories(train, features):
+        return 0
+    wanted = [learner.rows_apart() for learner in learners]
+    return max(wanted) if all(wanted) else 0
+
+
+def _with_weights(groups: DataFrame, apart: int) -> DataFrame:
+    """Each group as up to ``apart`` rows that share its weight."""
+    n = F.least(F.col(WEIGHT), F.lit(apart))
+    return groups.withColumns({"__n": F.explode(F.sequence(F.lit(1), n)), WEIGHT: F.col(WEIGHT) / n}).drop("__n")
 
 
 def _refuse_incomplete(train: DataFrame, names: Sequence[str]) -> None:
@@ -158,6 +203,10 @@ class Learner:
         score, importance, model = self._fit(data)
         return Fitted(self.label, self, data, time.perf_counter() - started, score, tuple(importance), model)
 
+    def rows_apart(self) -> int:
+        """How many of any number of equal rows the fit must see, with their weights; 0 if all, as it draws rows."""
+        return 0
+
     def _fit(self, data: TrainingData):
         raise NotImplementedError
 

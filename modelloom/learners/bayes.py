@@ -45,6 +45,9 @@ class NaiveBayes(Learner):
     eps_sdev: float = param(0.01, 0, 1e6)
     min_prob: float = param(0.001, 1e-10, 1)
 
+    def rows_apart(self) -> int:
+        return 1
+
     def _fit(self, data: TrainingData):
         tables, numbers = self._tables(data), data.encoder.n_tree_numbers
 
@@ -56,12 +59,12 @@ class NaiveBayes(Learner):
     def _tables(self, data: TrainingData) -> BayesTables:
         encoder, classes = data.encoder, len(data.classes)
         numbers = encoder.n_tree_numbers
-        summary = Summarizer.metrics("mean", "variance", "count").summary(F.col(TREE))
-        rows = data.df.groupBy(LABEL).agg(summary.alias("s")).collect()
+        summary = Summarizer.metrics("mean", "variance").summary(F.col(TREE))
+        rows = data.df.groupBy(LABEL).agg(summary.alias("s"), F.sum(data.weight).alias("n")).collect()
         mean, sd, counts = np.zeros((classes, numbers)), np.ones((classes, numbers)), np.zeros(classes)
         for r in rows:
             k = int(r[LABEL])
-            counts[k] = r["s"]["count"]
+            counts[k] = r["n"]
             mean[k] = r["s"]["mean"].toArray()[:numbers]
             sd[k] = np.sqrt(np.maximum(r["s"]["variance"].toArray()[:numbers], 0.0))
         sd = np.where(sd <= self.eps_sdev, self.min_sdev, sd)
@@ -70,9 +73,9 @@ class NaiveBayes(Learner):
             level = F.slice(vector_to_array(TREE), numbers + 1, len(encoder.categories))
             # Classes x predictors x levels groups, folded per task before the shuffle.
             seen = (
-                data.df.select(LABEL, F.posexplode(level).alias("j", "level"))
+                data.df.select(LABEL, data.weight.alias("w"), F.posexplode(level).alias("j", "level"))
                 .groupBy(LABEL, "j", "level")
-                .agg(F.count(F.lit(1)).alias("n"))
+                .agg(F.sum("w").alias("n"))
                 .collect()
             )
             found = [np.zeros((classes, len(v))) for v in encoder.levels]

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from modelloom.functions.vectors import sum_vectors
 from modelloom.learners import names
-from modelloom.learners.base import Learner, TrainingData, mllib_score, param
+from modelloom.learners.base import WEIGHT, Learner, TrainingData, mllib_score, param
 from modelloom.operators.encode import LABEL
 
 _SCALED = "__scaled"
@@ -281,6 +281,10 @@ class Logistic(Learner):
     reg_param: float = param(0.0, 0, 10)
     max_iterations: int = param(20, 1, 300)
 
+    def rows_apart(self) -> int:
+        # A penalty is on standardised columns, whose deviations MLlib corrects by weights, not rows.
+        return 1 if self.reg_param == 0 else 0
+
     def _fit(self, data: TrainingData):
         model = LogisticRegression(
             featuresCol=data.encoder.linear,
@@ -290,6 +294,7 @@ class Logistic(Learner):
             fitIntercept=self.intercept,
             regParam=self.reg_param,
             maxIter=self.max_iterations,
+            **({"weightCol": WEIGHT} if data.folded else {}),
         ).fit(data.df)
         return mllib_score(model), (), model
 

@@ -15,7 +15,7 @@ from pyspark.ml.regression import DecisionTreeRegressionModel, DecisionTreeRegre
 from pyspark.sql import functions as F
 
 from modelloom.learners import names
-from modelloom.learners.base import Learner, TrainingData, mllib_score, param
+from modelloom.learners.base import WEIGHT, Learner, TrainingData, mllib_score, param
 from modelloom.operators.encode import LABEL, TREE
 from modelloom.session import ensure_checkpoint_dir
 
@@ -72,7 +72,7 @@ def _common(data: TrainingData, depth: int, bins: int, seed: int) -> dict:
         "maxBins": _bins(data, bins),
         "maxMemoryInMB": NODE_MEMORY_MB,
         "seed": seed,
-    }
+    } | ({"weightCol": WEIGHT} if data.folded else {})
 
 
 @dataclass(frozen=True)
@@ -86,6 +86,10 @@ class DecisionTree(Learner):
     min_rows: int = param(1, 1, 1_000_000)
     seed: int = 123
 
+    def rows_apart(self) -> int:
+        # MLlib counts rows, not weights, for the least leaf and to limit the bins.
+        return max(self.min_rows, self.bins)
+
     def _fit(self, data: TrainingData):
         kind = DecisionTreeRegressor if data.task == "regression" else DecisionTreeClassifier
         model = kind(
@@ -107,6 +111,9 @@ class RandomForest(Learner):
     bootstrap: bool = True
     seed: int = 123
 
+    def rows_apart(self) -> int:
+        return self.bins if self.sample_rate == 1 and not self.bootstrap else 0
+
     def _fit(self, data: TrainingData):
         kind = RandomForestRegressor if data.task == "regression" else RandomForestClassifier
         # Deep forests carry many nodes; cached node ids spare sending the trees
@@ -138,6 +145,9 @@ class GradientBoosting(Learner):
     parallelism: int = 4
     seed: int = 123
 
+    def rows_apart(self) -> int:
+        return max(self.min_rows, self.bins) if self.sample_rate == 1 else 0
+
     def _fit(self, data: TrainingData):
         shared = {
             "maxIter": self.trees,
@@ -164,13 +174,13 @@ class GradientBoosting(Learner):
         so that no long lineage builds up.
         """
         count = len(data.classes)
-        rows = data.df.groupBy(LABEL).agg(F.count(F.lit(1)).alias("n")).collect()
+        rows = data.df.groupBy(LABEL).agg(F.sum(data.weight).alias("n")).collect()
         sizes = np.zeros(count)
         for r in rows:
             sizes[int(r[LABEL])] = r["n"]
         prior = [float(v) for v in np.log(sizes / sizes.sum())]
         rate = self.learn_rate * (count - 1) / count
-        settings = _common(data, self.max_depth, bins, self.seed) | {"labelCol": "__z"}
+        settings = _common(data, self.max_depth, bins, self.seed) | {"labelCol": "__z", "weightCol": "__w"}
 
         def grow(frame, k: int):
             p = F.col("__p")[k]
@@ -179,18 +189,18 @@ class GradientBoosting(Learner):
             work = frame.select(
                 TREE,
                 F.least(F.greatest(step, F.lit(-RESPONSE_BOUND)), F.lit(RESPONSE_BOUND)).alias("__z"),
-                weight.alias("__w"),
+                (weight * F.col(WEIGHT)).alias("__w"),
             )
-            return DecisionTreeRegressor(weightCol="__w", minInstancesPerNode=self.min_rows, **settings).fit(work)
+            return DecisionTreeRegressor(minInstancesPerNode=self.min_rows, **settings).fit(work)
 
         rounds: list[list] = []
-        scored = data.df.select(LABEL, TREE, F.array(*[F.lit(v) for v in prior]).alias("__f"))
+        scored = data.df.select(LABEL, TREE, data.weight.alias(WEIGHT), F.array(*[F.lit(v) for v in prior]).alias("__f"))
         held = None
         for t in range(self.trees):
             top = F.array_max("__f")
             e = F.transform("__f", lambda v: F.exp(v - top))
             total = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
-            frame = scored.select(LABEL, TREE, F.transform(e, lambda v: v / total).alias("__p"))
+            frame = scored.select(LABEL, TREE, WEIGHT, F.transform(e, lambda v: v / total).alias("__p"))
             if self.sample_rate < 1:
                 frame = frame.sample(self.sample_rate, seed=self.seed + t)
             frame = frame.persist(StorageLevel.MEMORY_AND_DISK)
@@ -206,7 +216,7 @@ class GradientBoosting(Learner):
             for k, tree in enumerate(rounds[-1]):
                 scored = tree.setPredictionCol(f"__t{k}").transform(scored)
             added = F.array(*[F.col("__f")[k] + F.lit(rate) * F.col(f"__t{k}") for k in range(count)])
-            scored = scored.select(LABEL, TREE, added.alias("__f"))
+            scored = scored.select(LABEL, TREE, WEIGHT, added.alias("__f"))
             before, held = held, (scored.checkpoint() if (t + 1) % CHECKPOINT_EVERY == 0 else scored).persist(StorageLevel.MEMORY_AND_DISK)
             held.count()
             scored = held

@@ -333,3 +333,32 @@ def test_number_of_few_values_is_split_between_any_two(spark, learner):
     model = train_model(rows, "y", "regression", ["x"], learner, ["id"])
     wrong = predict_all(rows, [model]).where(F.col(learner.label) != F.col("y"))
     assert wrong.count() == 0
+
+
+def test_equal_rows_of_categories_are_fitted_as_weighted_ones(spark):
+    """Three thousand rows of four kinds go to the learners as a few; a leaf's least rows are counted in rows."""
+    rows = spark.range(3000).select(
+        "id",
+        F.when(F.col("id") == 0, "rare").otherwise(F.concat(F.lit("s"), F.col("id") % 3)).alias("s"),
+        F.when(F.col("id") % 5 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("c").alias("kind"),
+    ).withColumn("s", F.when(F.col("id") != 7, F.col("s")))
+    learners = [L.DecisionTree(), L.GradientBoosting(trees=2), L.Logistic(), L.NaiveBayes(laplace=1.0), L.RandomForest(trees=2, sample_rate=1.0, bootstrap=False)]
+    few = encode_training(rows, "kind", "classification", ["s"], ["id"], learners=learners)
+    all_rows = encode_training(rows, "kind", "classification", ["s"], ["id"])
+    assert few.folded and not all_rows.folded
+    assert few.df.count() <= 32 * 10 and all_rows.df.count() == 2999
+    assert few.df.agg(F.sum("__weight")).first()[0] == 2999
+    for learner in learners:
+        pair = [predict_all(rows, [learner.fit(d)]).select("id", learner.label) for d in (few, all_rows)]
+        assert pair[0].exceptAll(pair[1]).count() == 0
+    small, large = (learner.fit(d).model for learner in [L.NaiveBayes(laplace=1.0)] for d in (few, all_rows))
+    assert (small.counts == large.counts).all() and (small.log_share[0] == large.log_share[0]).all()
+    few.release(), all_rows.release()
+
+
+@pytest.mark.parametrize("learner", [L.RandomForest(trees=2), L.GradientBoosting(trees=2, sample_rate=0.5), L.Logistic(reg_param=0.1), L.NeuralNetwork(hidden=(2,))])
+def test_learners_that_draw_rows_see_all_of_them(spark, learner):
+    rows = spark.range(300).select("id", (F.col("id") % 3).cast("string").alias("s"), (F.col("id") % 2).cast("string").alias("kind"))
+    data = encode_training(rows, "kind", "classification", ["s"], ["id"], learners=[L.DecisionTree(), learner])
+    assert not data.folded and data.df.count() == 300
+    data.release()
