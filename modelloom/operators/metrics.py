@@ -55,16 +55,19 @@ def regression_metrics(
     return row.select(F.inline(F.array(*lines)))
 
 
-def classification_metrics(pred: DataFrame, y: str, model_cols: Sequence[str]) -> DataFrame:
+def classification_metrics(pred: DataFrame, y: str, model_cols: Sequence[str], weight: str | None = None) -> DataFrame:
     """(Model, errors, n, error_pct, Error) for all models in one pass.
 
-    Rows without prediction or target count in ``n`` but not as errors.
+    Rows without prediction or target count in ``n`` but not as errors. With the column
+    ``weight`` each row stands for that many equal ones.
     """
+    rows = F.lit(1) if weight is None else col(weight)
     sums = []
     for i, name in enumerate(model_cols):
         field(pred, name)
-        sums.append(F.count_if(col(name) != col(y)).alias(f"e{i}"))
-    row = pred.agg(F.count(F.lit(1)).alias("n"), *sums)
+        wrong = F.when(col(name) != col(y), rows).otherwise(0)
+        sums.append(F.coalesce(F.sum(wrong), F.lit(0)).cast("long").alias(f"e{i}"))
+    row = pred.agg(F.coalesce(F.sum(rows), F.lit(0)).cast("long").alias("n"), *sums)
     lines = [
         F.struct(
             F.lit(name).alias("Model"),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from modelloom import learners as L
 from modelloom.functions import col, content_hash
-from modelloom.learners.base import Fitted, Learner, encode_training, predict_all
+from modelloom.learners.base import WEIGHT, Fitted, Learner, encode_training, fold_equal, only_categories, predict_all
 from modelloom.operators.encode import MAX_CLASSES, MAX_LEVELS, column_levels
 from modelloom.operators.levels import fit_levels
 from modelloom.operators.metrics import (
@@ -46,6 +46,7 @@ class Comparison:
     test: DataFrame
     models: list[Fitted]
     failures: list[tuple[str, str]] = field(default_factory=list)
+    cached: bool = False
 
     @property
     def _spark(self):
@@ -74,8 +75,14 @@ class Comparison:
 
     @cached_property
     def metrics(self) -> DataFrame:
-        of = regression_metrics if self.task == "regression" else classification_metrics
-        return of(self.predictions, self.y, self.labels)
+        if self.task == "regression":
+            return regression_metrics(self.predictions, self.y, self.labels)
+        features = list(self.models[0].encoder.features)
+        if self.cached or not only_categories(self.test, features):
+            return classification_metrics(self.predictions, self.y, self.labels)
+        # Equal rows have equal predictions: one of each is scored.
+        folded = predict_all(fold_equal(self.test, list(dict.fromkeys([*features, self.y]))), self.models)
+        return classification_metrics(folded, self.y, self.labels, WEIGHT)
 
     @cached_property
     def leaderboard(self) -> DataFrame:
@@ -128,10 +135,12 @@ class Comparison:
     def cache(self) -> "Comparison":
         """Keep the predictions for several reports; ``close`` lets them go."""
         self.predictions.persist(StorageLevel.MEMORY_AND_DISK)
+        self.cached = True
         return self
 
     def close(self) -> None:
         self.predictions.unpersist()
+        self.cached = False
 
 
 def compare(
