@@ -101,25 +101,32 @@ class Comparison:
         Test rows are numbered in the order of a hash of their key, and each takes the
         feature's value from the row before, in turn for each feature. One join serves all
         features: every row comes once as it is and once for each feature, all are scored in one stage, and the errors
-        add up by feature in the tasks. The error is that of the leaderboard, and growth below zero counts as none.
+        add up by feature in the tasks. If all features are categories, equal rows are scored once. The error is that of the leaderboard, and growth below zero counts as none.
         """
         features = list(self.models[0].encoder.features)
         rows = self.test.withColumn("__hash", content_hash(seed, key_cols))
-        numbered = with_counter(rows, ["__hash"], "__row")
+        # Rows of equal keys follow the whole row's content; only what the scoring reads is sorted and joined.
+        rows = rows.withColumn("__content", F.unhex(content_hash(0, rows.columns))).withColumn("__hash", F.unhex("__hash"))
+        needed = list(dict.fromkeys([*features, self.y]))
+        rows = rows.select("__hash", "__content", *[col(c) for c in needed])
+        numbered = with_counter(rows, ["__hash", "__content"], "__row").drop("__hash", "__content")
         n = numbered.agg(F.max("__row")).first()[0] or 0
         donors = numbered.select((F.col("__row") % n + 1).alias("__row"), *[col(f).alias(f"__d{i}") for i, f in enumerate(features)])
         which = F.explode(F.array(*[F.lit(i) for i in range(-1, len(features))])).alias("__which")
-        varied = numbered.join(donors, "__row").select("*", which)
+        paired, weight = numbered.join(donors, "__row").drop("__row"), F.lit(1)
+        if only_categories(self.test, features):
+            paired, weight = fold_equal(paired, paired.columns), F.col(WEIGHT)
+        varied = paired.select("*", which)
         varied = varied.withColumns({f: F.when(F.col("__which") == i, F.col(f"__d{i}")).otherwise(col(f)) for i, f in enumerate(features)})
-        scored = predict_all(varied.drop(*[f"__d{i}" for i in range(len(features))], "__hash", "__row"), self.models)
+        scored = predict_all(varied.drop(*[f"__d{i}" for i in range(len(features))]), self.models)
         y = col(self.y)
 
         def error(label: str):
             p = col(label)
             if self.task == "regression":
                 return F.when(F.count(p - y) == F.count(F.lit(1)), F.sqrt(F.avg(F.pow(p - y, 2))))
-            wrong = F.when(p != y.cast("string"), 1.0).otherwise(0.0)
-            return F.lit(100.0) * F.sum(wrong) / F.count(F.lit(1))
+            wrong = F.when(p != y.cast("string"), weight).otherwise(0)
+            return F.lit(100.0) * F.sum(wrong) / F.sum(weight)
 
         sums = scored.groupBy("__which").agg(*[error(label).alias(f"__e{i}") for i, label in enumerate(self.labels)]).collect()
         errors = {r["__which"]: {label: r[f"__e{i}"] or 0.0 for i, label in enumerate(self.labels)} for r in sums}
